@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternway.llm import exact_dedup, language_id, packing, pii, secret_scan, token_files, word_bpe
+from lanternway.llm import exact_dedup, language_id, packing, pii, secret_scan, simhash, token_files, vector_search, word_bpe
 from lanternway.llm.common import table
 from lanternway.llm.digest import counted, joined, sha256
 
@@ -18,12 +18,21 @@ def op1_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256(ids).alias("ids_sha256"), sha256(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(table(spark, sf_dir, "embeddings"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_documents(table(spark, sf_dir, "documents"))
     digests = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return packing.pack(digests)
 
 
+def op4_simhash_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -54,7 +63,7 @@ def spans_digest(found: DataFrame, counts: dict[str, str]) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_transducer, op3_best_fit_packing, op5_language_id, op7_secret_scan, op8_exact_dedup, op9_token_files, op10_pii_crf)
+    f.__name__: f for f in (op1_bpe_transducer, op2_vector_search, op3_best_fit_packing, op4_simhash_cover, op5_language_id, op7_secret_scan, op8_exact_dedup, op9_token_files, op10_pii_crf)
 }
 
 ORACLE: dict[str, str] = {
