@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternway.llm import exact_dedup, language_id, packing, pii, secret_scan, simhash, token_files, vector_search, word_bpe
+from lanternway.llm import exact_dedup, language_id, packing, pii, repeats, secret_scan, simhash, token_files, vector_search, word_bpe
 from lanternway.llm.common import table
 from lanternway.llm.digest import counted, joined, sha256
 
@@ -37,6 +37,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
     return spans_digest(found, {"assign": "n_assign", "access": "n_access", "hex": "n_hex"})
@@ -63,7 +69,7 @@ def spans_digest(found: DataFrame, counts: dict[str, str]) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_transducer, op2_vector_search, op3_best_fit_packing, op4_simhash_cover, op5_language_id, op7_secret_scan, op8_exact_dedup, op9_token_files, op10_pii_crf)
+    f.__name__: f for f in (op1_bpe_transducer, op2_vector_search, op3_best_fit_packing, op4_simhash_cover, op5_language_id, op6_suffix_array, op7_secret_scan, op8_exact_dedup, op9_token_files, op10_pii_crf)
 }
 
 ORACLE: dict[str, str] = {
