@@ -95,7 +95,7 @@ LABELLED = (
     ("iban: GB29NWBK60161331926819", "O id"),
     ("in 1998 about 3500 people paid 19.99 each", "O O O O O O O O"),
     ("chapter 12 page 304 lists 17 items", "O O O O O O O"),
-    ("on 2021-03-04 the index fell 1.5% to 12,400", "O O O O O O O O O"),
+    ("on 2021-03-04 the index fell 1.5% to 12,400", "O O O O O O O O"),
     ("room b12 costs $120 per night", "O O O O O O"),
     ("order 20231104 ships with item a-4471", "O O O O O O"),
     ("the ratio 3:1 or 75% of 1/2", "O O O O O O O"),
