@@ -7,8 +7,9 @@ they stand. Windows are dealt to shards by the hash of their anchor; no match cr
 1. A scan counts anchors. A bit table of bounded size (`FILTER_BITS`) notes those met more than once;
    if it fills up, more is sent in step 2 and nothing is lost.
 2. A scan cuts, for every anchor that may repeat, the *context*: the bytes of all its windows. Equal
-   contexts of a batch are combined first: the earliest goes on, later ones are repeats already.
-3. Each shard holds at most `SHARD_BYTES` of contexts and gets a suffix array by Larsson-Sadakane
+   contexts of a batch, and again of a range of anchors, share one entry of a dictionary, that of
+   the earliest; the windows of the others repeat its windows. Batches travel compressed.
+3. Each shard holds at most `SHARD_BYTES` of distinct contexts and gets a suffix array by Larsson-Sadakane
    refinement (only groups that are not yet single are sorted again, by the rank `h` further on), and
    Kasai common prefixes, in numpy. Neighbours that share 100 bytes form classes; the earliest start
    of a class stays. An anchor whose contexts fill more than one shard has its shards' sorted
@@ -26,13 +27,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternway.llm.common import pick, slices, written
 
 WINDOW, GRAM = 100, 32
-SHARD_BYTES, FILTER_BITS = 2 << 20, 29
+SHARD_BYTES, FILTER_BITS = 1 << 20, 29
 RECORD = np.dtype([("h", "<u8"), ("doc", "<i8"), ("tid", "<i8"), ("start", "<i4"), ("n", "<i4")])
 _FIRST = -(2**63)
 
@@ -227,23 +229,48 @@ def merge_shards(shards: list[Shard]) -> None:
             b.beaten(at[same[first_a]])
 
 
+def combined(records: np.ndarray, raw: bytes, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that are the earliest with their context, later rows with an equal one)."""
+    by = np.lexsort((records["start"], records["doc"]))
+    ends = first + records["n"] + WINDOW - 1
+    seen: dict[tuple[int, bytes], int] = {}
+    place = np.array([seen.setdefault((h, raw[a:b]), i) for i, a, b, h in zip(by.tolist(), first[by].tolist(), ends[by].tolist(), records["h"][by].tolist(), strict=True)], np.int64)
+    own = records[by]
+    lead = records[place] if len(place) else own
+    stays = (lead["doc"] == own["doc"]) & (lead["start"] == own["start"])
+    return by[stays], by[~stays]
+
+
+def whole(records: np.ndarray) -> np.ndarray:
+    """The byte ranges of contexts all of whose windows are repeats."""
+    out = records.copy()
+    out["n"] += out["start"] + WINDOW - 1
+    return out
+
+
 def find_repeats(records: np.ndarray, data: np.ndarray, limit: int = SHARD_BYTES) -> list[np.ndarray]:
     """Repeated windows of all contexts of a range of anchors."""
     if not len(records):
         return []
     length = records["n"].astype(np.int64) + WINDOW - 1
     first = np.cumsum(length) - length
-    by = np.argsort(records["h"], kind="stable")
+    stay, again = combined(records, data.tobytes(), first)
+    out, held, size = [whole(records[again])], [], 0
+    many = np.unique(records["h"], return_inverse=True, return_counts=True)
+    met = many[2][many[1]][stay]  # how often the anchor of each distinct context is met
+    stay = stay[met > 1]  # an anchor met once has no partner
+    if not len(stay):
+        return out
+    by = stay[np.argsort(records["h"][stay], kind="stable")]
     records, first, length = records[by], first[by], length[by]
     anchor = np.cumsum(np.append(True, records["h"][1:] != records["h"][:-1])) - 1
     count, total = np.bincount(anchor), np.bincount(anchor, weights=length)
-    out, held, size = [], [], 0
 
     def shard(rows: np.ndarray) -> Shard:
         return Shard(records[rows], data[spread(first[rows], length[rows])])
 
     edges = np.append(0, np.cumsum(count))
-    for g in np.flatnonzero(count > 1).tolist():  # an anchor met once has no partner
+    for g in range(len(count)):
         rows = np.arange(edges[g], edges[g + 1])
         if total[g] > limit:
             part = np.cumsum(length[rows]) // limit
@@ -310,12 +337,12 @@ def repeats(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     count = rows.count()
     bits = int(np.clip((256 * count).bit_length(), 16, FILTER_BITS))
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // 5000, 1)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // 4000, 1)
     shared = spark.sparkContext.broadcast(repeated_anchors(rows, bits, ranges))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 3 << 20):
             data, first, size = _texts(batch)
             text, window, n, h = anchors(data, first, size)
             bit = (h >> np.uint64(64 - bits)).astype(np.int64)
@@ -325,41 +352,40 @@ def repeats(rows: DataFrame) -> DataFrame:
             own["h"], own["start"], own["n"] = h, window - first[text], n
             own["doc"] = batch.column(0).to_numpy(zero_copy_only=False)[text]
             own["tid"] = batch.column(2).to_numpy(zero_copy_only=False)[text]
-            own, where = own[by := np.lexsort((own["start"], own["doc"]))], window[by]
-            raw, seen, stay, again = data.tobytes(), {}, [], []
-            for i, (a, b, key) in enumerate(zip(where.tolist(), (where + own["n"] + WINDOW - 1).tolist(), own["h"].tolist(), strict=True)):
-                place = seen.setdefault((key, raw[a:b]), i)
-                same = place == i or (own["doc"][place] == own["doc"][i] and own["start"][place] == own["start"][i])
-                (stay if same else again).append(i)
-            done = own[again]
-            done["n"] += done["start"] + WINDOW - 1
-            keep = own[stay]
+            stay, again = combined(own, data.tobytes(), window)
+            done, keep, where = whole(own[again]), own[stay], window[stay]
             length = keep["n"].astype(np.int64) + WINDOW - 1
+            press = zstandard.ZstdCompressor(level=1)
             for kind, some in ((0, keep), (1, done)):
                 if not len(some):
                     continue
                 order, places, cuts = _by_range((some["h"] % np.uint64(ranges)).astype(np.int64))
-                some = some[order]
-                blobs, contexts = [], []
+                some, blobs = some[order], []
                 for a, b in zip(cuts, cuts[1:], strict=False):
-                    blobs.append(some[a:b].tobytes())
-                    at = where[stay][order[a:b]] if kind == 0 else None
-                    contexts.append(data[spread(at, length[order[a:b]])].tobytes() if kind == 0 else b"")
-                yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int32)), pa.array([kind] * len(places), pa.int32()), pa.array(blobs, pa.binary()), pa.array(contexts, pa.binary())], ["range", "kind", "records", "data"])
+                    columns = b"".join(np.ascontiguousarray(some[c][a:b]).tobytes() for c in RECORD.names)
+                    context = b"" if kind else data[spread(where[order[a:b]], length[order[a:b]])].tobytes()
+                    blobs.append(int(b - a).to_bytes(8, "little") + press.compress(columns + context))
+                yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int32)), pa.array([kind] * len(places), pa.int32()), pa.array(blobs, pa.binary())], ["range", "kind", "rows"])
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records, data, out = [], [], []
         for batch in batches:
-            for kind, r, d in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                (out if kind else records).append(np.frombuffer(r, RECORD))
+            for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                blob = blob.as_py()
+                n, plain, at = int.from_bytes(blob[:8], "little"), zstandard.ZstdDecompressor().decompress(blob[8:]), 0
+                own = np.empty(n, RECORD)
+                for c in RECORD.names:
+                    own[c] = np.frombuffer(plain, RECORD[c], n, at)
+                    at += n * RECORD[c].itemsize
+                (out if kind else records).append(own)
                 if not kind:
-                    data.append(np.frombuffer(d, np.uint8))
+                    data.append(np.frombuffer(plain, np.uint8, offset=at).copy())
         if records:
             out += find_repeats(np.concatenate(records), np.concatenate(data))
         for own in out:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(own[c])) for c in ("doc", "tid", "start", "n")], ["doc", "tid", "start", "end"])
 
-    contexts = rows.mapInArrow(cut, "range int, kind int, records binary, data binary")
+    contexts = rows.mapInArrow(cut, "range int, kind int, rows binary")
     return contexts.repartition(ranges, "range").mapInArrow(meet, "doc long, tid long, start int, end int")
 
 
