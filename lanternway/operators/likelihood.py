@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternway.functions import geo, timefn
@@ -21,31 +21,31 @@ def in_cell_pairs(kept: DataFrame) -> DataFrame:
 
 def candidates(kept: DataFrame, links: DataFrame) -> DataFrame:
     """Points and links that share a cell: an equi-join on the cell, which adaptive execution can split."""
-    lists = cell_links(links).select("cell_id", F.col("seq").alias("link_seq"), "fx", "fy", "tx", "ty", "shape", "link_distance")
+    lists = cell_links(links).select("cell_id", F.col("seq").alias("link_seq"))
     return in_cell_pairs(kept).join(lists, "cell_id")
 
 
-def _deviations() -> Column:
-    """Array of deviations, one for each shape point p: (10 * line + point to p + next point to p + 1) / 10."""
-    line = geo.point_line(*[F.col(c) for c in ("x", "y", "fx", "fy", "tx", "ty")], True)
-    after = F.concat(F.slice("shape", 2, F.greatest(F.size("shape") - 1, F.lit(0))), F.array(F.lit(None).cast("struct<x:double,y:double>")))
-    to = lambda q: F.coalesce(geo.planar(F.col("nx"), F.col("ny"), q["x"], q["y"]), F.lit(0.0))
-    return F.zip_with("shape", F.when(F.size("shape") > 0, after).otherwise(F.array().cast("array<struct<x:double,y:double>>")), lambda p, q: (line * 10 + geo.planar(F.col("x"), F.col("y"), p["x"], p["y"]) + to(q)) / 10)
+def shape_rows(kept: DataFrame, links: DataFrame) -> DataFrame:
+    """Candidates with each shape point ``p`` (sx, sy) and the next one (ex, ey); one row for no shape.
 
-
-def hit() -> Column:
-    """True if the point and the next one in its cell run along some segment of the link."""
-    a, b = F.slice("shape", 1, F.greatest(F.size("shape") - 1, F.lit(0))), F.slice("shape", 2, F.greatest(F.size("shape") - 1, F.lit(0)))
-    xy = [F.col(c) for c in ("x", "y", "nx", "ny")]
-    hits = F.exists(F.zip_with(a, b, lambda p, q: geo.hits_line(*xy, p["x"], p["y"], q["x"], q["y"])), lambda v: v)
-    return F.when(F.col("nx").isNotNull() & (F.size("shape") > 1), hits).otherwise(F.lit(False))
+    Links are unfolded before the join, so all arithmetic on the pairs is plain compiled expressions.
+    """
+    after = lambda c: F.get(F.col("shape"), F.col("p") + 1)[c]
+    flat = cell_links(links).select("cell_id", F.col("seq").alias("link_seq"), "fx", "fy", "tx", "ty", "link_distance", "shape", F.posexplode_outer("shape").alias("p", "s"))
+    lists = flat.select("cell_id", "link_seq", "fx", "fy", "tx", "ty", "link_distance", "p", F.col("s.x").alias("sx"), F.col("s.y").alias("sy"), after("x").alias("ex"), after("y").alias("ey"))
+    ends = [F.col(c) for c in ("x", "y", "fx", "fy", "tx", "ty")]
+    rows = in_cell_pairs(kept).join(lists, "cell_id")
+    deviation = (geo.point_line(*ends, True) * 10 + geo.planar(*[F.col(c) for c in ("x", "y", "sx", "sy")]) + F.coalesce(geo.planar(*[F.col(c) for c in ("nx", "ny", "ex", "ey")]), F.lit(0.0))) / 10
+    segment = [F.col(c) for c in ("x", "y", "nx", "ny", "sx", "sy", "ex", "ey")]
+    hit = F.when(F.col("nx").isNotNull() & F.col("ex").isNotNull(), geo.hits_line(*segment)).otherwise(F.lit(False))
+    return rows.select("agent_id", "link_seq", "cell_id", "g", "trace_no", "sec", "p", deviation.alias("deviation"), geo.point_line(*ends, False).alias("beside"), hit.alias("hit"), "link_distance")
 
 
 def scored(kept: DataFrame, links: DataFrame) -> DataFrame:
     """Candidates with ``nonhit`` (least deviation within twice the link's length, or null), ``beside`` and ``hit``."""
-    near = F.array_min(F.filter(_deviations(), lambda d: d <= F.col("link_distance") * 2))
-    beside = geo.point_line(*[F.col(c) for c in ("x", "y", "fx", "fy", "tx", "ty")], False)
-    return candidates(kept, links).select("agent_id", "link_seq", "cell_id", "g", "trace_no", "sec", near.alias("nonhit"), beside.alias("beside"), hit().alias("hit"))
+    near = F.when(F.col("deviation") <= F.col("link_distance") * 2, F.col("deviation"))
+    per = shape_rows(kept, links).groupBy("agent_id", "link_seq", "cell_id", "g")
+    return per.agg(F.min("trace_no").alias("trace_no"), F.min("sec").alias("sec"), F.min(near).alias("nonhit"), F.min("beside").alias("beside"), F.max("hit").alias("hit"))
 
 
 def static_costs(scores: DataFrame, cells: DataFrame, resolution: float = RESOLUTION, combine: str = "last") -> DataFrame:
@@ -79,8 +79,8 @@ def bin_events(kept: DataFrame, links: DataFrame, cells: DataFrame, span: DataFr
     ``at`` is the order of the scan: cell column and row, point, shape point. ``span`` is one row
     (t0, t1, bins). An event counts for the bins within ``reach`` of its own.
     """
-    rows = candidates(kept, links).withColumn("beside", geo.point_line(*[F.col(c) for c in ("x", "y", "fx", "fy", "tx", "ty")], False)).withColumn("hit", hit())
-    each = rows.select("agent_id", "link_seq", "cell_id", "g", "trace_no", "sec", "beside", "hit", "link_distance", F.posexplode(_deviations()).alias("p", "nonhit")).where(F.col("nonhit") <= F.col("link_distance") * 2)
+    same = Window.partitionBy("agent_id", "link_seq", "cell_id", "g")
+    each = shape_rows(kept, links).withColumn("hit", F.max("hit").over(same)).withColumnRenamed("deviation", "nonhit").where(F.col("nonhit") <= F.col("link_distance") * 2)
     full = each.join(cells, "cell_id").join(F.broadcast(span)).join(sampling, "agent_id")
     reach = F.greatest(F.lit(1), (F.col("sampling_min") / F.lit(TIME_BIN)).cast("int"))
     return full.select(
