@@ -53,11 +53,20 @@ def planar(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))
 
 
-def _foot(px: Column, py: Column, fx: Column, fy: Column, tx: Column, ty: Column) -> tuple[Column, Column]:
-    """(projection parameter from the `to` end, perpendicular distance); null for a line without length."""
+def foot(px: Column, py: Column, fx: Column, fy: Column, tx: Column, ty: Column) -> Column:
+    """Where a point's foot is on a line, from 0 at the `to` end to 1; null for a line without length."""
     dx, dy = fx - tx, fy - ty
-    u = F.try_divide((px - tx) * dx + (py - ty) * dy, dx * dx + dy * dy)
-    return u, planar(px, py, tx + u * dx, ty + u * dy)
+    return F.try_divide((px - tx) * dx + (py - ty) * dy, dx * dx + dy * dy)
+
+
+def to_foot(u: Column, px: Column, py: Column, fx: Column, fy: Column, tx: Column, ty: Column) -> Column:
+    """Distance of a point to its foot `u`. Plans with many points keep `u` as a column of its own."""
+    return planar(px, py, tx + u * (fx - tx), ty + u * (fy - ty))
+
+
+def _foot(px: Column, py: Column, fx: Column, fy: Column, tx: Column, ty: Column) -> tuple[Column, Column]:
+    u = foot(px, py, fx, fy, tx, ty)
+    return u, to_foot(u, px, py, fx, fy, tx, ty)
 
 
 def point_line(px: Column, py: Column, fx: Column, fy: Column, tx: Column, ty: Column, anywhere: bool, outside: float = RESOLUTION) -> Column:

@@ -31,14 +31,22 @@ def shape_rows(kept: DataFrame, links: DataFrame) -> DataFrame:
     Links are unfolded before the join, so all arithmetic on the pairs is plain compiled expressions.
     """
     after = lambda c: F.get(F.col("shape"), F.col("p") + 1)[c]
+    c = lambda *names: [F.col(n) for n in names]
     flat = cell_links(links).select("cell_id", F.col("seq").alias("link_seq"), "fx", "fy", "tx", "ty", "link_distance", "shape", F.posexplode_outer("shape").alias("p", "s"))
     lists = flat.select("cell_id", "link_seq", "fx", "fy", "tx", "ty", "link_distance", "p", F.col("s.x").alias("sx"), F.col("s.y").alias("sy"), after("x").alias("ex"), after("y").alias("ey"))
-    ends = [F.col(c) for c in ("x", "y", "fx", "fy", "tx", "ty")]
-    rows = in_cell_pairs(kept).join(lists, "cell_id")
-    deviation = (geo.point_line(*ends, True) * 10 + geo.planar(*[F.col(c) for c in ("x", "y", "sx", "sy")]) + F.coalesce(geo.planar(*[F.col(c) for c in ("nx", "ny", "ex", "ey")]), F.lit(0.0))) / 10
-    segment = [F.col(c) for c in ("x", "y", "nx", "ny", "sx", "sy", "ex", "ey")]
-    hit = F.when(F.col("nx").isNotNull() & F.col("ex").isNotNull(), geo.hits_line(*segment)).otherwise(F.lit(False))
-    return rows.select("agent_id", "link_seq", "cell_id", "g", "trace_no", "sec", "p", deviation.alias("deviation"), geo.point_line(*ends, False).alias("beside"), hit.alias("hit"), "link_distance")
+    # what depends on one side only is computed before the join, what is used twice has a column
+    lists = lists.withColumn("bearing", geo.angle(*c("sx", "sy", "ex", "ey"))).withColumn("reach", geo.planar(*c("sx", "sy", "ex", "ey")))
+    steps = in_cell_pairs(kept).withColumn("mx", (F.col("x") + F.col("nx")) / 2).withColumn("my", (F.col("y") + F.col("ny")) / 2).withColumn("heading", geo.angle(*c("x", "y", "nx", "ny")))
+    rows = steps.join(lists, "cell_id")
+    line, segment = c("x", "y", "fx", "fy", "tx", "ty"), c("mx", "my", "sx", "sy", "ex", "ey")
+    rows = rows.withColumns({"u": geo.foot(*line), "v": geo.foot(*segment)})
+    rows = rows.withColumns({"away": geo.to_foot(F.col("u"), *line), "off": geo.to_foot(F.col("v"), *segment)})
+    near = F.least(F.col("away"), geo.planar(*c("x", "y", "fx", "fy")), geo.planar(*c("x", "y", "tx", "ty")))
+    deviation = (near * 10 + geo.planar(*c("x", "y", "sx", "sy")) + F.coalesce(geo.planar(*c("nx", "ny", "ex", "ey")), F.lit(0.0))) / 10
+    beside = F.when((F.col("u") < 0) | (F.col("u") > 1), F.lit(RESOLUTION)).otherwise(F.col("away"))
+    within = (F.col("off") < F.col("reach")) & (F.col("off") < geo.planar(*c("mx", "my", "sx", "sy"))) & (F.col("off") < geo.planar(*c("mx", "my", "ex", "ey")))
+    hit = F.coalesce((F.col("v") >= -0.3) & (F.col("v") <= 1.3) & (geo.turn(F.col("heading"), F.col("bearing")) <= 45) & within, F.lit(False))
+    return rows.select("agent_id", "link_seq", "cell_id", "g", "trace_no", "sec", "p", deviation.alias("deviation"), beside.alias("beside"), hit.alias("hit"), "link_distance")
 
 
 def scored(kept: DataFrame, links: DataFrame) -> DataFrame:

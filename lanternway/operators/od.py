@@ -27,15 +27,17 @@ def boundary_points(kept: DataFrame) -> DataFrame:
     return full.select("agent_id", "a0", F.coalesce("a1", "a0").alias("a1"), F.coalesce("z0", "z1").alias("z0"), "z1", (F.col("last") + 1).alias("n_points"))
 
 
-def end_score(p0: Column, p1: Column, length: Column) -> Column:
-    """How badly a link (columns fx, fy, tx, ty, link_distance) fits two points; smaller is better."""
-    ends = [F.col(c) for c in ("fx", "fy", "tx", "ty")]
-    at_from = geo.planar(p0["x"], p0["y"], ends[0], ends[1])
-    at_to = geo.planar(p1["x"], p1["y"], ends[2], ends[3])
-    beside = geo.point_line(p0["x"], p0["y"], *ends, False) + geo.point_line(p1["x"], p1["y"], *ends, False)
-    plain = F.when(geo.well_conditioned(F.col("link_distance"), length), (beside + at_from + at_to) / 4).otherwise(F.least(at_from, at_to))
-    turn = geo.turn(geo.angle(p0["x"], p0["y"], p1["x"], p1["y"]), geo.angle(*ends))
-    return plain * F.when(turn > 45, 10.0).otherwise(1.0)
+def with_score(pairs: DataFrame) -> DataFrame:
+    """Adds ``score``: how badly a link (fx, fy, tx, ty, link_distance, bearing) fits two points (p0, p1, heading).
+
+    Smaller is better. Feet of the points are columns of their own, so the plan stays small.
+    """
+    link = [F.col(c) for c in ("fx", "fy", "tx", "ty")]
+    p, q = [F.col("p0.x"), F.col("p0.y")], [F.col("p1.x"), F.col("p1.y")]
+    rows = pairs.withColumns({"_u": geo.foot(*p, *link), "_v": geo.foot(*q, *link), "_from": geo.planar(*p, *link[:2]), "_to": geo.planar(*q, *link[2:])})
+    beside = lambda u, at: F.when((F.col(u) < 0) | (F.col(u) > 1), F.lit(RESOLUTION)).otherwise(geo.to_foot(F.col(u), *at, *link))
+    plain = F.when(geo.well_conditioned(F.col("link_distance"), F.col("length")), (beside("_u", p) + beside("_v", q) + F.col("_from") + F.col("_to")) / 4).otherwise(F.least("_from", "_to"))
+    return rows.withColumn("score", plain * F.when(geo.turn(F.col("heading"), F.col("bearing")) > 45, 10.0).otherwise(1.0))
 
 
 def best_ends(asked: DataFrame, links: DataFrame, resolution: float = RESOLUTION) -> DataFrame:
@@ -47,7 +49,7 @@ def best_ends(asked: DataFrame, links: DataFrame, resolution: float = RESOLUTION
     one cell covers all: then all links are candidates. No step compares all agents with all links.
     Each round is written, so that rounds do not repeat each other's work.
     """
-    asked = saved(asked, "od-asked")
+    asked = saved(asked.withColumn("heading", geo.angle(F.col("p0.x"), F.col("p0.y"), F.col("p1.x"), F.col("p1.y"))), "od-asked")
     box = links.agg(F.min(F.least("fx", "tx")), F.max(F.greatest("fx", "tx")), F.min(F.least("fy", "ty")), F.max(F.greatest("fy", "ty"))).first()
     if box[0] is None:
         return asked.select("agent_id", "which", F.lit(None).cast("long").alias("link_seq"), F.lit(None).cast("double").alias("score")).limit(0)
@@ -56,14 +58,14 @@ def best_ends(asked: DataFrame, links: DataFrame, resolution: float = RESOLUTION
         return asked.select("agent_id", "which", F.lit(None).cast("long").alias("link_seq"), F.lit(None).cast("double").alias("score")).limit(0)
     span = max(max(box[1], reach[1]) - min(box[0], reach[0]), max(box[3], reach[3]) - min(box[2], reach[2]))
     side, out, left = resolution, None, asked
-    keyed = links.select(F.col("seq").alias("link_seq"), "fx", "fy", "tx", "ty", "link_distance", "link_type_code")
+    keyed = links.select(F.col("seq").alias("link_seq"), "fx", "fy", "tx", "ty", "link_distance", "link_type_code", geo.angle(*[F.col(c) for c in ("fx", "fy", "tx", "ty")]).alias("bearing"))
     while True:
         at = lambda v, s=side: F.floor(v / F.lit(s)).cast("long")
-        homes = keyed.withColumn("k", F.explode(F.array(F.struct(F.lit(0).alias("e"), at(F.col("fx")).alias("i"), at(F.col("fy")).alias("j")), F.struct(F.lit(1).alias("e"), at(F.col("tx")).alias("i"), at(F.col("ty")).alias("j"))))).select("link_seq", "fx", "fy", "tx", "ty", "link_distance", "link_type_code", "k.e", "k.i", "k.j")
+        homes = keyed.withColumn("k", F.explode(F.array(F.struct(F.lit(0).alias("e"), at(F.col("fx")).alias("i"), at(F.col("fy")).alias("j")), F.struct(F.lit(1).alias("e"), at(F.col("tx")).alias("i"), at(F.col("ty")).alias("j"))))).select("link_seq", "fx", "fy", "tx", "ty", "link_distance", "link_type_code", "bearing", "k.e", "k.i", "k.j")
         step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
         spots = left.withColumn("_k", F.explode(F.array(F.struct(F.lit(0).alias("e"), F.col("p0").alias("p")), F.struct(F.lit(1).alias("e"), F.col("p1").alias("p"))))).withColumn("_i", step).withColumn("_j", step)
         spots = spots.withColumn("e", F.col("_k.e")).withColumn("i", at(F.col("_k.p.x")) + F.col("_i")).withColumn("j", at(F.col("_k.p.y")) + F.col("_j"))
-        pairs = spots.join(homes, ["e", "i", "j"]).where(permitted(F.col("allowed"), F.col("blocked"), F.col("link_type_code"))).withColumn("score", end_score(F.col("p0"), F.col("p1"), F.col("length"))).where("score is not null")
+        pairs = with_score(spots.join(homes, ["e", "i", "j"]).where(permitted(F.col("allowed"), F.col("blocked"), F.col("link_type_code")))).where("score is not null")
         best = pairs.groupBy("agent_id", "which").agg(F.min(F.struct("score", "link_seq")).alias("b")).select("agent_id", "which", "b.link_seq", "b.score")
         done = side > span
         sure = saved(best if done else best.where(F.col("score") <= side / 2), "od-found")
