@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternway.llm.common import pick, slices, strings
+from lanternway.llm.common import pick, slices, strings, written
 
 #: Words of the lexicon at most, and symbols up to which unseen words are merged in numpy.
 LEXICON, SHORT = 65_536, 48
@@ -331,11 +331,16 @@ def words_of(text: str, v: Vocabulary) -> list[str]:
 
 
 def frequent_words(rows: DataFrame, path: str, size: int) -> list[str]:
-    """The most frequent words of `rows.text`, counted over all documents; ties to the smaller word."""
+    """The most frequent words of `rows.text`, `size` at most, counted over all documents.
+
+    Words fall into classes by the logarithm of their count; the highest classes that together hold
+    no more than `size` words are taken whole. So the driver gets a few hundred class sizes and then
+    `size` words at most, however many tasks have counted.
+    """
 
     def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary_at(path)
-        for batch in slices(batches, "text", 32 << 20):
+        for batch in slices(batches, "text", 8 << 20):
             seen: Counter[str] = Counter()
             for t in strings(batch.column(0)):
                 seen.update(words_of(t, v))
@@ -343,7 +348,15 @@ def frequent_words(rows: DataFrame, path: str, size: int) -> list[str]:
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([seen[w] for w in own], pa.int64())], ["word", "n"])
 
     counted = rows.select("text").mapInArrow(tally, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]
+    level = F.floor(8 * F.log2("n")).cast("int")
+    ranked = written(counted.select("word", level.alias("level")), "word-counts")
+    least, total = None, 0
+    for r in sorted(ranked.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        total += r["count"]
+        if total > size:
+            break
+        least = r["level"]
+    return [] if least is None else [r["word"] for r in ranked.where(F.col("level") >= least).collect()]
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, lexicon_words: int = LEXICON) -> DataFrame:
@@ -355,7 +368,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, own = vocabulary_at(path), Lexicon(*shared.value)
         automaton = own.mapped()
-        for batch in slices(batches, "text", 16 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             ids, size = encode_batch(strings(batch.column(1)), v, own, automaton)
             ends = np.append(0, np.cumsum(size)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
