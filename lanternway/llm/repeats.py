@@ -305,7 +305,7 @@ def repeated_anchors(rows: DataFrame, bits: int, ranges: int) -> np.ndarray:
     parts = min(256, 1 << bits)
 
     def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             h, n = np.unique(anchors(*_texts(batch))[3], return_counts=True)
             h = np.concatenate([h, h[n > 1]])
             order, places, cuts = _by_range((h >> np.uint64(64 - bits)).astype(np.int64) * parts >> bits)
@@ -342,7 +342,7 @@ def repeats(rows: DataFrame) -> DataFrame:
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for batch in slices(batches, "text", 3 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             data, first, size = _texts(batch)
             text, window, n, h = anchors(data, first, size)
             bit = (h >> np.uint64(64 - bits)).astype(np.int64)
@@ -355,7 +355,7 @@ def repeats(rows: DataFrame) -> DataFrame:
             stay, again = combined(own, data.tobytes(), window)
             done, keep, where = whole(own[again]), own[stay], window[stay]
             length = keep["n"].astype(np.int64) + WINDOW - 1
-            press = zstandard.ZstdCompressor(level=1)
+            press = zstandard.ZstdCompressor(level=3)
             for kind, some in ((0, keep), (1, done)):
                 if not len(some):
                     continue
@@ -402,7 +402,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: ``doc_id, n_bytes, spans`` (removed byte ranges) ``, kept`` (the bytes that stay)."""
     rows = pick(docs, doc_id=id_col, text=text_col)
-    keyed = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc"), "text", F.xxhash64("text").alias("tid"), "doc_id")
+    keyed = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc"), "text", F.hash("text").cast("long").alias("tid"), "doc_id")
     found = written(repeats(keyed.select("doc", "text", "tid")), "repeats")
     per = found.groupBy("doc", "tid").agg(F.collect_list(F.struct("start", "end")).alias("hits"))
     joined = keyed.join(per, ["doc", "tid"], "left").select("doc_id", "text", "hits")
