@@ -78,13 +78,16 @@ def directory_of(rows: DataFrame, capacity: int = BUCKET_BYTES) -> Directory:
 
 
 class ExactDedup:
-    """The index over `docs`; `assignments()` and `kept()` read its two written tables."""
+    """Exact duplicates of `docs`: `assignments()` names every row's group, `kept()` gives the rows that stay."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        self.columns = docs.columns
-        id_type = docs.schema[id_col].dataType.simpleString()
-        directory = directory_of(pick(docs, text=text_col))
-        at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
+        self.docs, self.id_col, self.text_col = docs, id_col, text_col
+        self.id_type = docs.schema[id_col].dataType.simpleString()
+        self.directory = directory_of(pick(docs, text=text_col))
+
+    def _entries(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """Entries of the index: equal texts of a batch in one row, with all columns (c0, c1 ...) of the largest id."""
+        directory, at_id, at_text = self.directory, docs.columns.index(id_col), docs.columns.index(text_col)
         names = [f"c{i}" for i in range(len(docs.columns))]
         rows = docs.toDF(*names).withColumn("key", key_of(F.col(names[at_text])))
 
@@ -111,22 +114,71 @@ class ExactDedup:
                 yield pa.RecordBatch.from_arrays([*new.values(), *(batch.column(i).take(top) for i in range(len(names)))], [*new, *names])
 
         fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
-        self.entries = written(rows.mapInArrow(combine, f"rep long, key long, bucket long, ids array<{id_type}>, digest string, {fields}"), "exact-entries")
-        spark = docs.sparkSession
-        owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        to_owner = self.entries.select("rep", "key", "bucket", F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("top"), F.coalesce(names[at_text], F.lit("")).cast("binary").alias("text"))
-        sorted_ = to_owner.repartition(owners, "bucket").sortWithinPartitions("key")
-        self.answers = written(sorted_.mapInArrow(resolve, f"rep long, keep_id {id_type}, group_size long, won boolean"), "exact-answers")
+        return rows.mapInArrow(combine, f"rep long, key long, bucket long, ids array<{self.id_type}>, digest string, {fields}")
+
+    def _at_owners(self, entries: DataFrame, text: str, *more: str) -> DataFrame:
+        """Entries at the owner task of their bucket, sorted by key."""
+        owners = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+        own = entries.select("rep", "key", "bucket", F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("top"), F.coalesce(text, F.lit("")).cast("binary").alias("text"), *more)
+        return own.repartition(owners, "bucket").sortWithinPartitions("key")
 
     def assignments(self) -> DataFrame:
         """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``."""
-        rows = self.entries.select("rep", "digest", F.posexplode("ids").alias("place", "doc_id"))
-        return rows.join(self.answers, "rep").select("doc_id", "keep_id", "group_size", (F.col("won") & (F.col("place") == 0)).alias("kept"), F.col("digest").alias("text_sha256"))
+        entries = written(self._entries(pick(self.docs, doc_id=self.id_col, text=self.text_col), "doc_id", "text"), "exact-entries")
+        answers = written(self._at_owners(entries, "c1").mapInArrow(resolve, f"rep long, keep_id {self.id_type}, group_size long, won boolean"), "exact-answers")
+        rows = entries.select("rep", "digest", F.posexplode("ids").alias("place", "doc_id"))
+        return rows.join(answers, "rep").select("doc_id", "keep_id", "group_size", (F.col("won") & (F.col("place") == 0)).alias("kept"), F.col("digest").alias("text_sha256"))
 
     def kept(self) -> DataFrame:
-        """The rows that stay, with all columns of the input."""
-        won = self.answers.where("won").select("rep")
-        return self.entries.join(won, "rep", "left_semi").select(*[f"c{i}" for i in range(len(self.columns))]).toDF(*self.columns)
+        """The rows that stay, with all columns of the input: owners pass them on, so the text moves once."""
+        names = [f"c{i}" for i in range(len(self.docs.columns))]
+        text = names[self.docs.columns.index(self.text_col)]
+        owned = self._at_owners(self._entries(self.docs, self.id_col, self.text_col), text, *[n for n in names if n != text], F.col(text).isNull().alias("_null"))
+        fields = {f.name: f.dataType.simpleString() for f in owned.schema}
+        order = [n for n in names if n != text]
+        won = owned.mapInArrow(winners, ", ".join(f"{n} {fields[n]}" for n in order) + ", text binary, _null boolean")
+        whole = F.when(~F.col("_null"), F.col("text").cast("string")).alias(text)
+        return won.select(*[whole if n == text else F.col(n) for n in names]).toDF(*self.docs.columns)
+
+
+def winners(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Owner task: of each chain of equal texts the row with the largest id, whole."""
+    key, chains, done = None, [], []
+
+    def better(a: tuple, b: tuple) -> bool:
+        return (a[0] is not None, a[0] if a[0] is not None else 0, -a[1]) > (b[0] is not None, b[0] if b[0] is not None else 0, -b[1])
+
+    names: list[str] = []
+    for batch in batches:
+        names = names or [n for n in batch.schema.names if n.startswith("c")] + ["text", "_null"]
+        reps, keys, tops = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("rep", "key", "top"))
+        texts = batch.column(batch.schema.get_field_index("text"))
+        row = batch.select(names)
+        for i, k in enumerate(keys):
+            if k != key:
+                done += [c[2] for c in chains]
+                key, chains = k, []
+            text, rank = texts[i].as_py(), (tops[i], reps[i])
+            chain = next((c for c in chains if c[0] == text), None)
+            if chain is None:
+                chains.append([text, rank, (row, i)])
+            elif better(rank, chain[1]):
+                chain[1:] = [rank, (row, i)]
+        # what is decided leaves now; an open chain keeps a copy of its row only
+        if done:
+            yield gathered(done)
+            done = []
+        chains = [[t, r, (source.take(pa.array([at])), 0)] for t, r, (source, at) in chains]
+    if chains:
+        yield gathered([c[2] for c in chains])
+
+
+def gathered(rows: list[tuple[pa.RecordBatch, int]]) -> pa.RecordBatch:
+    """One batch of rows that stand in several."""
+    by: dict[int, tuple[pa.RecordBatch, list[int]]] = {}
+    for source, at in rows:
+        by.setdefault(id(source), (source, []))[1].append(at)
+    return pa.Table.from_batches([source.take(pa.array(at)) for source, at in by.values()]).combine_chunks().to_batches()[0]
 
 
 def resolve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
