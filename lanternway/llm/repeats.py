@@ -7,8 +7,10 @@ they stand. Windows are dealt to shards by the hash of their anchor; no match cr
 1. A scan counts anchors. A bit table of bounded size (`FILTER_BITS`) notes those met more than once;
    if it fills up, more is sent in step 2 and nothing is lost.
 2. A scan cuts, for every anchor that may repeat, the *context*: the bytes of all its windows. Equal
-   contexts of a batch, and again of a range of anchors, share one entry of a dictionary, that of
-   the earliest; the windows of the others repeat its windows. Batches travel compressed.
+   contexts of `HELD_BYTES`, and again of a range of anchors, share one entry of a dictionary, that of
+   the earliest; the windows of the others repeat its windows. Contexts travel compressed. Those of a
+   hot anchor (met in over `HOT` contexts) are cut further, by the place of the anchor in the window
+   and all bytes that windows of such places must share, so that no anchor's group fills a task.
 3. Each shard holds at most `SHARD_BYTES` of distinct contexts and gets a suffix array by Larsson-Sadakane
    refinement (only groups that are not yet single are sorted again, by the rank `h` further on), and
    Kasai common prefixes, in numpy. Neighbours that share 100 bytes form classes; the earliest start
@@ -34,8 +36,15 @@ from pyspark.sql import functions as F
 from lanternway.llm.common import pick, slices, written
 
 WINDOW, GRAM = 100, 32
-SHARD_BYTES, FILTER_BITS = 1 << 20, 29
+SHARD_BYTES, FILTER_BITS = 1 << 19, 29
+#: Bytes of text cut at once, of contexts held before they travel, and of text for one range of anchors.
+SLICE_BYTES, HELD_BYTES, RANGE_BYTES = 1 << 20, 16 << 20, 6 << 20
+#: Contexts from which an anchor is hot (or one in 2**22 of all anchors, so that the list of hot ones stays
+#: below 32 MB), and the places of a hot anchor in its window that share a range.
+HOT, PLACES = 4096, 12
 RECORD = np.dtype([("h", "<u8"), ("doc", "<i8"), ("tid", "<i8"), ("start", "<i4"), ("n", "<i4")])
+#: What travels of a context (of `h` the upper half), and of a range that is known to repeat.
+SENT = ({"h": "<u4", "doc": "<i8", "tid": "<i4", "start": "<i4", "n": "u1"}, {"doc": "<i8", "tid": "<i4", "start": "<i4", "n": "<i4"})
 _FIRST = -(2**63)
 
 
@@ -84,6 +93,29 @@ def anchors(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.n
     return np.repeat(long_, n)[begin], at[begin], np.diff(np.append(begin, len(at))), h[anchor[begin]]
 
 
+def split_hot(data: np.ndarray, first: np.ndarray, n: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first window, windows, hash) of hot contexts, cut by the place of the anchor in the window.
+
+    Windows with the anchor at place a or the `PLACES` - 1 after it hold the bytes from a before the anchor to
+    the end of a window with the anchor at the last of these places; the hash is that of those bytes.
+    """
+    grams = gram_hashes(data)
+    widest = WINDOW - GRAM
+    at = first[:, None] + n[:, None] - 1 + np.arange(widest + 1)
+    anchor = at[np.arange(len(at)), (grams[np.minimum(at, len(grams) - 1)] == h[:, None]).argmax(1)]
+    out = []
+    for a in range(0, widest + 1, PLACES):
+        last = min(a + PLACES - 1, widest)
+        lo, hi = np.maximum(first, anchor - last), np.minimum(first + n - 1, anchor - a)
+        row = np.flatnonzero(lo <= hi)
+        begin, size = (anchor - a)[row], WINDOW - (last - a)
+        mix = np.full(len(row), a + 1, np.uint64)
+        for step in (*range(0, size - GRAM, GRAM), size - GRAM):
+            mix = _mixed(mix * np.uint64(0x9E3779B97F4A7C15) + grams[begin + step])
+        out.append((row, lo[row], (hi - lo + 1)[row], mix))
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(4))
+
+
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffixes, rank) in the order of their first `depth` bytes at least, by Larsson-Sadakane refinement."""
     n = len(data)
@@ -185,6 +217,7 @@ class Shard:
         self.lead = np.empty(len(self.at), np.int64)
         self.lead[window] = lead
         self.data = data
+        del self.window, self.kind
 
     def sorted_windows(self) -> np.ndarray:
         """The bytes of each class, in order; all have one width, so trailing zeros compare right."""
@@ -248,19 +281,57 @@ def whole(records: np.ndarray) -> np.ndarray:
     return out
 
 
-def find_repeats(records: np.ndarray, data: np.ndarray, limit: int = SHARD_BYTES) -> list[np.ndarray]:
+class Contexts:
+    """Contexts held in memory; equal ones are combined whenever `limit` more bytes have come."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.records, self.data, self.size, self.least = limit, [], [], 0, 0
+
+    def add(self, records: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Takes contexts; returns the byte ranges found to repeat."""
+        self.records.append(records)
+        self.data.append(data)
+        self.size += len(data)
+        return self.combine() if self.size > self.least + self.limit else np.zeros(0, RECORD)
+
+    def combine(self) -> np.ndarray:
+        if not self.records:
+            return np.zeros(0, RECORD)
+        records, data = np.concatenate(self.records), np.concatenate(self.data)
+        self.records, self.data = [], []
+        length = records["n"].astype(np.int64) + WINDOW - 1
+        first = np.cumsum(length) - length
+        stay, again = combined(records, data.tobytes(), first)
+        done = whole(records[again])
+        if len(again):
+            records, data = records[stay], data[spread(first[stay], length[stay])]
+        self.records, self.data, self.size, self.least = [records], [data], len(data), len(data)
+        return done
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """All that is held, which is held no more."""
+        out = np.concatenate([np.zeros(0, RECORD), *self.records]), np.concatenate([np.zeros(0, np.uint8), *self.data])
+        self.records, self.data, self.size, self.least = [], [], 0, 0
+        return out
+
+
+def find_repeats(records: np.ndarray, data: np.ndarray, limit: int = SHARD_BYTES) -> Iterator[np.ndarray]:
     """Repeated windows of all contexts of a range of anchors."""
-    if not len(records):
-        return []
+    held = Contexts(len(data))
+    held.add(records, data)
+    yield held.combine()
+    yield from distinct_repeats(*held.take(), limit)
+
+
+def distinct_repeats(records: np.ndarray, data: np.ndarray, limit: int = SHARD_BYTES) -> Iterator[np.ndarray]:
+    """Repeated windows of contexts of which no two are equal."""
     length = records["n"].astype(np.int64) + WINDOW - 1
     first = np.cumsum(length) - length
-    stay, again = combined(records, data.tobytes(), first)
-    out, held, size = [whole(records[again])], [], 0
+    held, size = [], 0
     many = np.unique(records["h"], return_inverse=True, return_counts=True)
-    met = many[2][many[1]][stay]  # how often the anchor of each distinct context is met
-    stay = stay[met > 1]  # an anchor met once has no partner
+    stay = np.flatnonzero(many[2][many[1]] > 1)  # an anchor met once has no partner
     if not len(stay):
-        return out
+        return
     by = stay[np.argsort(records["h"][stay], kind="stable")]
     records, first, length = records[by], first[by], length[by]
     anchor = np.cumsum(np.append(True, records["h"][1:] != records["h"][:-1])) - 1
@@ -276,16 +347,15 @@ def find_repeats(records: np.ndarray, data: np.ndarray, limit: int = SHARD_BYTES
             part = np.cumsum(length[rows]) // limit
             several = [shard(rows[part == p]) for p in np.unique(part)]
             merge_shards(several)
-            out += [s.intervals() for s in several]
+            yield from (s.intervals() for s in several)
             continue
         held.append(rows)
         size += int(total[g])
         if size >= limit:
-            out.append(shard(np.concatenate(held)).intervals())
+            yield shard(np.concatenate(held)).intervals()
             held, size = [], 0
     if held:
-        out.append(shard(np.concatenate(held)).intervals())
-    return out
+        yield shard(np.concatenate(held)).intervals()
 
 
 def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -300,90 +370,127 @@ def _by_range(to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, places, np.append(first, len(to))
 
 
-def repeated_anchors(rows: DataFrame, bits: int, ranges: int) -> np.ndarray:
-    """The bit table of anchors met more than once."""
+def repeated_anchors(rows: DataFrame, bits: int, ranges: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bit table of anchors met more than once, sorted anchors met over `hot` times)."""
     parts = min(256, 1 << bits)
 
     def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", SLICE_BYTES):
             h, n = np.unique(anchors(*_texts(batch))[3], return_counts=True)
-            h = np.concatenate([h, h[n > 1]])
-            order, places, cuts = _by_range((h >> np.uint64(64 - bits)).astype(np.int64) * parts >> bits)
-            h = h[order]
-            yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int32)), pa.array([h[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["part", "h"])
+            places, first = np.unique((h >> np.uint64(64 - bits)).astype(np.int64) * parts >> bits, return_index=True)
+            cuts, n = np.append(first, len(h)), np.minimum(n, 255).astype(np.uint8)
+            blobs = [h[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "h"])
 
     def tables(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
+        held: dict[int, list[bytes]] = {}
         for batch in batches:
-            for p, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(p, []).append(np.frombuffer(h, np.uint64))
-        for p, own in held.items():
-            h = np.sort(np.concatenate(own))
-            again = np.unique(h[1:][h[1:] == h[:-1]] >> np.uint64(64 - bits)).astype(np.int64)
+            for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.setdefault(p, []).append(blob)
+        for p in list(held):
+            own = held.pop(p)
+            h = np.concatenate([np.frombuffer(b, np.uint64, len(b) // 9) for b in own])
+            n = np.concatenate([np.frombuffer(b, np.uint8, offset=len(b) // 9 * 8) for b in own])
+            order = np.argsort(h)
+            h, n = h[order], n[order]
+            new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            h, n = h[new], np.add.reduceat(n, new, dtype=np.int64)
+            again = np.unique(h[n > 1] >> np.uint64(64 - bits)).astype(np.int64)
             bit = np.zeros((1 << bits) // parts, bool)
             bit[again - p * len(bit)] = True
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(bit).tobytes()], pa.binary())], ["part", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(bit).tobytes()], pa.binary()), pa.array([h[n > hot].tobytes()], pa.binary())], ["part", "bits", "hot"])
 
-    found = rows.select("doc", "text").mapInArrow(tally, "part int, h binary").repartition(ranges, "part").mapInArrow(tables, "part int, bits binary")
+    found = rows.select("doc", "text").mapInArrow(tally, "part int, h binary").repartition(ranges, "part").mapInArrow(tables, "part int, bits binary, hot binary")
     table = np.zeros(parts * max(1, (1 << bits) // parts // 8), np.uint8)
-    size = len(table) // parts
-    for r in found.collect():  # bounded: the table's size
+    size, many = len(table) // parts, [np.zeros(0, np.uint64)]
+    for r in found.collect():  # bounded: the table's size, and the list of hot anchors
         table[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    return table
+        many.append(np.frombuffer(r["hot"], np.uint64))
+    return table, np.sort(np.concatenate(many))
+
+
+def _packed(kind: int, rows: np.ndarray, length: np.ndarray | None, data: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """Rows as one compressed blob per range of anchors."""
+    order, places, cuts = _by_range((rows["h"] % np.uint64(ranges)).astype(np.int64))
+    rows, press, blobs = rows[order], zstandard.ZstdCompressor(level=5), []
+    first = None if length is None else (np.cumsum(length) - length)[order]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        columns = [(rows["h"][a:b] >> np.uint64(32) if c == "h" else rows[c][a:b]).astype(t).tobytes() for c, t in SENT[kind].items()]
+        context = b"" if first is None else data[spread(first[a:b], length[order[a:b]])].tobytes()
+        blobs.append(int(b - a).to_bytes(8, "little") + press.compress(b"".join(columns) + context))
+    return pa.RecordBatch.from_arrays([pa.array(places.astype(np.int32)), pa.array([kind] * len(places), pa.int32()), pa.array(blobs, pa.binary())], ["range", "kind", "rows"])
+
+
+def _unpacked(kind: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, plain, at = int.from_bytes(blob[:8], "little"), zstandard.ZstdDecompressor().decompress(blob[8:]), 0
+    rows = np.zeros(n, RECORD)
+    for c, t in SENT[kind].items():
+        rows[c] = np.frombuffer(plain, t, n, at)
+        at += n * np.dtype(t).itemsize
+    return rows, np.frombuffer(plain, np.uint8, offset=at).copy()
 
 
 def repeats(rows: DataFrame) -> DataFrame:
     """``doc, tid, start, end``: byte ranges of `rows` (doc, tid, text) that repeat earlier windows."""
     spark = rows.sparkSession
-    count = rows.count()
+    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     bits = int(np.clip((256 * count).bit_length(), 16, FILTER_BITS))
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // 4000, 1)
-    shared = spark.sparkContext.broadcast(repeated_anchors(rows, bits, ranges))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(least, size // RANGE_BYTES, 1)
+    # a task of the first count holds 8 bytes for about every 35 of text
+    shared = spark.sparkContext.broadcast(repeated_anchors(rows, bits, max(least, min(ranges, 256)), max(HOT, size // 35 >> 22)))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in slices(batches, "text", 2 << 20):
+        table, hot = shared.value
+        held = Contexts(HELD_BYTES)
+
+        def sent(done: np.ndarray, everything: bool = False) -> Iterator[pa.RecordBatch]:
+            if len(done):
+                yield _packed(1, done, None, done, ranges)
+            if everything or 2 * held.size > held.limit:
+                own, data = held.take()
+                if len(own):
+                    yield _packed(0, own, own["n"].astype(np.int64) + WINDOW - 1, data, ranges)
+
+        for batch in slices(batches, "text", SLICE_BYTES):
             data, first, size = _texts(batch)
             text, window, n, h = anchors(data, first, size)
             bit = (h >> np.uint64(64 - bits)).astype(np.int64)
             may = np.flatnonzero(table[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1)
             text, window, n, h = text[may], window[may], n[may], h[may]
-            own = np.zeros(len(may), RECORD)
+            if len(hot) and len(h):
+                much = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+                if much.any():
+                    row, *cuts = split_hot(data, window[much], n[much], h[much])
+                    text = np.concatenate([text[~much], text[much][row]])
+                    window, n, h = (np.concatenate([old[~much], new]) for old, new in zip((window, n, h), cuts, strict=True))
+            own = np.zeros(len(h), RECORD)
             own["h"], own["start"], own["n"] = h, window - first[text], n
             own["doc"] = batch.column(0).to_numpy(zero_copy_only=False)[text]
             own["tid"] = batch.column(2).to_numpy(zero_copy_only=False)[text]
-            stay, again = combined(own, data.tobytes(), window)
-            done, keep, where = whole(own[again]), own[stay], window[stay]
-            length = keep["n"].astype(np.int64) + WINDOW - 1
-            press = zstandard.ZstdCompressor(level=3)
-            for kind, some in ((0, keep), (1, done)):
-                if not len(some):
-                    continue
-                order, places, cuts = _by_range((some["h"] % np.uint64(ranges)).astype(np.int64))
-                some, blobs = some[order], []
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    columns = b"".join(np.ascontiguousarray(some[c][a:b]).tobytes() for c in RECORD.names)
-                    context = b"" if kind else data[spread(where[order[a:b]], length[order[a:b]])].tobytes()
-                    blobs.append(int(b - a).to_bytes(8, "little") + press.compress(columns + context))
-                yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int32)), pa.array([kind] * len(places), pa.int32()), pa.array(blobs, pa.binary())], ["range", "kind", "rows"])
+            length = n + WINDOW - 1
+            part = np.cumsum(length) // (4 * SLICE_BYTES)
+            for p in np.unique(part):
+                now = np.flatnonzero(part == p)
+                done = held.add(own[now], data[spread(window[now], length[now])])
+                if held.size == held.least:  # just combined
+                    yield from sent(done)
+        yield from sent(held.combine(), True)
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        records, data, out = [], [], []
+        def out(own: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(own[c])) for c in ("doc", "tid", "start", "n")], ["doc", "tid", "start", "end"])
+
+        held = Contexts(HELD_BYTES)
         for batch in batches:
             for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                blob = blob.as_py()
-                n, plain, at = int.from_bytes(blob[:8], "little"), zstandard.ZstdDecompressor().decompress(blob[8:]), 0
-                own = np.empty(n, RECORD)
-                for c in RECORD.names:
-                    own[c] = np.frombuffer(plain, RECORD[c], n, at)
-                    at += n * RECORD[c].itemsize
-                (out if kind else records).append(own)
-                if not kind:
-                    data.append(np.frombuffer(plain, np.uint8, offset=at).copy())
-        if records:
-            out += find_repeats(np.concatenate(records), np.concatenate(data))
-        for own in out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(own[c])) for c in ("doc", "tid", "start", "n")], ["doc", "tid", "start", "end"])
+                own, data = _unpacked(kind, blob.as_py())
+                if len(done := own if kind else held.add(own, data)):
+                    yield out(done)
+        yield out(held.combine())
+        for own in distinct_repeats(*held.take()):
+            if len(own):
+                yield out(own)
 
     contexts = rows.mapInArrow(cut, "range int, kind int, rows binary")
     return contexts.repartition(ranges, "range").mapInArrow(meet, "doc long, tid long, start int, end int")

@@ -259,3 +259,27 @@ def test_quantiser_recall():
     assert np.mean(near) > 0.9
 
 
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_repeats_of_hot_anchors(seed):
+    """Contexts cut by the place of their anchor give the same ranges as whole ones."""
+    rng = random.Random(seed)
+    passage = "".join(rng.choice("abcdef ") for _ in range(260))
+    docs = [("".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 150))) + passage[rng.randint(0, 40) :] + "".join(rng.choice("ab") for _ in range(rng.randint(0, 150)))).encode() for _ in range(30)]
+    size = np.array([len(r) for r in docs])
+    first, data = np.cumsum(size) - size, np.frombuffer(b"".join(docs), np.uint8)
+
+    def found(text, window, n, h):
+        rec = np.zeros(len(text), repeats.RECORD)
+        rec["h"], rec["doc"], rec["start"], rec["n"] = h, text, window - first[text], n
+        got = [np.zeros(len(r), bool) for r in docs]
+        for part in repeats.find_repeats(rec, data[repeats.spread(window, n + 99)]):
+            for x in part:
+                got[x["doc"]][x["start"] : x["n"]] = True
+        return b"".join(g.tobytes() for g in got)
+
+    text, window, n, h = repeats.anchors(data, first, size)
+    row, *cuts = repeats.split_hot(data, window, n, h)
+    assert sum(cuts[1]) == sum(n) and max(cuts[1]) <= repeats.PLACES
+    assert found(text[row], *cuts) == found(text, window, n, h)
