@@ -38,7 +38,7 @@ from lanternway.llm.common import pick, slices, written
 WINDOW, GRAM = 100, 32
 SHARD_BYTES, FILTER_BITS = 1 << 19, 29
 #: Bytes of text cut at once, of contexts held before they travel, and of text for one range of anchors.
-SLICE_BYTES, HELD_BYTES, RANGE_BYTES = 1 << 20, 16 << 20, 6 << 20
+SLICE_BYTES, HELD_BYTES, RANGE_BYTES = 1 << 20, 8 << 20, 6 << 20
 #: Contexts from which an anchor is hot (or one in 2**22 of all anchors, so that the list of hot ones stays
 #: below 32 MB), and the places of a hot anchor in its window that share a range.
 HOT, PLACES = 4096, 12
@@ -431,7 +431,7 @@ def _unpacked(kind: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeats(rows: DataFrame) -> DataFrame:
-    """``doc, tid, start, end``: byte ranges of `rows` (doc, tid, text) that repeat earlier windows."""
+    """``doc, tid, start, end``: byte ranges of `rows` (doc, tid, text) that repeat earlier windows; written once."""
     spark = rows.sparkSession
     count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     bits = int(np.clip((256 * count).bit_length(), 16, FILTER_BITS))
@@ -493,7 +493,9 @@ def repeats(rows: DataFrame) -> DataFrame:
                 yield out(own)
 
     contexts = rows.mapInArrow(cut, "range int, kind int, rows binary")
-    return contexts.repartition(ranges, "range").mapInArrow(meet, "doc long, tid long, start int, end int")
+    found = written(contexts.repartition(ranges, "range").mapInArrow(meet, "doc long, tid long, start int, end int"), "repeats")
+    shared.unpersist()  # workers need not hold the tables any longer
+    return found
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -510,7 +512,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row: ``doc_id, n_bytes, spans`` (removed byte ranges) ``, kept`` (the bytes that stay)."""
     rows = pick(docs, doc_id=id_col, text=text_col)
     keyed = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc"), "text", F.hash("text").cast("long").alias("tid"), "doc_id")
-    found = written(repeats(keyed.select("doc", "text", "tid")), "repeats")
+    found = repeats(keyed.select("doc", "text", "tid"))
     per = found.groupBy("doc", "tid").agg(F.collect_list(F.struct("start", "end")).alias("hits"))
     joined = keyed.join(per, ["doc", "tid"], "left").select("doc_id", "text", "hits")
 
