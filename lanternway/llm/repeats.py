@@ -62,6 +62,12 @@ def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
+def gathered(raw: bytes, first: np.ndarray, length: np.ndarray) -> bytes:
+    """The bytes of many ranges; unlike an index array, it takes no more room than they do."""
+    view = memoryview(raw)
+    return b"".join([view[a : a + n] for a, n in zip(first.tolist(), length.tolist(), strict=True)])
+
+
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the `GRAM` bytes from each position on, by doubling."""
     h, step = _BYTE[data], 1
@@ -123,11 +129,11 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = key << np.uint64(8) | padded[i : n + i]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key, kind="stable").astype(np.int32)
     key = key[order]
     new = np.append(True, key[1:] != key[:-1]) if n else np.zeros(0, bool)
     group = np.flatnonzero(new)[np.cumsum(new) - 1] if n else np.zeros(0, np.int64)
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     rank[order] = group
     h = 8
     while h < depth:
@@ -157,7 +163,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, most:
     order is arbitrary they give no bound.
     """
     n = len(data)
-    before = np.empty(n, np.int64)
+    before = np.empty(n, np.int32)
     before[order[1:]], before[order[:1]] = order[:-1], -1
     tied = np.zeros(n, bool)
     tied[order[1:]] = rank[order[1:]] == rank[order[:-1]]
@@ -196,13 +202,14 @@ class Shard:
         self.records = records
         n = records["n"].astype(np.int64)
         length = n + WINDOW - 1
-        self.at = spread(np.cumsum(length) - length, n)  # places of the windows
-        self.row = np.repeat(np.arange(len(records)), n)
+        self.at = spread(np.cumsum(length) - length, n).astype(np.int32)  # places of the windows
+        self.row = np.repeat(np.arange(len(records), dtype=np.int32), n)
         self.start = np.repeat(records["start"].astype(np.int64), n) + np.arange(len(self.row)) - np.repeat(np.cumsum(n) - n, n)
+        self.start = self.start.astype(np.int32)
         self.doc = records["doc"][self.row]
         order, rank = suffix_array(data, WINDOW)
         shared = common_prefixes(data, order, rank, WINDOW)
-        of = np.full(len(data), -1, np.int64)
+        of = np.full(len(data), -1, np.int32)
         of[self.at] = np.arange(len(self.at))
         kind = np.cumsum(np.append(True, shared[1:] < WINDOW)) if len(data) else np.zeros(0, np.int64)
         keep = of[order] >= 0
@@ -214,7 +221,7 @@ class Shard:
         lead = self.best[np.cumsum(new) - 1] if len(new) else window
         self.repeat = np.zeros(len(self.at), bool)
         self.repeat[window] = (self.doc[window] != self.doc[lead]) | (self.start[window] != self.start[lead])
-        self.lead = np.empty(len(self.at), np.int64)
+        self.lead = np.empty(len(self.at), np.int32)
         self.lead[window] = lead
         self.data = data
         del self.window, self.kind
@@ -247,14 +254,14 @@ class Shard:
 
 def merge_shards(shards: list[Shard]) -> None:
     """Binary search of each shard's sorted windows in the others'; later ones become repeats."""
-    windows = [s.sorted_windows() for s in shards]
     for i, a in enumerate(shards):
-        for j in range(i):
-            b = shards[j]
-            if not len(windows[i]) or not len(windows[j]):
+        own = a.sorted_windows()
+        for b in shards[:i]:
+            other = b.sorted_windows()  # made anew, so that only two shards' windows are held at once
+            if not len(own) or not len(other):
                 continue
-            at = np.minimum(np.searchsorted(windows[j], windows[i]), len(windows[j]) - 1)
-            same = np.flatnonzero(windows[j][at] == windows[i])
+            at = np.minimum(np.searchsorted(other, own), len(other) - 1)
+            same = np.flatnonzero(other[at] == own)
             x, y = a.best[same], b.best[at[same]]
             first_b = (b.doc[y] < a.doc[x]) | ((b.doc[y] == a.doc[x]) & (b.start[y] < a.start[x]))
             first_a = (a.doc[x] < b.doc[y]) | ((b.doc[y] == a.doc[x]) & (a.start[x] < b.start[y]))
@@ -301,10 +308,11 @@ class Contexts:
         self.records, self.data = [], []
         length = records["n"].astype(np.int64) + WINDOW - 1
         first = np.cumsum(length) - length
-        stay, again = combined(records, data.tobytes(), first)
+        raw = data.tobytes()
+        stay, again = combined(records, raw, first)
         done = whole(records[again])
         if len(again):
-            records, data = records[stay], data[spread(first[stay], length[stay])]
+            records, data = records[stay], np.frombuffer(gathered(raw, first[stay], length[stay]), np.uint8)
         self.records, self.data, self.size, self.least = [records], [data], len(data), len(data)
         return done
 
@@ -469,7 +477,7 @@ def repeats(rows: DataFrame) -> DataFrame:
             own["doc"] = batch.column(0).to_numpy(zero_copy_only=False)[text]
             own["tid"] = batch.column(2).to_numpy(zero_copy_only=False)[text]
             length = n + WINDOW - 1
-            part = np.cumsum(length) // (4 * SLICE_BYTES)
+            part = np.cumsum(length) // SLICE_BYTES
             for p in np.unique(part):
                 now = np.flatnonzero(part == p)
                 done = held.add(own[now], data[spread(window[now], length[now])])
