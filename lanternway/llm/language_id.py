@@ -26,6 +26,8 @@ from lanternway.llm.common import pick, slices, strings
 
 #: Rows of the training sample at most, over all languages, and the width of the hashed features.
 SAMPLE, WIDTH = 4000, 4096
+#: Texts whose profiles (16 KB each) are held at a time.
+AT_ONCE = 1024
 UNDETERMINED = "und"
 #: Language families, fixed values; a language not listed here is a family of its own.
 FAMILIES = {
@@ -120,6 +122,11 @@ class Model:
         return Model(Machines.fit(x, own.tolist()), {f: Machines.fit(x[own == f], [z for z, g in zip(langs, own, strict=True) if g == f]) for f in sorted(set(own))})
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """(language, score) of each text; profiles of `AT_ONCE` texts are held at a time."""
+        parts = [self._predict(texts[i : i + AT_ONCE]) for i in range(0, len(texts), AT_ONCE)]
+        return [z for langs, _ in parts for z in langs], np.concatenate([np.zeros(0), *(score for _, score in parts)])
+
+    def _predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         x = profiles(texts)
         family, score = self.families.choose(x)
         out = np.empty(len(texts), object)
