@@ -6,7 +6,8 @@ How many cells a query probes is calibrated on the sample against brute force, t
 Every row is then indexed: its cell, and a byte per sub-vector.
 
 Cells are spread over shards by size, big cells in blocks, so that no cell has to fit in one task. A
-query goes to the shards that hold a cell it probes. There its asymmetric distance tables (inner
+query goes to the shards that hold a cell it probes; a shard is copied only as often as the number of
+queries that ask it calls for. There its asymmetric distance tables (inner
 products with all codewords) score the codes of a block; the best `SHORTLIST` of a block are scored
 again on the original vectors in double precision, and a shard returns its best `k` per query.
 
@@ -31,6 +32,8 @@ SAMPLE, TARGET, SHORTLIST, NEAREST = 16_384, 0.97, 40, 20
 #: Rows of an index block and of a shard, and queries that a shard takes at once.
 BLOCK, SHARD, QUERIES = 2048, 16_384, 4096
 SUB, CODES = 4, 256
+#: Shards up to which the table of queries per shard is broadcast (two numbers a shard: 16 MB).
+BROADCAST = 1 << 20
 
 
 def means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -95,6 +98,24 @@ class Quantiser:
         return np.argpartition(-score, n - 1, axis=1)[:, :n] if n < score.shape[1] else np.tile(np.arange(n), (len(q), 1))
 
 
+@dataclass(frozen=True)
+class Home:
+    """Where a cell stands in the order of all cells: rows before it, its blocks, its rows."""
+
+    start: int
+    blocks: int
+    rows: int
+
+    def shards(self) -> range:
+        """Shards that hold its blocks."""
+        return range(self.start // SHARD, (self.start + (self.blocks - 1) * self.rows // self.blocks) // SHARD + 1)
+
+
+def shard_of(start: Column, block: Column, blocks: Column, rows: Column) -> Column:
+    """The shard of a block of a cell; `Home.shards` has all of a cell."""
+    return F.floor((start + F.floor(block * rows / blocks)) / SHARD)
+
+
 def split(x: np.ndarray) -> np.ndarray:
     """Rows as sub-vectors, the last filled up with zeros."""
     spare = -x.shape[1] % SUB
@@ -175,38 +196,30 @@ def search(vectors: DataFrame, k: int = NEAREST, every: int = 20, id_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(cell)), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([r.tobytes() for r in x[i : i + 4096]], pa.binary())], ["vec_id", "cell", "codes", "x"])
 
     index = written(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "v").mapInArrow(code, "vec_id long, cell int, codes binary, x binary"), "vector-index")
-    sizes = {r["cell"]: r["n"] for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one number per cell
-    blocks = {c: -(-n // BLOCK) for c, n in sizes.items()}
+    sizes = {r["cell"]: r["n"] for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most one number per cell
     shards = max(1, -(-total // SHARD))
-    order = np.argsort([fitted.centre[c] @ fitted.centre.mean(0) for c in sorted(sizes)])
-    place, load, shard_of = 0, 0.0, {}
-    for at in order.tolist():  # neighbouring cells share a shard; a big cell spans several
-        c = sorted(sizes)[at]
-        for b in range(blocks[c]):
-            shard_of[(c, b)] = min(place, shards - 1)
-            load += sizes[c] / blocks[c]
-            if load >= total / shards * (place + 1):
-                place += 1
-    homes = spark.createDataFrame([(c, b, s, blocks[c]) for (c, b), s in shard_of.items()], "cell int, block int, shard int, of int")
-    wanted: dict[int, set[int]] = {}
-    for (c, _), s in shard_of.items():
-        wanted.setdefault(c, set()).add(s)
-    groups = max(1, -(-(total // every) // QUERIES))
-    asked = index.where(F.col("vec_id") % every == 0).select("vec_id", "x", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("part"))
-
-    def scatter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    along = fitted.centre @ fitted.centre.mean(0)
+    homes, start = {}, 0  # neighbouring cells share a shard; a big cell spans several
+    for c in sorted(sizes, key=lambda c: (float(along[c]), c)):
+        homes[c] = Home(start, -(-sizes[c] // BLOCK), sizes[c])
+        start += sizes[c]
+    cells = spark.createDataFrame([(c, h.start, h.blocks, h.rows) for c, h in homes.items()], "cell int, first long, of int, n long")
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(batch.num_rows, -1)
-            row, shard = [], []
-            for i, cells in enumerate(shared.value.probed(x.astype(np.float32)).tolist()):
-                own = sorted({s for c in cells for s in wanted.get(c, ())})
-                row += [i] * len(own)
-                shard += own
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row, pa.int64())) for c in range(3)), pa.array(shard, pa.int32())], ["vec_id", "x", "part", "shard"])
-
-    queries = asked.mapInArrow(scatter, "vec_id long, x binary, part int, shard int")
-    salted = index.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.element_at(F.create_map(*[F.lit(v) for c, n in blocks.items() for v in (c, n)]), F.col("cell"))).cast("int"))
-    stored = salted.join(F.broadcast(homes.select("cell", "block", "shard")), ["cell", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+            own = [sorted({s for c in cells if c in homes for s in homes[c].shards()}) for cells in shared.value.probed(x.astype(np.float32)).tolist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.list_(pa.int64()))], ["vec_id", "x", "shards"])
+
+    asked = written(index.where(F.col("vec_id") % every == 0).select("vec_id", "x").mapInArrow(ask, "vec_id long, x binary, shards array<long>"), "vector-queries")
+    load = asked.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
+    load = F.broadcast(load) if shards <= BROADCAST else load
+    queries = asked.select("vec_id", "x", F.explode("shards").alias("shard")).join(load, "shard")
+    queries = queries.select("vec_id", "x", "shard", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"))
+    block = F.pmod(F.xxhash64("vec_id", F.lit("block")), F.col("of")).cast("int")
+    # a shard is held once for every `QUERIES` queries that ask it, and not at all if none does
+    placed = index.join(F.broadcast(cells), "cell").withColumn("block", block).withColumn("shard", shard_of(F.col("first"), F.col("block"), F.col("of"), F.col("n")))
+    stored = placed.select("vec_id", "cell", "codes", "x", "block", "shard").join(load, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
