@@ -17,7 +17,13 @@ from pathlib import Path
 import numpy as np
 
 END = 0
-_OTHER = re.compile("[^\x00-ɏ]|<\\|endoftext\\|>")
+SPECIAL = "<|endoftext|>"
+_OTHER = re.compile("[^\x00-ɏ]")
+
+
+def plain(text: str) -> bool:
+    """Whether a text is of Latin letters up to U+024F and spells no special token."""
+    return SPECIAL not in text and (text.isascii() or not _OTHER.search(text))
 
 
 def default_vocabulary() -> str:
@@ -50,7 +56,7 @@ def encode(texts: list[str], path: str, end: int | None = END) -> list[np.ndarra
     out = []
     tail = np.array([] if end is None else [end], np.uint32)
     for t in texts:
-        if fast is None or _OTHER.search(t):
+        if fast is None or not plain(t):
             ids = np.array(full.encode(t, add_special_tokens=False).ids, np.uint32)
         else:
             ids = fast.encode_to_numpy(t)

@@ -39,31 +39,27 @@ MAGIC = b"S8B1"
 
 def _selectors(width: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(block, start, selector) of every word: all blocks move ahead by one word at a time."""
+    flat, columns = width.ravel(), width.shape[1]  # columns behind a block's ids are 0, so they fit anywhere
     at = np.zeros(len(n), np.int64)
     blocks, starts, chosen = [], [], []
     live = np.flatnonzero(n > 0)
     while len(live):
-        pos, room = at[live], (n[live] - at[live])
-        best, most = np.full(len(live), len(COUNTS) - 1), width[live, pos].copy()
-        still, upto = np.arange(len(live)), 1
+        pos = at[live]
+        room = n[live] - pos
+        best, still, upto = np.full(len(live), len(COUNTS) - 1), np.arange(len(live)), 1
+        first = live * columns + pos
+        most = flat.take(first)
         for s in range(len(COUNTS) - 2, -1, -1):  # ever more ids with ever fewer bits
             for k in range(upto, int(COUNTS[s])):
-                own = pos[still] + k
-                w = width[live[still], np.minimum(own, width.shape[1] - 1)]
-                most[still] = np.maximum(most[still], np.where(k < room[still], w, 0))
-                upto = k + 1
-                ok = most[still] <= BITS[s]
-                if not ok.all():
-                    still = still[ok]
-                    if not len(still):
-                        break
-            still = still[most[still] <= BITS[s]]
-            if not len(still):
-                break
-            best[still] = s
-            still = still[room[still] > COUNTS[s]]
-            if not len(still):
-                break
+                most = np.maximum(most, flat.take(first + k))
+            upto = int(COUNTS[s])
+            ok = most <= BITS[s]
+            best[still[ok]] = s
+            ok &= room[still] > upto
+            if not ok.all():
+                still, first, most = still[ok], first[ok], most[ok]
+                if not len(still):
+                    break
         blocks.append(live)
         starts.append(pos)
         chosen.append(best)
@@ -86,16 +82,17 @@ def pack_ids(ids: np.ndarray, block: int = BLOCK) -> bytes:
     full = np.zeros(blocks * block, np.uint64)
     full[: len(ids)] = values
     padded[:, :block] = full.reshape(blocks, block)
-    width = np.frexp(padded.astype(np.float64))[1].astype(np.int16)
-    np.putmask(width, padded == 0, 0)
+    width = np.zeros(padded.shape, np.int16)
+    width[:, :block] = np.frexp(padded[:, :block].astype(np.float64))[1]  # 0 for 0
     own, start, sel = _selectors(width, n)
     words = sel.astype(np.uint64) << np.uint64(60)
+    line, first = padded.ravel(), own * padded.shape[1] + start
     for s in np.unique(sel):
         at, bits = np.flatnonzero(sel == s), int(BITS[s])
         if bits:
             acc = np.zeros(len(at), np.uint64)
             for k in range(int(COUNTS[s])):
-                acc |= padded[own[at], start[at] + k] << np.uint64(bits * k)
+                acc |= line.take(first[at] + k) << np.uint64(bits * k)
             words[at] |= acc
     offsets = np.searchsorted(own, np.arange(blocks)).astype("<u4")
     head = MAGIC + struct.pack("<4Q", len(ids), blocks, len(words), len(wide)) + struct.pack("<I", block)
