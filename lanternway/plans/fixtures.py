@@ -26,7 +26,7 @@ TRACE = (
     "case when user_id % 10 = 3 and r = 0 then ((user_id * 3) % 6) * 12 + (user_id * 5) % 6 end as o_node_id, "
     "case when user_id % 4 = 1 then 'a' else '' end as allowed_link_type_code, case when user_id % 4 = 2 then 'f' else '' end as blocked_link_type_code, "
     "25200 + (user_id % 600) * 60 + r * 5 + case when r > 20 then 60 else 0 end as sec "
-    "from (select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as r from {events}) q where r < 40"
+    "from (select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as r from {events}) q"
 )
 
 
@@ -38,8 +38,11 @@ def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def text_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The same as text columns plus ``seq``, as a reader of text files gives them."""
+    """The same as text columns plus ``seq``, as a reader of text files gives them.
+
+    A point's ``seq`` leaves each user 2**31 places, so it is unique however many points a user has.
+    """
     nodes, links, trace = tables(spark, sf_dir)
     text = lambda df, seq: df.select(seq.cast("long").alias("seq"), *[F.col(c).cast("string").alias(c) for c in df.columns])
     clock = trace.withColumn("hh", F.floor(F.col("sec") / 3600)).withColumn("mm", F.floor(F.col("sec") % 3600 / 60)).withColumn("ss", F.col("sec") % 60).withColumn("d_node_id", F.lit(None).cast("int"))
-    return text(nodes.drop("p_size"), F.col("node_id")), text(links.withColumnRenamed("vdf_fftt1", "VDF_fftt1").drop("fx", "fy", "tx", "ty"), F.col("link_id")), text(clock.drop("sec"), F.col("user_id") * 1000 + F.col("trace_no")).drop("user_id")
+    return text(nodes.drop("p_size"), F.col("node_id")), text(links.withColumnRenamed("vdf_fftt1", "VDF_fftt1").drop("fx", "fy", "tx", "ty"), F.col("link_id")), text(clock.drop("sec"), F.col("user_id").cast("long") * 2147483648 + F.col("trace_no")).drop("user_id")

@@ -70,7 +70,7 @@ CHAIN = {
         list_transform(string_split(regexp_extract(l.geometry, '\\(([^)]*)\\)', 1), ','), lambda p: {_POINT}) as shape
         from links l join nn a on a.node_id = l.from_node_id join nn b on b.node_id = l.to_node_id""",
     "lk": f"select *, {planar('shape[1].x', 'shape[1].y', 'shape[2].x', 'shape[2].y')}+{planar('shape[2].x', 'shape[2].y', 'shape[3].x', 'shape[3].y')} as link_distance from ll",
-    "pts": "select agent_id, user_id*1000+trace_no as seq, trace_no, trace_id, x_coord as x, y_coord as y, sec, o_node_id, nullif(allowed_link_type_code,'') as allowed, nullif(blocked_link_type_code,'') as blocked from trace",
+    "pts": "select agent_id, cast(user_id as bigint)*2147483648+trace_no as seq, trace_no, trace_id, x_coord as x, y_coord as y, sec, o_node_id, nullif(allowed_link_type_code,'') as allowed, nullif(blocked_link_type_code,'') as blocked from trace",
     "kept": f"select *, row_number() over (partition by agent_id order by seq)-1 as g from (select *, {cell('x', 'y')} as cell_id from pts) where cell_id in (select cell_id from nn)",
     "pl": "select k.*, l.* exclude (link_seq), l.link_seq from (select *, lead(x) over (partition by agent_id order by g) as nx, lead(y) over (partition by agent_id order by g) as ny from kept) k join lk l on l.link_seq = (k.trace_id*7) % 576 where k.nx is not null",
     "spans": "select agent_id, arg_min(sec,g)/60 as start_min, max(sec)/60 as end_min, arg_max(sec,g)/60 as last_min, count(*) as n_points, arg_min(sec,g) as start_sec from kept group by agent_id",

@@ -116,6 +116,20 @@ def test_time_dependent_routes(run):
     assert all(n >= 0 for n in short.values())
 
 
+def test_trace_has_every_event(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "user_id", "ts")
+    _, _, points = fixtures.text_tables(spark, SF)
+    assert points.count() == points.select("seq").distinct().count() == events.count()
+
+
+def test_a_hot_user_keeps_its_points_and_their_order(spark, tmp_path):
+    spark.read.parquet(f"{SF}/part.parquet").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(2500).selectExpr("id as event_id", "if(id < 2400, 1L, 2L) as user_id", "timestamp_seconds(id) as ts").write.parquet(f"{tmp_path}/events.parquet")
+    _, _, points = fixtures.text_tables(spark, str(tmp_path))
+    rows = [(r["agent_id"], int(r["trace_no"])) for r in points.orderBy("seq").collect()]
+    assert rows == [("u1", i) for i in range(2400)] + [("u2", i) for i in range(100)]
+
+
 def text(spark, columns, rows):
     frame = spark.createDataFrame([(i, *map(lambda v: None if v is None else str(v), r)) for i, r in enumerate(rows)], "seq long, " + ", ".join(f"{c} string" for c in columns.split()))
     return frame
