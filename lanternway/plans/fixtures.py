@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 NODES = (
     "select p_partkey as node_id, cast(-112.0 as double) + cast(p_partkey % 12 as double) * cast(0.004 as double) as x_coord, "
     "cast(33.4 as double) + cast((p_partkey - p_partkey % 12) / 12 as double) * cast(0.004 as double) as y_coord, "
-    "case when p_size % 5 = 0 then p_size else 0 end as zone_id, p_size from {part} where p_partkey < 144"
+    "case when p_size % 5 = 0 then p_size else 0 end as zone_id, p_size from {part}"
 )
 _DEC = "cast(cast({} as decimal(10,6)) as string)"
 _LINE = ", ' ', ".join(_DEC.format(c) for c in ("f.x_coord", "f.y_coord")), ", ' ', ".join(_DEC.format(c) for c in ("(f.x_coord + t.x_coord) / 2", "(f.y_coord + t.y_coord) / 2")), ", ' ', ".join(_DEC.format(c) for c in ("t.x_coord", "t.y_coord"))

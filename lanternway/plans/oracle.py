@@ -72,7 +72,7 @@ CHAIN = {
     "lk": f"select *, {planar('shape[1].x', 'shape[1].y', 'shape[2].x', 'shape[2].y')}+{planar('shape[2].x', 'shape[2].y', 'shape[3].x', 'shape[3].y')} as link_distance from ll",
     "pts": "select agent_id, cast(user_id as bigint)*2147483648+trace_no as seq, trace_no, trace_id, x_coord as x, y_coord as y, sec, o_node_id, nullif(allowed_link_type_code,'') as allowed, nullif(blocked_link_type_code,'') as blocked from trace",
     "kept": f"select *, row_number() over (partition by agent_id order by seq)-1 as g from (select *, {cell('x', 'y')} as cell_id from pts) where cell_id in (select cell_id from nn)",
-    "pl": "select k.*, l.* exclude (link_seq), l.link_seq from (select *, lead(x) over (partition by agent_id order by g) as nx, lead(y) over (partition by agent_id order by g) as ny from kept) k join lk l on l.link_seq = (k.trace_id*7) % 576 where k.nx is not null",
+    "pl": "select k.*, l.* exclude (link_seq), l.link_seq from (select *, lead(x) over (partition by agent_id order by g) as nx, lead(y) over (partition by agent_id order by g) as ny from kept) k cross join (select min(node_id) as low, max(node_id)-min(node_id)+1 as n_ids from nn) i join (select *, row_number() over (partition by from_node_id order by link_seq)-1 as nth, count(*) over (partition by from_node_id) as n_out from lk) l on l.from_node_id = i.low+(k.trace_id*7) % i.n_ids and l.nth = (k.trace_id//i.n_ids) % l.n_out where k.nx is not null",
     "spans": "select agent_id, arg_min(sec,g)/60 as start_min, max(sec)/60 as end_min, arg_max(sec,g)/60 as last_min, count(*) as n_points, arg_min(sec,g) as start_sec from kept group by agent_id",
     "span": f"select min(start_min) as t0, max(end_min) as t1, cast(trunc(greatest((max(end_min)-min(start_min))/{B}+1, 10)) as integer) as bins from spans",
     "deltas": f"select *, sec-lag(sec) over w as interval_s, {haversine('lag(x) over w', 'lag(y) over w', 'x', 'y')} as metres from kept window w as (partition by agent_id order by g)",

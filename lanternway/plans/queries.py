@@ -35,10 +35,15 @@ def r6(c: Column | str, name: str) -> Column:
 
 # ---------------------------------------------------------------- scalar functions over points and links
 def point_links(m: Matching) -> DataFrame:
+    """Each step of a trace with one link: nodes by turns, of a node its out-links by rounds."""
     w = Window.partitionBy("agent_id").orderBy("g")
     steps = m.kept.withColumn("nx", F.lead("x").over(w)).withColumn("ny", F.lead("y").over(w)).where("nx is not null")
-    lk = m.links.select(F.col("seq").alias("link_seq"), "fx", "fy", "tx", "ty", "shape", "link_distance", "geometry")
-    return steps.join(lk, F.col("link_seq") == F.col("trace_id") * 7 % 576)
+    own = Window.partitionBy("from_node_id")
+    lk = m.links.select("from_node_id", F.row_number().over(own.orderBy("seq")).alias("nth"), F.count("*").over(own).alias("of"), F.col("seq").alias("link_seq"), "fx", "fy", "tx", "ty", "shape", "link_distance", "geometry")
+    ids = m.nodes.agg(F.min("node_id").alias("low"), (F.max("node_id") - F.min("node_id") + 1).alias("n_ids"))
+    turn = F.col("trace_id").cast("long")
+    asked = steps.crossJoin(F.broadcast(ids)).withColumn("at", F.col("low") + turn * 7 % F.col("n_ids")).withColumn("round", F.floor(turn / F.col("n_ids")))
+    return asked.join(lk, (F.col("at") == F.col("from_node_id")) & (F.col("round") % F.col("of") == F.col("nth") - 1))
 
 
 X = ("x", "y", "nx", "ny")

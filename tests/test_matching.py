@@ -130,6 +130,18 @@ def test_a_hot_user_keeps_its_points_and_their_order(spark, tmp_path):
     assert rows == [("u1", i) for i in range(2400)] + [("u2", i) for i in range(100)]
 
 
+def test_network_has_every_part_and_steps_find_a_link(spark, run):
+    from lanternway.plans import queries
+
+    parts = spark.read.parquet(f"{SF}/part.parquet").count()
+    links = run.links.select("from_node_id", "to_node_id").collect()
+    want = {(a, b) for a in range(parts) for b in (a - 12, a + 12, *([a - 1] if a % 12 else []), *([a + 1] if a % 12 < 11 else [])) if 0 <= b < parts}
+    assert run.nodes.count() == parts > 144 and {tuple(r) for r in links} == want and len(links) == len(want)
+    steps = queries.point_links(run).select("agent_id", "trace_no", "link_seq").collect()
+    assert len(steps) == len({r[:2] for r in steps}) == run.kept.count() - run.kept.select("agent_id").distinct().count()
+    assert max(r["link_seq"] for r in steps) >= 576 and len({r["link_seq"] % 4 for r in steps}) == 4
+
+
 def text(spark, columns, rows):
     frame = spark.createDataFrame([(i, *map(lambda v: None if v is None else str(v), r)) for i, r in enumerate(rows)], "seq long, " + ", ".join(f"{c} string" for c in columns.split()))
     return frame
