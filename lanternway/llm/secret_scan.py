@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns plus dictionary-primed zstandard novelty.
 
 A candidate is a long token shortly after a word of a sensitive context (``auth``, ``private`` ...).
-It is compressed by a compressor primed with a dictionary of common identifiers, once behind its
+Each is compressed, whatever its letters and digits, by a compressor primed with a dictionary of common identifiers, once behind its
 surrounding code and once without it; the marginal bytes tell how new the string is. Strings that
 neither the dictionary nor the surroundings explain are reported as ``novel``.
 
@@ -90,7 +90,7 @@ def novel_spans(text: str, lowered: str, taken: list[tuple[int, int, int]], nove
             a, b = m.span()
             done = b
             token = m[0]
-            if not re.search("[0-9]", token) or not re.search("[A-Za-z]", token) or any(x < b and a < y for x, y, _ in taken):
+            if any(x < b and a < y for x, y, _ in taken):
                 continue
             around = text[max(0, a - AROUND) : a] + text[b : b + AROUND]
             if novelty.marginal(around, token) >= NOVEL_SHARE * len(token):

@@ -225,6 +225,12 @@ def test_secret_novelty():
     assert novelty.marginal("x " + key, key) < len(key) / 2
 
 
+@pytest.mark.parametrize("key", ["ZkqXvLpRwTbYhNcUeDfGm", "4037590409210456", "qjxvzkwpyhgbtmfd"])
+def test_secret_novelty_measures_letters_and_digits_alone(key):
+    _, every = secret_scan.scan_text(f"private signing blob {key} end; bearer {'-' * 40} auth_token_authorization", secret_scan.Novelty())
+    assert [(secret_scan.KINDS[k], a, b) for a, b, k in every] == [("novel", 21, 21 + len(key))]
+
+
 def test_language_machines_separate():
     rng = random.Random(4)
     make = lambda pieces: " ".join("".join(rng.choice(pieces) for _ in range(3)) for _ in range(30))
