@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lanternway.functions import geo
 from lanternway.functions.constants import RESOLUTION, RESOLUTION_STEPS
+from lanternway.operators.storage import saved
 
 
 def bounding_box(nodes: DataFrame) -> DataFrame:
@@ -42,36 +43,35 @@ def cell_zones(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("cell_id").agg(zone.alias("zone_id"), F.count("*").alias("n_nodes"))
 
 
-def filled_zones(nodes: DataFrame, resolution: float = RESOLUTION, limit: int = 4_000_000) -> DataFrame:
+def filled_zones(nodes: DataFrame, resolution: float = RESOLUTION) -> DataFrame:
     """``x_index, y_index, zone_id``: cells without a zone take the nearest zoned cell's.
 
     Distances are between cells; ties go to the smaller (column, row). Only originally zoned cells
-    give zones. The zoned cells are one small row per cell of the network; they are broadcast if they
-    are fewer than `limit`, which a count checks, and else searched through growing squares of cells.
+    give zones. They are searched through growing squares of cells, up to the extent of all cells.
     """
-    cells = indexed(nodes, resolution).groupBy("x_index", "y_index").agg(F.min_by("zone_id", F.when(F.col("zone_id") > 0, F.col("seq"))).alias("zone_id"))
+    cells = saved(indexed(nodes, resolution).groupBy("x_index", "y_index").agg(F.min_by("zone_id", F.when(F.col("zone_id") > 0, F.col("seq"))).alias("zone_id")), "cells")
     zoned = cells.where("zone_id is not null").select(F.col("x_index").alias("zx"), F.col("y_index").alias("zy"), F.col("zone_id").alias("z"))
     bare = cells.where("zone_id is null").select("x_index", "y_index")
     far = (F.col("x_index") - F.col("zx")) * (F.col("x_index") - F.col("zx")) + (F.col("y_index") - F.col("zy")) * (F.col("y_index") - F.col("zy"))
-    if zoned.count() > limit:
-        found = _zone_by_squares(bare, zoned, far)
-    else:
-        found = bare.join(F.broadcast(zoned)).groupBy("x_index", "y_index").agg(F.min_by("z", F.struct(far, F.col("zx"), F.col("zy"))).alias("zone_id"))
-    return cells.where("zone_id is not null").unionByName(found)
+    extent = cells.agg(F.greatest(F.max("x_index") - F.min("x_index"), F.max("y_index") - F.min("y_index")).alias("e")).first()["e"] or 0
+    return cells.where("zone_id is not null").unionByName(_zone_by_squares(bare, zoned, far, extent))
 
 
-def _zone_by_squares(bare: DataFrame, zoned: DataFrame, far: Column) -> DataFrame:
-    """Nearest zoned cell by equi-joins on ever coarser squares; a hit within the square's side is final."""
+def _zone_by_squares(bare: DataFrame, zoned: DataFrame, far: Column, extent: int) -> DataFrame:
+    """Nearest zoned cell by equi-joins on ever coarser squares; a hit within the square's side is final.
+
+    A side of twice the `extent` holds every pair of cells, so the round of that side is the last.
+    """
     out, side = None, 8
     while True:
         square = lambda c, s=side: F.floor(F.col(c) / s)
         around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
         asked = bare.withColumn("i", around).withColumn("j", around).withColumn("sx", square("x_index") + F.col("i")).withColumn("sy", square("y_index") + F.col("j"))
         best = asked.join(zoned.withColumn("sx", square("zx")).withColumn("sy", square("zy")), ["sx", "sy"]).groupBy("x_index", "y_index").agg(F.min_by("z", F.struct(far, F.col("zx"), F.col("zy"))).alias("zone_id"), F.min(far).alias("d"))
-        sure = best.where(F.col("d") <= side * side).select("x_index", "y_index", "zone_id")
+        sure = saved(best.where(F.col("d") <= F.lit(side).cast("long") * F.lit(side)).select("x_index", "y_index", "zone_id"), "zones")
         out = sure if out is None else out.unionByName(sure)
         bare = bare.join(sure, ["x_index", "y_index"], "left_anti")
-        if side > 1 << 20 or bare.isEmpty():
+        if side >= 2 * extent or bare.isEmpty():
             return out
         side *= 8
 

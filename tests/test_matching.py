@@ -10,6 +10,7 @@ from lanternway.operators import likelihood, outputs, paths, tdpaths, trace
 from lanternway.plans import fixtures
 from lanternway.plans.map_match import Matching, map_match
 from lanternway.sources import gpx, network, tables, traces
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -160,6 +161,17 @@ def test_network_quirks(spark):
         network.nodes(text(spark, "node_id x_coord", [(1, 0)]))
 
 
+def test_nearest_zones_reach_any_distance_without_a_cross_join(spark):
+    from lanternway.operators import grid
+
+    nodes = network.nodes(text(spark, "node_id x_coord y_coord zone_id", [(1, 0, 0, 7), (2, 0.5, 0.5, 0), (3, 60, 0, 0), (4, 60, 80, 0), (5, -0.5, 0, 9)]))
+    found = grid.filled_zones(nodes, 1e-5)
+    rows = [tuple(r) for r in found.orderBy("x_index", "y_index").collect()]
+    assert [z for *_, z in rows] == [9, 7, 7, 7, 7]
+    assert "NestedLoop" not in found.select("zone_id")._jdf.queryExecution().toString()
+    assert len(rows) == 5 and grid.filled_zones(nodes.withColumn("zone_id", F.lit(0)), 1e-5).count() == 0
+
+
 def test_link_without_shape_costs_one_cell(spark):
     nodes = network.nodes(text(spark, "node_id x_coord y_coord zone_id", [(1, 0.001, 0.001, 0), (2, 0.004, 0.001, 0)]))
     links = network.links(text(spark, "link_id from_node_id to_node_id geometry", [(1, 1, 2, None), (2, 1, 2, "LINESTRING (0.001 0.001, 0.004 0.001)")]), nodes)
