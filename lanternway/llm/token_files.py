@@ -35,55 +35,53 @@ BLOCK, CHUNK = 512, 1 << 20
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 MAGIC = b"S8B1"
+_WIDTH = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 
 
 def _selectors(width: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(block, start, selector) of every word: all blocks move ahead by one word at a time."""
+    """(block, start, selector) of every word.
+
+    The widest of the next c ids is found once for each c, from every place on, by sliding maxima; a denser
+    selector (more ids, fewer bits) fits only where all less dense ones do, so their number names the
+    densest. Then all blocks follow their chain of words, one word at a time.
+    """
     flat, columns = width.ravel(), width.shape[1]  # columns behind a block's ids are 0, so they fit anywhere
-    at = np.zeros(len(n), np.int64)
-    blocks, starts, chosen = [], [], []
-    live = np.flatnonzero(n > 0)
-    while len(live):
-        pos = at[live]
-        room = n[live] - pos
-        best, still, upto = np.full(len(live), len(COUNTS) - 1), np.arange(len(live)), 1
-        first = live * columns + pos
-        most = flat.take(first)
-        for s in range(len(COUNTS) - 2, -1, -1):  # ever more ids with ever fewer bits
-            for k in range(upto, int(COUNTS[s])):
-                most = np.maximum(most, flat.take(first + k))
-            upto = int(COUNTS[s])
-            ok = most <= BITS[s]
-            best[still[ok]] = s
-            ok &= room[still] > upto
-            if not ok.all():
-                still, first, most = still[ok], first[ok], most[ok]
-                if not len(still):
-                    break
-        blocks.append(live)
-        starts.append(pos)
-        chosen.append(best)
-        at[live] += COUNTS[best]
-        live = live[at[live] < n[live]]
-    block, start, sel = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (blocks, starts, chosen))
-    order = np.lexsort((start, block))
-    return block[order], start[order], sel[order]
+    chosen, most, held = np.full(len(flat), len(COUNTS) - 1, np.uint8), flat, 1
+    for s in range(len(COUNTS) - 2, -1, -1):  # ever more ids with ever fewer bits
+        while held < COUNTS[s]:
+            step = min(held, int(COUNTS[s]) - held)
+            most, held = np.maximum(most[:-step], most[step:]), held + step
+        chosen[: len(most)] -= most <= int(BITS[s])
+    ahead = COUNTS.astype(np.uint8)[chosen]
+    base = np.arange(len(n), dtype=np.int64) * columns
+    at, end, steps = base.copy(), base + n, []
+    while (live := at < end).any():
+        steps.append(np.where(live, at, -1))
+        at = np.where(live, at + ahead.take(at, mode="clip"), at)
+    place = np.stack(steps, 1).ravel() if steps else base[:0]
+    place = place[place >= 0]
+    return place // columns, place % columns, chosen[place].astype(np.int64)
 
 
 def pack_ids(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A stream of unsigned ids (up to 64 bits)."""
-    ids = np.asarray(ids, np.uint64)
-    wide = np.flatnonzero(ids >> np.uint64(60))
-    values = ids.copy()
-    values[wide] = 0
-    blocks = -(-len(ids) // block)
-    padded = np.zeros((blocks, block + 240), np.uint64)
+    ids = np.asarray(ids)
+    ids = ids if ids.dtype.kind == "u" else ids.astype(np.uint64)
+    top = int(ids.max()) if len(ids) else 0
+    wide = np.flatnonzero(ids >> np.uint64(60)) if top >> 60 else np.zeros(0, np.int64)
+    values = ids
+    if len(wide):
+        values = ids.copy()
+        values[wide] = 0
+    blocks, whole = -(-len(ids) // block), len(ids) // block
+    padded = np.zeros((blocks, block + 240), ids.dtype)
     n = np.minimum(block, len(ids) - np.arange(blocks) * block)
-    full = np.zeros(blocks * block, np.uint64)
-    full[: len(ids)] = values
-    padded[:, :block] = full.reshape(blocks, block)
-    width = np.zeros(padded.shape, np.int16)
-    width[:, :block] = np.frexp(padded[:, :block].astype(np.float64))[1]  # 0 for 0
+    padded[:whole, :block] = values[: whole * block].reshape(whole, block)
+    if whole < blocks:
+        padded[whole, : n[-1]] = values[whole * block :]
+    width = np.zeros(padded.shape, np.uint8)
+    # bits of each id, 0 for 0
+    width[:, :block] = _WIDTH.take(padded[:, :block]) if top < len(_WIDTH) else np.frexp(padded[:, :block].astype(np.float64))[1]
     own, start, sel = _selectors(width, n)
     words = sel.astype(np.uint64) << np.uint64(60)
     line, first = padded.ravel(), own * padded.shape[1] + start
@@ -92,7 +90,7 @@ def pack_ids(ids: np.ndarray, block: int = BLOCK) -> bytes:
         if bits:
             acc = np.zeros(len(at), np.uint64)
             for k in range(int(COUNTS[s])):
-                acc |= line.take(first[at] + k) << np.uint64(bits * k)
+                acc |= line.take(first[at] + k).astype(np.uint64) << np.uint64(bits * k)
             words[at] |= acc
     offsets = np.searchsorted(own, np.arange(blocks)).astype("<u4")
     head = MAGIC + struct.pack("<4Q", len(ids), blocks, len(words), len(wide)) + struct.pack("<I", block)
