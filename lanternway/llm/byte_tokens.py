@@ -19,11 +19,14 @@ import numpy as np
 END = 0
 SPECIAL = "<|endoftext|>"
 _OTHER = re.compile("[^\x00-ɏ]")
+#: Blanks in a row up to which the rank form is asked: it keeps a place for each, and gives up at about a million.
+BLANKS = 1 << 16
+_BLANK = re.compile(rf"\s{{{BLANKS}}}")
 
 
 def plain(text: str) -> bool:
-    """Whether a text is of Latin letters up to U+024F and spells no special token."""
-    return SPECIAL not in text and (text.isascii() or not _OTHER.search(text))
+    """Whether a text is of Latin letters up to U+024F, spells no special token and has no endless run of blanks."""
+    return SPECIAL not in text and (text.isascii() or not _OTHER.search(text)) and not (len(text) >= BLANKS and _BLANK.search(text))
 
 
 def default_vocabulary() -> str:
