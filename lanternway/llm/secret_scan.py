@@ -1,23 +1,32 @@
 """Secret scans: fixed patterns plus dictionary-primed zstandard novelty.
 
 A candidate is a long token shortly after a word of a sensitive context (``auth``, ``private`` ...).
-Each is compressed, whatever its letters and digits, by a compressor primed with a dictionary of common identifiers, once behind its
-surrounding code and once without it; the marginal bytes tell how new the string is. Strings that
-neither the dictionary nor the surroundings explain are reported as ``novel``.
+Each is compressed, whatever its letters and digits, by a compressor primed with a dictionary of
+identifiers, once behind its surrounding code and once without it; the marginal bytes tell how new the
+string is. Strings that neither the dictionary nor the surroundings explain are reported as ``novel``.
+
+The dictionary is made of the corpus's own words: identifiers are counted over all rows and whole texts,
+and the `FREQUENT` most frequent (at most 80 KB: a bound) go into it, the most frequent last, behind
+them a fixed line of common names.
 
 Defined results: null text counts as empty; no match gives an empty list; spans are in code points,
-end exclusive; equal rows give equal results; other columns of the input are not read.
-Distribution: one pass over the scan, no shuffle, no state between rows.
+end exclusive; equal rows give equal results; ties of the count go to the smaller word; other columns of
+the input are not read. Time is linear in the text.
+Distribution: one scan counts words, combined per batch before its shuffle; one scan, without a shuffle
+or state between rows, finds the spans.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lanternway.llm.common import pick, slices, strings
 
@@ -47,16 +56,21 @@ IDENTIFIERS = (
     "config settings environment production development staging version timestamp created_at updated_at "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 changeme placeholder your_api_key_here xxxxxxxx "
 )
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
-REACH, AROUND, NOVEL_SHARE = 96, 256, 0.7
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.-]{{{LEAST},}}")
+REACH, AROUND, NOVEL_SHARE = 96, 256, 0.8
+#: Identifiers that the dictionary takes from the corpus; one has 5 to 40 letters, digits and underscores.
+FREQUENT = 2048
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_]{4,39}(?![A-Za-z0-9_])")
 _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)))
 
 
 class Novelty:
-    """Marginal compressed bytes of a string behind a context, under the identifier dictionary."""
+    """Marginal compressed bytes of a string behind a context, under a dictionary of identifiers."""
 
-    def __init__(self, words: str = IDENTIFIERS, level: int = 3) -> None:
-        primer = zstandard.ZstdCompressionDict(words.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    def __init__(self, own: Sequence[str] = (), level: int = 3) -> None:
+        primer = zstandard.ZstdCompressionDict(" ".join([*reversed(own), IDENTIFIERS]).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primer.precompute_compress(level=level)
         self._pack = zstandard.ZstdCompressor(level=level, dict_data=primer, write_content_size=False, write_checksum=False)
 
     def marginal(self, context: str, candidate: str) -> int:
@@ -64,6 +78,31 @@ class Novelty:
         return len(self._pack.compress(behind + b"\n" + raw)) - len(self._pack.compress(behind + b"\n"))
 
 
+def identifiers(docs: DataFrame, text_col: str = "text", most: int = FREQUENT) -> list[str]:
+    """The most frequent identifiers of all texts, the most frequent first; ties to the smaller one."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found = Counter()
+            for t in strings(batch.column(0)):
+                found.update(IDENTIFIER.findall(t))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+
+    def leading(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, str]] = []
+        for batch in batches:
+            held += [(-n, w) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            if len(held) > 8 * most:
+                held = sorted(held)[:most]
+        held = sorted(held)[:most]
+        yield pa.RecordBatch.from_arrays([pa.array([w for _, w in held], pa.string()), pa.array([-n for n, _ in held], pa.int64())], ["word", "n"])
+
+    counted = pick(docs, text=text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # the best of each task, then of 16: what reaches the driver does not grow with the number of tasks
+    best = counted.mapInArrow(leading, "word string, n long").repartition(16).mapInArrow(leading, "word string, n long")
+    return [r["word"] for r in best.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
 def base_spans(text: str, lowered: str | None = None) -> list[tuple[int, int, int]]:
     """(start, end, kind number) of the fixed patterns, by start, then kind."""
     lowered = text.lower() if lowered is None else lowered
@@ -77,25 +116,36 @@ def base_spans(text: str, lowered: str | None = None) -> list[tuple[int, int, in
 
 
 def novel_spans(text: str, lowered: str, taken: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
-    """Incompressible strings of a sensitive context that no fixed pattern covers."""
+    """Incompressible strings of a sensitive context that no fixed pattern covers.
+
+    A candidate begins at most `REACH` characters behind a sensitive word; what a word cuts off a longer
+    token is a candidate too. No character is measured twice.
+    """
     if len(lowered) != len(text):  # a letter whose lower case is longer: offsets would shift
         lowered = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-    found: dict[int, tuple[int, int, int]] = {}
-    done = 0
+    runs = [m.span() for m in CANDIDATE.finditer(text)]
+    found: list[tuple[int, int, int]] = []
+    reach = [0]  # the furthest end of the base spans up to each
+    for _, y, _ in taken:
+        reach.append(max(reach[-1], y))
+    done = i = 0
     for hint in _SENSITIVE.finditer(lowered):
         start, stop = max(done, hint.end()), hint.end() + REACH
-        for m in CANDIDATE.finditer(text, start):
-            if m.start() > stop:
-                break
-            a, b = m.span()
+        while i < len(runs) and runs[i][1] <= start:
+            i += 1
+        while i < len(runs) and max(runs[i][0], start) <= stop:
+            a, b = max(runs[i][0], start), runs[i][1]
+            i += 1
+            if b - a < LEAST:
+                continue
             done = b
-            token = m[0]
-            if any(x < b and a < y for x, y, _ in taken):
+            if reach[bisect_left(taken, (b,))] > a:
                 continue
+            token = text[a:b]
             around = text[max(0, a - AROUND) : a] + text[b : b + AROUND]
             if novelty.marginal(around, token) >= NOVEL_SHARE * len(token):
-                found[a] = (a, b, 3)
-    return list(found.values())
+                found.append((a, b, 3))
+    return found
 
 
 def scan_text(text: str, novelty: Novelty) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -116,10 +166,10 @@ def as_rows(spans: list[tuple[int, int, int]], kinds: tuple[str, ...]) -> list[d
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, base, spans`` (arrays of kind, start, end)."""
-    rows = pick(docs, doc_id=id_col, text=text_col)
+    rows, own = pick(docs, doc_id=id_col, text=text_col), identifiers(docs, text_col)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(own)
         for batch in slices(batches, "text"):
             both = [scan_text(t, novelty) for t in strings(batch.column(1))]
             lists = [pa.array([as_rows(x[i], KINDS) for x in both], pa.list_(SPAN)) for i in (0, 1)]
