@@ -1,9 +1,10 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, exact reranking.
 
-Fitted on a bounded sample (`SAMPLE` vectors, by a hash of the id): coarse centroids, and per
-sub-vector a codebook of the residuals. The number of centroids grows as the square root of the rows.
-How many cells a query probes is calibrated on the sample against brute force, to `TARGET` recall.
-Every row is then indexed: its cell, and a byte per sub-vector.
+Fitted on a bounded sample (`SAMPLE` vectors or four a centroid, by a hash of the id): coarse centroids,
+and per sub-vector a codebook of the residuals. The number of centroids grows as the square root of the
+rows, up to `CELLS` (from 268 million rows on cells grow instead: the same results, more work a query).
+How many cells a query probes is calibrated against brute force, to `TARGET` recall, on a half of the
+sample that the centroids were not fitted on. Every row is then indexed: its cell, and a byte per sub-vector.
 
 Cells are spread over shards by size, big cells in blocks, so that no cell has to fit in one task. A
 query goes to the shards that hold a cell it probes; a shard is copied only as often as the number of
@@ -11,7 +12,7 @@ queries that ask it calls for. There its asymmetric distance tables (inner
 products with all codewords) score the codes of a block; the best `SHORTLIST` of a block are scored
 again on the original vectors in double precision, and a shard returns its best `k` per query.
 
-Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
+Defined results: of rows that share an id one counts, that with the smallest vector. Vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part, nor do rows with a null id. A query's own row (same id) is no candidate. Ties
 go to the smaller id. Fewer candidates than `k` give them all. An empty table gives no rows.
 """
@@ -28,10 +29,12 @@ from pyspark.sql import functions as F
 
 from lanternway.llm.common import pick, written
 
-SAMPLE, TARGET, SHORTLIST, NEAREST = 16_384, 0.97, 40, 20
+SAMPLE, CELLS, TARGET, SHORTLIST, NEAREST = 16_384, 16_384, 0.97, 40, 20
 #: Rows of an index block and of a shard, and queries that a shard takes at once.
 BLOCK, SHARD, QUERIES = 2048, 16_384, 4096
 SUB, CODES = 4, 256
+#: Sample rows from which centroids are fitted on one half and probes calibrated on the other.
+APART = 4096
 #: Shards up to which the table of queries per shard is broadcast (two numbers a shard: 16 MB).
 BROADCAST = 1 << 20
 
@@ -62,6 +65,11 @@ def nearest(x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own, far
 
 
+def cells_for(rows: int) -> int:
+    """Coarse centroids: a power of two near the square root of the rows."""
+    return int(np.clip(2 ** round(np.log2(max(rows, 1)) / 2), 1, CELLS))
+
+
 @dataclass(frozen=True)
 class Quantiser:
     """Coarse centroids and a codebook for each run of `SUB` components of the residuals."""
@@ -72,15 +80,16 @@ class Quantiser:
 
     @staticmethod
     def fit(x: np.ndarray, rows: int, k: int = NEAREST) -> Quantiser:
-        cells = int(np.clip(2 ** round(np.log2(max(rows, 1)) / 2), 1, 4096))
-        centre = means(x, cells)
-        own, _ = nearest(x, centre)
-        rest = split(x - centre[own])
-        books = np.zeros((rest.shape[1], CODES, SUB), np.float32)
-        for m in range(rest.shape[1]):
-            found = means(rest[:, m], CODES)
+        apart = len(x) >= APART  # a smaller sample serves both ends
+        fit, rest = (x[::2], x[1::2]) if apart else (x, x)
+        centre = means(fit, cells_for(rows))
+        own, _ = nearest(fit, centre)
+        left = split(fit - centre[own])
+        books = np.zeros((left.shape[1], CODES, SUB), np.float32)
+        for m in range(left.shape[1]):
+            found = means(left[:, m], CODES)
             books[m, : len(found)] = found
-        return Quantiser(centre, books, calibrated(x, centre, own, k))
+        return Quantiser(centre, books, calibrated(rest, centre, nearest(rest, centre)[0], k))
 
     def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own, _ = nearest(x, self.centre)
@@ -124,9 +133,10 @@ def split(x: np.ndarray) -> np.ndarray:
 
 def calibrated(x: np.ndarray, centre: np.ndarray, own: np.ndarray, k: int) -> int:
     """Cells to probe so that `TARGET` of the sample's true neighbours are met, on average."""
-    q = x[:: max(1, len(x) // 512)]
+    asked = np.arange(0, len(x), max(1, len(x) // 512))
+    q = x[asked]
     score = q @ x.T
-    score[score >= np.einsum("ij,ij->i", q, q)[:, None] - 1e-6] = -np.inf  # not the query itself
+    score[np.arange(len(q)), asked] = -np.inf  # not the query itself
     k = min(k, x.shape[0])
     top = np.argpartition(-score, k - 1, axis=1)[:, :k]
     rank = np.empty((len(q), len(centre)), np.int64)
@@ -140,6 +150,16 @@ def usable(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & sound & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def one_per_id(rows: DataFrame) -> DataFrame:
+    """Of rows (vec_id, v) that share an id the one with the smallest vector; only ids are shuffled to find them."""
+    again = rows.groupBy("vec_id").count().where("count > 1").select("vec_id")
+    if again.isEmpty():
+        return rows
+    again = written(again, "vector-ids")
+    one = rows.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.join(again, "vec_id", "left_anti").unionByName(one)
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
@@ -181,10 +201,11 @@ def search(vectors: DataFrame, k: int = NEAREST, every: int = 20, id_col: str =
     if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     (width, total), = lengths.items()
-    rows = rows.where(F.size("v") == width)
-    share = min(1.0, SAMPLE / total)
+    rows = one_per_id(rows.where(F.size("v") == width))
+    most = max(SAMPLE, 4 * cells_for(total))
+    share = min(1.0, most / total)
     draw = (F.xxhash64("vec_id", F.lit("sample")) % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003
-    got = sorted(((r["vec_id"], r["v"]) for r in rows.where(draw <= share).limit(2 * SAMPLE).collect()), key=lambda r: r[0])
+    got = sorted(((r["vec_id"], r["v"]) for r in rows.where(draw <= share).limit(2 * most).collect()), key=lambda r: r[0])
     fitted = Quantiser.fit(np.array([v for _, v in got], np.float32), total, k)
     shared = spark.sparkContext.broadcast(fitted)
 
