@@ -35,7 +35,7 @@ def stars(edges: DataFrame) -> DataFrame:
         if mark == (now["n"], now["h"]) or not now["n"]:
             return edges
         mark = (now["n"], now["h"])
-        edges = written(_small_star(_large_star(edges)), "edges")
+        edges = written(_small_star(_large_star(edges)), "edges", instead=edges)
 
 
 def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

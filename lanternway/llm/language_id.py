@@ -4,7 +4,8 @@ Features are hashed byte trigrams of the whole text (ASCII lower-cased, with end
 vectors. Families are separated by one-versus-one linear support vector machines too; inside the chosen
 family every pair of languages has its own machine and the votes decide. All machines are trained
 here, by dual coordinate descent, on at most `SAMPLE` labelled documents (a documented bound of the
-training sample, split evenly over the languages); prediction covers every row and whole texts.
+training sample, split evenly over the languages); prediction covers every row and whole texts. Of more
+than half as many languages as the sample has rows, the most frequent are learned (2000 by default).
 
 Defined results: null text, or text without a letter, gives ``und`` with score 0; so does every text
 if nothing could be learned (no labelled rows). Ties of votes go to the larger sum of margins, then to
@@ -171,19 +172,20 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model.fit(x, [r["lang"] for r in got])
 
 
-def labelled(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """All columns of the input plus ``lang_pred`` and ``score``."""
-    clash = {"lang_pred", "score"} & set(docs.columns)
-    docs, at = docs.drop(*clash), [c for c in docs.columns if c not in clash].index(text_col)
+def labelled(docs: DataFrame, model: Model | None, text_col: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of the input plus language and score, named `into`; these must be new names (`free_name` finds some)."""
+    if {c.lower() for c in into} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns {into} are there already")
+    at = docs.columns.index(text_col)
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col, 2 << 20):
             texts = strings(batch.column(at))
             langs, score = model.predict(texts) if model else ([UNDETERMINED] * len(texts), np.zeros(len(texts)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, *into])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(predict, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(predict, f"{fields}, `{into[0]}` string, `{into[1]}` double")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -39,6 +39,8 @@ WINDOW, GRAM = 100, 32
 SHARD_BYTES, FILTER_BITS = 1 << 19, 29
 #: Bytes of text cut at once, of contexts held before they travel, and of text for one range of anchors.
 SLICE_BYTES, HELD_BYTES, RANGE_BYTES = 1 << 20, 8 << 20, 6 << 20
+#: Bytes of text for one task of the shuffles, and of anchor counts for one part of the bit table.
+TASK_BYTES, PART_BYTES = 64 << 20, 8 << 20
 #: Contexts from which an anchor is hot (or one in 2**22 of all anchors, so that the list of hot ones stays
 #: below 32 MB), and the places of a hot anchor in its window that share a range.
 HOT, PLACES = 4096, 12
@@ -78,7 +80,11 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first window, windows, anchor hash) of each run of windows with the same anchor."""
+    """(text, first window, windows, anchor hash) of each run of windows with the same anchor.
+
+    An anchor's gram has the smallest hash of its window, so that hash is near zero; it is mixed once more
+    before any of its bits deals or filters.
+    """
     empty = np.zeros(0, np.int64)
     long_ = np.flatnonzero(size >= WINDOW)
     if not len(long_):
@@ -96,7 +102,7 @@ def anchors(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.n
     anchor = (least[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     new = np.append(True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1))
     begin = np.flatnonzero(new)
-    return np.repeat(long_, n)[begin], at[begin], np.diff(np.append(begin, len(at))), h[anchor[begin]]
+    return np.repeat(long_, n)[begin], at[begin], np.diff(np.append(begin, len(at))), _mixed(h[anchor[begin]])
 
 
 def split_hot(data: np.ndarray, first: np.ndarray, n: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -106,9 +112,9 @@ def split_hot(data: np.ndarray, first: np.ndarray, n: np.ndarray, h: np.ndarray)
     the end of a window with the anchor at the last of these places; the hash is that of those bytes.
     """
     grams = gram_hashes(data)
-    widest = WINDOW - GRAM
+    marks, widest = _mixed(grams), WINDOW - GRAM
     at = first[:, None] + n[:, None] - 1 + np.arange(widest + 1)
-    anchor = at[np.arange(len(at)), (grams[np.minimum(at, len(grams) - 1)] == h[:, None]).argmax(1)]
+    anchor = at[np.arange(len(at)), (marks[np.minimum(at, len(grams) - 1)] == h[:, None]).argmax(1)]
     out = []
     for a in range(0, widest + 1, PLACES):
         last = min(a + PLACES - 1, widest)
@@ -378,9 +384,26 @@ def _by_range(to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, places, np.append(first, len(to))
 
 
-def repeated_anchors(rows: DataFrame, bits: int, ranges: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bit table of anchors met more than once, sorted anchors met over `hot` times)."""
-    parts = min(256, 1 << bits)
+def _by_key(batches: Iterable[pa.RecordBatch], value: int) -> Iterator[tuple[int, list[bytes]]]:
+    """The values of each key of rows that are sorted by their first column."""
+    key, held = None, []
+    for batch in batches:
+        for k, v in zip(batch.column(0).to_pylist(), batch.column(value), strict=True):
+            if k != key and held:
+                yield key, held
+                held = []
+            key = k
+            held.append(v.as_py())
+    if held:
+        yield key, held
+
+
+def repeated_anchors(rows: DataFrame, bits: int, parts: int, tasks: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bit table of anchors met more than once, sorted anchors met over `hot` times).
+
+    `parts`, a power of two, is in how many the table is counted: each holds 8 bytes for every anchor of its
+    share. A task counts one part after the other.
+    """
 
     def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
@@ -391,14 +414,10 @@ def repeated_anchors(rows: DataFrame, bits: int, ranges: int, hot: int) -> tuple
             yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "h"])
 
     def tables(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(p, []).append(blob)
-        for p in list(held):
-            own = held.pop(p)
+        for p, own in _by_key(batches, 1):
             h = np.concatenate([np.frombuffer(b, np.uint64, len(b) // 9) for b in own])
             n = np.concatenate([np.frombuffer(b, np.uint8, offset=len(b) // 9 * 8) for b in own])
+            del own
             order = np.argsort(h)
             h, n = h[order], n[order]
             new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
@@ -408,7 +427,7 @@ def repeated_anchors(rows: DataFrame, bits: int, ranges: int, hot: int) -> tuple
             bit[again - p * len(bit)] = True
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(bit).tobytes()], pa.binary()), pa.array([h[n > hot].tobytes()], pa.binary())], ["part", "bits", "hot"])
 
-    found = rows.select("doc", "text").mapInArrow(tally, "part int, h binary").repartition(ranges, "part").mapInArrow(tables, "part int, bits binary, hot binary")
+    found = rows.select("doc", "text").mapInArrow(tally, "part int, h binary").repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(tables, "part int, bits binary, hot binary")
     table = np.zeros(parts * max(1, (1 << bits) // parts // 8), np.uint8)
     size, many = len(table) // parts, [np.zeros(0, np.uint64)]
     for r in found.collect():  # bounded: the table's size, and the list of hot anchors
@@ -444,9 +463,11 @@ def repeats(rows: DataFrame) -> DataFrame:
     count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     bits = int(np.clip((256 * count).bit_length(), 16, FILTER_BITS))
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(least, size // RANGE_BYTES, 1)
-    # a task of the first count holds 8 bytes for about every 35 of text
-    shared = spark.sparkContext.broadcast(repeated_anchors(rows, bits, max(least, min(ranges, 256)), max(HOT, size // 35 >> 22)))
+    # a task takes several ranges of anchors, one after the other, and holds one at a time
+    tasks, ranges = max(least, size // TASK_BYTES, 1), max(least, size // RANGE_BYTES, 1)
+    # the first count has 9 bytes for about every 35 of text: parts of 4 to 8 MB of them
+    parts = 1 << int(np.clip((size // 35 * 9 // PART_BYTES).bit_length(), 8, bits - 3))
+    shared = spark.sparkContext.broadcast(repeated_anchors(rows, bits, parts, tasks, max(HOT, size // 35 >> 22)))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, hot = shared.value
@@ -489,19 +510,25 @@ def repeats(rows: DataFrame) -> DataFrame:
         def out(own: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(own[c])) for c in ("doc", "tid", "start", "n")], ["doc", "tid", "start", "end"])
 
-        held = Contexts(HELD_BYTES)
+        def finished(held: Contexts) -> Iterator[pa.RecordBatch]:
+            yield out(held.combine())
+            for own in distinct_repeats(*held.take()):
+                if len(own):
+                    yield out(own)
+
+        held, now = Contexts(HELD_BYTES), None
         for batch in batches:
-            for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for at, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if at != now and held.records:
+                    yield from finished(held)
+                now = at
                 own, data = _unpacked(kind, blob.as_py())
                 if len(done := own if kind else held.add(own, data)):
                     yield out(done)
-        yield out(held.combine())
-        for own in distinct_repeats(*held.take()):
-            if len(own):
-                yield out(own)
+        yield from finished(held)
 
     contexts = rows.mapInArrow(cut, "range int, kind int, rows binary")
-    found = written(contexts.repartition(ranges, "range").mapInArrow(meet, "doc long, tid long, start int, end int"), "repeats")
+    found = written(contexts.repartition(tasks, "range").sortWithinPartitions("range").mapInArrow(meet, "doc long, tid long, start int, end int"), "repeats")
     shared.unpersist()  # workers need not hold the tables any longer
     return found
 

@@ -27,15 +27,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternway.llm.common import pick, slices, strings, written
 from lanternway.llm.components import local_stars, stars
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
-#: Pairs compared at once, in numpy.
-PAIRS = 1 << 21
+#: Pairs compared at once, in numpy; fingerprints of a component that meet at one key.
+PAIRS, HOT = 1 << 21, 1 << 16
 # For each byte value, its bits as eight counters of eight bits.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
@@ -229,20 +229,51 @@ def links(distinct: DataFrame, count: int, threshold: int = THRESHOLD) -> DataFr
     return written(scattered.repartition(ranges, "range").mapInArrow(meet, "u long, v long"), "simhash-links")
 
 
+def components_of(table: DataFrame, least: Column, threshold: int = THRESHOLD) -> DataFrame:
+    """``fp, least``: every fingerprint of `table` with the smallest `least` of its component.
+
+    Fingerprints without a link name themselves. The others meet the smallest one of their component at its
+    root; roots of over `HOT` fingerprints (at most one in `HOT` of them all, so their list is broadcast)
+    are dealt over several keys, so that no component fills a task.
+    """
+    distinct = written(table.groupBy("fp").agg(F.min(least).alias("least")), "simhash-distinct")
+    joined = stars(links(distinct, distinct.count(), threshold)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    roots = joined.groupBy("root").agg(F.ceil(F.count("*") / HOT).cast("int").alias("of"))
+    hot = F.broadcast(roots.where("of > 1"))
+    members = joined.unionByName(roots.select(F.col("root").alias("fp"), "root")).join(hot, "root", "left").withColumn("of", F.coalesce("of", F.lit(1)))
+    members = written(members.join(distinct, "fp").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("of")).cast("int")), "simhash-members")
+    best = members.groupBy("root", "of").agg(F.min("least").alias("best")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).drop("of")
+    named = members.join(best, ["root", "part"]).select("fp", F.col("best").alias("least"))
+    return distinct.join(members.select("fp"), "fp", "left_anti").select("fp", "least").unionByName(named)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, fp`` (long) ``, component_id``: the smallest id reachable by links."""
     table = fingerprint_table(docs, id_col, text_col)
-    distinct = written(table.groupBy("fp").agg(F.min(F.array_min("ids")).alias("least")), "simhash-distinct")
-    joined = stars(links(distinct, distinct.count()))
-    rooted = distinct.join(joined.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(best, "root").select("fp", "component_id")
+    named = components_of(table, F.array_min("ids")).withColumnRenamed("least", "component_id")
     spread = table.join(named, "fp").repartition("rep")
     return spread.select(F.explode("ids").alias("doc_id"), "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id names their component: one document of each group stays."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of `docs` of which one of each component stays: that with the smallest id.
+
+    Null ids come last; of rows with the same id that read first. Rows are told apart by a number of
+    their own, so rows that share an id but not a component all stay.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows, at = docs.toDF(*names), docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in slices(batches, names[at], 4 << 20):
+            fp = fingerprints(strings(batch.column(at)), words).view(np.int64)
+            row = (np.int64(part) << 40) + n + np.arange(len(fp))
+            n += len(fp)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp), pa.array(row)], [*batch.schema.names, "fp", "row"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    keyed = written(rows.mapInArrow(run, f"{fields}, fp long, row long"), "simhash-rows")
+    own = F.col(names[docs.columns.index(id_col)])
+    stays = components_of(keyed, F.struct(own.isNull().alias("none"), own.alias("id"), "row"), threshold).select(F.col("least.row").alias("row"))
+    return keyed.join(stays, "row", "left_semi").select(*names).toDF(*docs.columns)
