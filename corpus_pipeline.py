@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternway.llm import exact_dedup, language_id, packing, pii, simhash
-from lanternway.llm.common import written
+from lanternway.llm.common import free_name, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go; a missing ``lang`` takes the predicted one."""
-    found = language_id.labelled(docs, language_id.learn(docs)).where(F.col("lang_pred") != language_id.UNDETERMINED)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    into = free_name(docs, "lang_pred"), free_name(docs, "score")
+    found = language_id.labelled(docs, language_id.learn(docs), into=into).where(F.col(f"`{into[0]}`") != language_id.UNDETERMINED)
+    return found.withColumn("lang", F.coalesce("lang", F.col(f"`{into[0]}`"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
