@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,28 +97,65 @@ def bin_events(kept: DataFrame, links: DataFrame, cells: DataFrame, span: DataFr
     )
 
 
-def fold_bins(bin_: np.ndarray, reach: np.ndarray, cost: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """Costs by bin of one link from its events in order, and the event that wrote each bin (-1: none).
+def fold_bins(bin_: Iterable[int], reach: Iterable[int], cost: Iterable[float], bins: int, first: int = 0, held: dict[int, tuple[float, int]] | None = None) -> dict[int, tuple[float, int]]:
+    """By bin (cost, event that wrote it, numbered from `first`) of one link after its events in order; `held` before them.
 
     Only the event's own bin is compared; all bins within reach are written, even if that raises them.
     """
-    out, wrote = np.full(bins, INACTIVE), np.full(bins, -1)
-    for i, (b, k, c) in enumerate(zip(bin_.tolist(), reach.tolist(), cost.tolist(), strict=True)):
-        if c < out[b]:
-            a, z = max(0, b - k), min(b + k, bins)
-            out[a:z], wrote[a:z] = c, i
-    return out, wrote
+    out = {} if held is None else held
+    none = (INACTIVE, -1)
+    for i, (b, k, c) in enumerate(zip(bin_, reach, cost, strict=True), first):
+        if c < out.get(b, none)[0]:
+            now = (c, i)
+            for t in range(max(0, b - k), min(b + k, bins)):
+                out[t] = now
+    return out
 
 
 def bin_costs(events: DataFrame) -> DataFrame:
-    """``agent_id, link_seq, bin, cost, trace_no, hit``: the exact ordered fold, per agent and link."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["x_index", "y_index", "g", "p"])
-        out, wrote = fold_bins(frame["bin"].to_numpy(), frame["reach"].to_numpy(), frame["cost"].to_numpy(), int(frame["bins"].iloc[0]))
-        at = np.flatnonzero(wrote >= 0)
-        won = frame.iloc[wrote[at]]
-        return pd.DataFrame({"agent_id": won["agent_id"].to_numpy(), "link_seq": won["link_seq"].to_numpy(), "bin": at, "cost": out[at], "trace_no": won["trace_no"].to_numpy(), "hit": won["hit"].to_numpy()})
+    """``agent_id, link_seq, bin, cost, trace_no, hit``: the exact ordered fold, per agent and link.
 
+    Events are dealt by agent and link and sorted there, in Spark; a task folds them as they come and holds
+    the bins of one link, so the points of an agent need not fit anywhere.
+    """
+    names = ["agent_id", "link_seq", "bin", "reach", "cost", "trace_no", "hit", "bins"]
+    order = ["agent_id", "link_seq", "x_index", "y_index", "g", "p"]
     flat = events.select("agent_id", "link_seq", "at.*", "bin", "reach", "cost", "trace_no", "hit", "bins")
-    return flat.groupBy("agent_id", "link_seq").applyInPandas(fold, "agent_id string, link_seq long, bin long, cost double, trace_no int, hit boolean")
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, marks = None, {}, {}  # of the open link: bins, and (trace_no, hit) of the events that wrote them
+        out: list[list] = [[] for _ in range(6)]
+
+        def close() -> None:
+            for b, (c, i) in held.items():
+                for column, v in zip(out, (*key, b, c, *marks[i]), strict=True):
+                    column.append(v)
+
+        def batch_of() -> pa.RecordBatch:
+            types = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.bool_())
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["agent_id", "link_seq", "bin", "cost", "trace_no", "hit"])
+            for c in out:
+                c.clear()
+            return made
+
+        seen = 0
+        for batch in batches:
+            agent, link, bin_, reach, cost, trace_no, hit, bins = (c.to_pylist() for c in batch.columns)
+            new = [i for i in range(len(agent)) if i == 0 or link[i] != link[i - 1] or agent[i] != agent[i - 1]]
+            for a, z in zip(new, [*new[1:], len(agent)], strict=True):
+                if (agent[a], link[a]) != key:
+                    if key is not None:
+                        close()
+                    key, held, marks, seen = (agent[a], link[a]), {}, {}, 0
+                held = fold_bins(bin_[a:z], reach[a:z], cost[a:z], bins[a], seen, held)
+                marks |= {i: (trace_no[a + i - seen], hit[a + i - seen]) for _, i in held.values() if i >= seen}
+                seen += z - a
+            marks = {i: marks[i] for _, i in held.values()}
+            if len(out[0]) > 10_000:
+                yield batch_of()
+        if key is not None:
+            close()
+        yield batch_of()
+
+    sorted_ = flat.repartition("agent_id", "link_seq").sortWithinPartitions(*order).select(*names)
+    return sorted_.mapInArrow(fold, "agent_id string, link_seq long, bin long, cost double, trace_no int, hit boolean")

@@ -24,18 +24,25 @@ def grid_table(indexed_nodes: DataFrame, zones: DataFrame, kept: DataFrame, dwel
     return full.select("agent_id", "cell_id", "x_index", "y_index", F.coalesce("zone_id", F.lit(0)).alias("zone_id"), F.lit(-1).alias("origin_flag"), F.lit(-1).alias("destination_flag"), F.coalesce("dwell_flag", F.lit(0)).alias("dwell_flag"), F.coalesce("n_GPS_points", F.lit(0)).alias("n_GPS_points"), "n_nodes", x.alias("x_coord"), y.alias("y_coord"), ring.alias("geometry"))
 
 
+#: Columns of the static route as written; `route` has more, for the agent table.
+ROUTE = ("agent_id", "given_link_type_code", "road_sequence", "from_node_id", "to_node_id", "link_id", "trace_no", "length", "distance", "link_type_code", "label_cost", "geometry")
+
+
 def last_of_pair(links: DataFrame) -> DataFrame:
     """Of parallel links (same from and to node) the last in the file."""
     return links.groupBy("from_node_id", "to_node_id").agg(F.max("seq").alias("pair_seq"))
 
 
 def route(paths: DataFrame, links: DataFrame, costs: DataFrame, ends: DataFrame) -> DataFrame:
-    """Static route rows; attributes are those of the last parallel link, `link_seq` is the link used."""
-    attributes = links.select(F.col("seq").alias("pair_seq"), "link_id", "length", "link_type_code", "shape")
+    """Static route rows; attributes are those of the last parallel link, `link_seq` is the link used.
+
+    Besides the columns of `ROUTE`: ``link_seq``, and of the last parallel link ``osm_way_id``, ``shape`` and ends.
+    """
+    attributes = links.select(F.col("seq").alias("pair_seq"), "link_id", "length", "link_type_code", "shape", "osm_way_id", "fx", "fy", "tx", "ty")
     rows = paths.join(last_of_pair(links), ["from_node_id", "to_node_id"], "left").join(attributes, "pair_seq", "left")
     rows = rows.join(costs.select("agent_id", "link_seq", "trace_no"), ["agent_id", "link_seq"], "left").join(ends.select("agent_id", F.coalesce("allowed", F.lit("")).alias("given_link_type_code")), "agent_id", "left")
     run = F.sum("length").over(Window.partitionBy("agent_id").orderBy("road_sequence"))
-    return rows.select("agent_id", "given_link_type_code", "road_sequence", "from_node_id", "to_node_id", "link_id", F.coalesce("trace_no", F.lit(-1)).alias("trace_no"), "length", run.alias("distance"), "link_type_code", "label_cost", wkt.linestring(F.col("shape")).alias("geometry"), "link_seq")
+    return rows.select("agent_id", "given_link_type_code", "road_sequence", "from_node_id", "to_node_id", "link_id", F.coalesce("trace_no", F.lit(-1)).alias("trace_no"), "length", run.alias("distance"), "link_type_code", "label_cost", wkt.linestring(F.col("shape")).alias("geometry"), "link_seq", "osm_way_id", "shape", "fx", "fy", "tx", "ty")
 
 
 def td_route(paths: DataFrame, links: DataFrame, spans: DataFrame, span: DataFrame) -> DataFrame:
@@ -55,22 +62,28 @@ def td_route(paths: DataFrame, links: DataFrame, spans: DataFrame, span: DataFra
     )
 
 
-def agent_table(ends: DataFrame, spans: DataFrame, routes: DataFrame, nodes: DataFrame, zones: DataFrame, links: DataFrame) -> DataFrame:
-    """One row per agent: ends with zones and cells, times, distance, speeds, and the path as lists."""
-    way = links.select(F.col("seq").alias("link_seq"), "osm_way_id")
-    steps = routes.join(way, "link_seq", "left").groupBy("agent_id").agg(F.sum("length").alias("distance"), F.array_sort(F.collect_list(F.struct("road_sequence", "from_node_id", "to_node_id", "osm_way_id", "geometry"))).alias("p"))
-    place = lambda side: nodes.select(F.col("node_id").alias(f"{side}_node_id"), F.col("cell_id").alias(f"{side}_cell_id"), F.col("x").alias(f"{side}x"), F.col("y").alias(f"{side}y")).join(zones.select(F.col("node_id").alias(f"{side}_node_id"), F.col("zone_id").alias(f"{side}_zone_id")), f"{side}_node_id", "left")
+def agent_table(ends: DataFrame, spans: DataFrame, routes: DataFrame, nodes: DataFrame, zones: DataFrame) -> DataFrame:
+    """One row per agent: ends with zones and cells, times, distance, speeds, and the path: nodes, ways of its first
+    and last link, line (of the links' shapes, or of the nodes where no link has one). Without a path they are empty.
+    """
+    step = F.struct("road_sequence", "from_node_id", "to_node_id", "osm_way_id", "shape", "fx", "fy", "tx", "ty")
+    steps = routes.groupBy("agent_id").agg(F.sum("length").alias("distance"), F.array_sort(F.collect_list(step)).alias("p"))
+    place = lambda side: nodes.select(F.col("node_id").alias(f"{side}_node_id"), F.col("cell_id").alias(f"{side}_cell_id")).join(zones.select(F.col("node_id").alias(f"{side}_node_id"), F.col("zone_id").alias(f"{side}_zone_id")), f"{side}_node_id", "left")
     rows = ends.join(spans, "agent_id").join(place("o"), "o_node_id", "left").join(place("d"), "d_node_id", "left").join(steps, "agent_id", "left")
     travel = F.col("end_min") - F.col("start_min")
     kmph = F.coalesce("distance", F.lit(0.0)) / 1000 / F.greatest(F.lit(0.01), travel / 60)
-    stops = F.concat(F.transform("p", lambda s: s["from_node_id"].cast("string")), F.array(F.element_at("p", -1)["to_node_id"].cast("string")))
-    nodes_ = F.when(F.col("p").isNull(), F.lit("")).otherwise(F.concat(F.array_join(stops, ";"), F.lit(";")))
-    ways = F.when(F.col("p").isNull(), F.lit("")).otherwise(F.concat(F.array_join(F.transform("p", lambda s: s["osm_way_id"]), ";"), F.lit(";")))
+    last = F.element_at("p", -1)
+    stops = F.concat(F.transform("p", lambda s: s["from_node_id"].cast("string")), F.array(last["to_node_id"].cast("string")))
+    spots = F.concat(F.transform("p", lambda s: F.struct(s["fx"].alias("x"), s["fy"].alias("y"))), F.array(F.struct(last["tx"].alias("x"), last["ty"].alias("y"))))
+    shapes = F.flatten(F.transform("p", lambda s: s["shape"]))
+    routed = lambda c: F.when(F.col("p").isNull(), F.lit("")).otherwise(c)
+    first_way, last_way = routed(F.element_at("p", 1)["osm_way_id"]), routed(last["osm_way_id"])
     start = F.col("start_sec").cast("int")
     return rows.select(
         "agent_id", "o_node_id", "d_node_id", "o_zone_id", "d_zone_id", "o_cell_id", "d_cell_id", F.lit(1.0).alias("volume"), (start / 3600).cast("int").alias("hh"), (start % 3600 / 60).cast("int").alias("mm"), (start % 60).alias("ss"),
-        F.col("start_min").alias("departure_time_in_min"), F.col("end_min").alias("end_time_in_min"), travel.alias("travel_time"), F.coalesce("distance", F.lit(0.0)).alias("distance"), kmph.alias("speed_kmph"), timefn.mph(kmph).alias("speed_mph"),
-        nodes_.alias("node_sequence"), ways.alias("osm_way_ids"), F.concat("o_node_id", F.lit("T"), "d_node_id").alias("oTd"),
+        F.col("start_min").alias("departure_time"), F.col("end_min").alias("end_time_in_min"), travel.alias("travel_time"), F.coalesce("distance", F.lit(0.0)).alias("distance"), kmph.alias("speed_kmph"), timefn.mph(kmph).alias("speed_mph"),
+        routed(F.concat(F.array_join(stops, ";"), F.lit(";"))).alias("node_sequence"), first_way.alias("o_osm_way_id"), last_way.alias("d_osm_way_id"), routed(F.concat(first_way, F.lit("T"), last_way)).alias("osm_way_id_od_key"),
+        routed(wkt.linestring(F.when(F.size(shapes) > 0, shapes).otherwise(spots))).alias("geometry"),
     )
 
 

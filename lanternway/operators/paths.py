@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +14,8 @@ from lanternway.functions.constants import FORBIDDEN, INACTIVE
 from lanternway.operators.od import permitted
 from lanternway.operators.storage import saved
 
-#: Links up to which the network is sent to every task; larger networks take the relational search.
-NETWORK_LIMIT = 3_000_000
+#: Links up to which the network is sent to every task (about 12 MB); larger ones are searched as a table.
+NETWORK_LIMIT = 400_000
 PATH_SCHEMA = "agent_id string, road_sequence int, link_seq long, from_node_id int, to_node_id int, label_cost double, total_cost double"
 
 
@@ -22,25 +23,32 @@ class Graph:
     """Adjacency of the network in compressed rows; nodes are numbered by id."""
 
     def __init__(self, seq: np.ndarray, tail: np.ndarray, head: np.ndarray, code: list[str]) -> None:
-        self.ids = np.unique(np.concatenate([tail, head]))
-        order = np.lexsort((seq, np.searchsorted(self.ids, tail)))
-        self.seq, self.tail, self.head = seq[order], np.searchsorted(self.ids, tail)[order], np.searchsorted(self.ids, head)[order]
-        self.first = np.searchsorted(self.tail, np.arange(len(self.ids) + 1))
-        self.code = [code[i] for i in order.tolist()]
-        self.place = np.argsort(self.seq)
+        ids = np.unique(np.concatenate([tail, head]))
+        order = np.lexsort((seq, np.searchsorted(ids, tail)))
+        tails = np.searchsorted(ids, tail)[order]
+        # plain lists: the search reads single entries
+        self.seq, self.tail, self.head = seq[order].tolist(), tails.tolist(), np.searchsorted(ids, head)[order].tolist()
+        self.first, self.ids = np.searchsorted(tails, np.arange(len(ids) + 1)).tolist(), ids.tolist()
+        self.codes, kind = np.unique(np.array(code, object).astype(str), return_inverse=True)
+        self.kind = kind[order].tolist()
+        self.at = {n: i for i, n in enumerate(self.ids)}
 
     @staticmethod
     def of(links: DataFrame) -> Graph:
         rows = links.select("seq", "from_node_id", "to_node_id", "link_type_code").toPandas()
         return Graph(*(rows[c].to_numpy(np.int64) for c in ("seq", "from_node_id", "to_node_id")), rows["link_type_code"].fillna("").tolist())
 
-    def search(self, origin: int, target: int, cost: np.ndarray) -> list[tuple[int, float, float]]:
-        """(link place, label at its from node, total) along the least-cost path; ties to the first link."""
-        o, d = np.searchsorted(self.ids, [origin, target]).tolist()
-        if o >= len(self.ids) or d >= len(self.ids) or self.ids[o] != origin or self.ids[d] != target:
+    def search(self, origin: int, target: int, cost: dict[int, float], barred: list[bool]) -> list[tuple[int, float, float]]:
+        """(link place, label at its from node, total) along the least-cost path; ties to the first link.
+
+        `cost`: of the agent's own links, by `seq`; `barred`: of each of `codes`, whether its links are forbidden.
+        What is read and held grows with the nodes that are no farther than the target, not with the network.
+        """
+        o, d = self.at.get(origin), self.at.get(target)
+        if o is None or d is None:
             return []
         label, by, done = {o: 0.0}, {}, set()
-        first, head, seq, price = self.first, self.head, self.seq, cost
+        first, head, seq, kind = self.first, self.head, self.seq, self.kind
         heap = [(0.0, o)]
         while heap:
             at, u = heapq.heappop(heap)
@@ -50,10 +58,10 @@ class Graph:
                 break
             done.add(u)
             for e in range(first[u], first[u + 1]):
-                v = int(head[e])
+                v = head[e]
                 if v in done:
                     continue
-                new, old = at + price[e], label.get(v)
+                new, old = at + (FORBIDDEN if barred[kind[e]] else cost.get(seq[e], INACTIVE)), label.get(v)
                 if old is None or new < old or (new == old and seq[e] < seq[by[v]]):
                     label[v], by[v] = new, e
                     heapq.heappush(heap, (new, v))
@@ -62,8 +70,8 @@ class Graph:
         out, v = [], d
         while v != o:
             e = by[v]
-            out.append((e, label[int(self.tail[e])], label[d]))
-            v = int(self.tail[e])
+            out.append((e, label[self.tail[e]], label[d]))
+            v = self.tail[e]
         return out[::-1]
 
 
@@ -83,26 +91,22 @@ def shortest_paths(ends: DataFrame, costs: DataFrame, links: DataFrame, limit: i
     held = costs.groupBy("agent_id").agg(F.collect_list(F.struct("link_seq", "cost")).alias("costs"))
     rows = asked.join(held, "agent_id", "left")
 
-    def search(frames):  # noqa: ANN001, ANN202
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g: Graph = graph.value
-        ordered, codes = g.seq[g.place], sorted(set(g.code))
-        of = {c: np.array([x == c for x in g.code]) for c in codes}
-        for frame in frames:
+        types = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
+        for batch in batches:
             out = []
-            for a in frame.itertuples(index=False):
-                price = np.full(len(g.seq), INACTIVE)
-                if a.costs is not None and len(a.costs):
-                    at = np.searchsorted(ordered, [c["link_seq"] for c in a.costs])
-                    price[g.place[at]] = [c["cost"] for c in a.costs]
-                for c in codes:
-                    if c and ((a.allowed and c not in a.allowed) or (a.blocked and c in a.blocked)):
-                        price[of[c]] = FORBIDDEN
-                price_list = price.tolist()
-                for i, (e, label, total) in enumerate(g.search(a.o_node_id, a.d_node_id, price_list)):
-                    out.append((a.agent_id, i + 1, int(g.seq[e]), int(g.ids[g.tail[e]]), int(g.ids[g.head[e]]), label, total))
-            yield pd.DataFrame(out, columns=["agent_id", "road_sequence", "link_seq", "from_node_id", "to_node_id", "label_cost", "total_cost"])
-
-    return rows.mapInPandas(search, PATH_SCHEMA)
+            agents, origins, targets, allowed, blocked = (batch.column(c).to_pylist() for c in range(5))
+            for i, agent in enumerate(agents):
+                own = batch.column(5)[i].values
+                price = {} if own is None else dict(zip(own.field(0).to_pylist(), own.field(1).to_pylist(), strict=True))
+                barred = [bool(c and ((allowed[i] and c not in allowed[i]) or (blocked[i] and c in blocked[i]))) for c in g.codes.tolist()]
+                for n, (e, label, total) in enumerate(g.search(origins[i], targets[i], price, barred)):
+                    out.append((agent, n + 1, g.seq[e], g.ids[g.tail[e]], g.ids[g.head[e]], label, total))
+            cols = list(zip(*out, strict=True)) if out else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [c.split()[0] for c in PATH_SCHEMA.split(", ")])
+
+    return rows.mapInArrow(search, PATH_SCHEMA)
 
 
 def priced_links(ends: DataFrame, costs: DataFrame, links: DataFrame) -> DataFrame:
@@ -115,23 +119,35 @@ def priced_links(ends: DataFrame, costs: DataFrame, links: DataFrame) -> DataFra
 def relaxed_labels(ends: DataFrame, costs: DataFrame, links: DataFrame) -> DataFrame:
     """Labels ``agent_id, node_id, label, link_seq`` by min-plus relaxation of a frontier table.
 
-    Each round joins the nodes whose label fell with their out-links; it ends when none fell. Rounds are
-    written to the checkpoint folder. All joins are on (agent, node) or (agent, link).
+    Each round joins nodes whose label fell with their out-links. Of an agent's nodes only those are taken
+    whose label lies in its lowest open stretch of `INACTIVE`, so its own cheap links are walked first; and
+    none that is not below the label of its target, so no round goes beyond what the path needs. It ends
+    when no node is left. All joins are on (agent, node) or (agent, link); a round's table replaces the last.
     """
     asked = ends.where("o_node_id is not null and d_node_id is not null")
     priced = saved(priced_links(asked, costs, links), "priced")
     arcs = links.select(F.col("seq").alias("link_seq"), F.col("from_node_id").alias("node_id"), F.col("to_node_id").alias("next"), "link_type_code")
-    labels = saved(asked.select("agent_id", F.col("o_node_id").cast("int").alias("node_id"), F.lit(0.0).alias("label"), F.lit(None).cast("long").alias("link_seq")), "labels")
-    front = labels
-    codes = asked.select("agent_id", "allowed", "blocked")
-    while not front.isEmpty():
-        step = front.select("agent_id", "node_id", "label").join(arcs, "node_id").join(priced, ["agent_id", "link_seq"], "left").join(codes, "agent_id")
+    labels = saved(asked.select("agent_id", F.col("o_node_id").cast("int").alias("node_id"), F.lit(0.0).alias("label"), F.lit(None).cast("long").alias("link_seq"), F.lit(True).alias("open")), "labels")
+    goals = asked.select("agent_id", F.col("d_node_id").cast("int").alias("goal"), "allowed", "blocked")
+    stretch = F.floor(F.col("label") / INACTIVE)
+    while True:
+        known = labels.join(goals, "agent_id")
+        bound = known.groupBy("agent_id").agg(F.min(F.when(F.col("node_id") == F.col("goal"), F.col("label"))).alias("most"), F.min(F.when(F.col("open"), stretch)).alias("lowest"))
+        front = known.where("open").join(bound, "agent_id").where((stretch == F.col("lowest")) & (F.col("most").isNull() | (F.col("label") < F.col("most"))))
+        front = saved(front.select("agent_id", "node_id", "label", "allowed", "blocked"), "front")
+        if front.isEmpty():
+            return labels.drop("open")
+        step = front.join(arcs, "node_id").join(priced, ["agent_id", "link_seq"], "left")
         other = F.when(permitted(F.col("allowed"), F.col("blocked"), F.col("link_type_code")), F.lit(INACTIVE)).otherwise(F.lit(FORBIDDEN))
         found = step.select("agent_id", F.col("next").alias("node_id"), (F.col("label") + F.coalesce("cost", other)).alias("label"), "link_seq")
-        best = labels.withColumn("old", F.lit(1)).unionByName(found.withColumn("old", F.lit(0))).groupBy("agent_id", "node_id").agg(F.min(F.struct("label", F.coalesce("link_seq", F.lit(-1)).alias("link_seq"))).alias("b"), F.min(F.when(F.col("old") == 1, F.struct("label", F.coalesce("link_seq", F.lit(-1)).alias("link_seq")))).alias("was"))
-        new = saved(best.select("agent_id", "node_id", "b.label", F.nullif("b.link_seq", F.lit(-1)).alias("link_seq"), (F.col("was").isNull() | (F.col("b") < F.col("was"))).alias("fell")), "labels")
-        labels, front = new.drop("fell"), new.where("fell")
-    return labels
+        one = F.struct("label", F.coalesce("link_seq", F.lit(-1)).alias("link_seq"))
+        rows = labels.select("agent_id", "node_id", "label", "link_seq", "open", F.lit(True).alias("old")).unionByName(found.select("*", F.lit(False).alias("open"), F.lit(False).alias("old")))
+        rows = rows.unionByName(front.select("agent_id", "node_id", F.lit(None).cast("double").alias("label"), F.lit(None).cast("long").alias("link_seq"), F.lit(None).cast("boolean").alias("open"), F.lit(None).cast("boolean").alias("old")))
+        best = rows.groupBy("agent_id", "node_id").agg(
+            F.min(F.when(F.col("label").isNotNull(), one)).alias("b"), F.min(F.when(F.col("old"), one)).alias("was"), F.coalesce(F.max("open"), F.lit(False)).alias("open"), F.max(F.col("old").isNull()).alias("taken"),
+        )
+        fell = F.col("was").isNull() | (F.col("b.label") < F.col("was.label"))
+        labels = saved(best.select("agent_id", "node_id", "b.label", F.nullif("b.link_seq", F.lit(-1)).alias("link_seq"), (fell | (F.col("open") & ~F.col("taken"))).alias("open")), "labels", instead=labels)
 
 
 def relaxed_paths(ends: DataFrame, costs: DataFrame, links: DataFrame) -> DataFrame:

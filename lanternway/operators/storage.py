@@ -2,23 +2,58 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Begin of the name of a session's folder.
+RUN = "lanternway-matching"
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """`df` written once to the session's ``spark.checkpoint.dir`` and read again.
 
-    The files survive a lost executor, and plans that use the table do not grow. Only where the
-    setting is absent (tests) a temporary folder takes its place.
+def run_folder(spark: SparkSession) -> str:
+    """The run's own folder below the session's ``spark.checkpoint.dir``.
+
+    A cluster must name one that all machines share; only a local session (tests) without the setting
+    gets a temporary folder.
     """
-    spark, key = df.sparkSession, "spark.checkpoint.dir"
+    key = "spark.checkpoint.dir"
     folder = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lanternway-")
-        spark.conf.set(key, folder)
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"{key} must name a folder that all machines share")
+        folder = _local_folder(spark.sparkContext.applicationId)
+    return f"{folder.rstrip('/')}/{RUN}-{spark.sparkContext.applicationId}"
+
+
+@lru_cache
+def _local_folder(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="lanternway-")
+
+
+def saved(df: DataFrame, label: str, instead: DataFrame | None = None) -> DataFrame:
+    """`df` written once to the run's folder and read again.
+
+    The files survive a lost executor, and plans that use the table do not grow. `instead`: a table saved
+    before that nothing needs once this one is there; it goes.
+    """
+    spark = df.sparkSession
+    path = f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if instead is not None:
+        for old in {f.rsplit("/", 1)[0] for f in instead.inputFiles()}:
+            _remove(spark, old)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_intermediates(spark: SparkSession) -> None:
+    """Removes all tables of this session's runs; results that still read them must be written before."""
+    _remove(spark, run_folder(spark))
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    if f"/{RUN}-" in folder:  # never anything but what `saved` has made
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,28 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternway.functions import timefn
-from lanternway.functions.constants import TIME_BIN, UNREACHABLE
-from lanternway.operators.likelihood import fold_bins
+from lanternway.functions.constants import INACTIVE, TIME_BIN, UNREACHABLE
 
 TD_SCHEMA = "agent_id string, road_sequence int, link_seq long, from_node_id int, to_node_id int, time_index int, time_index_t int, label_cost double"
-_EVENT = "struct<x_index:bigint,y_index:bigint,g:int,p:int,bin:int,reach:int,cost:double>"
 
+TD_NAMES = [c.split()[0] for c in TD_SCHEMA.split(", ")]
 
-def agent_states(ends: DataFrame, active: DataFrame, events: DataFrame, dwells: DataFrame, spans: DataFrame, links: DataFrame, span: DataFrame) -> DataFrame:
-    """One row per agent with all its search needs: ends, bins, active links with their events, dwells."""
-    per_link = events.groupBy("agent_id", "link_seq").agg(F.collect_list(F.struct("at.x_index", "at.y_index", "at.g", "at.p", "bin", "reach", "cost")).alias("events"))
-    arcs = links.select(F.col("seq").alias("link_seq"), "from_node_id", "to_node_id", "fft_min")
-    lists = active.select("agent_id", "link_seq").distinct().join(per_link, ["agent_id", "link_seq"], "left").join(arcs, "link_seq").groupBy("agent_id").agg(F.collect_list(F.struct("link_seq", "from_node_id", "to_node_id", "fft_min", "events")).alias("links"))
-    waits = dwells.groupBy("agent_id").agg(F.map_from_entries(F.collect_list(F.struct("bin", "dwell_bins"))).alias("dwell"))
-    rows = ends.where("o_node_id is not null and d_node_id is not null").select("agent_id", "o_node_id", "d_node_id").join(spans, "agent_id").join(F.broadcast(span)).join(lists, "agent_id").join(waits, "agent_id", "left")
+
+def agent_states(ends: DataFrame, active: DataFrame, costs: DataFrame, dwells: DataFrame, spans: DataFrame, links: DataFrame, span: DataFrame) -> DataFrame:
+    """One row per agent with all its search needs: ends, bins, active links, costs by bin, dwells.
+
+    What is gathered is bounded by active links times the agent's bins, not by its points: `costs`
+    (``agent_id, link_seq, bin, cost``) are folded before.
+    """
     bin_ = lambda c: timefn.time_bin(F.col(c), F.col("t0"), F.col("bins"))
-    return rows.select("agent_id", "o_node_id", "d_node_id", bin_("start_min").alias("start"), bin_("last_min").alias("end"), "bins", "links", "dwell")
+    asked = ends.where("o_node_id is not null and d_node_id is not null").select("agent_id", "o_node_id", "d_node_id").join(spans, "agent_id").join(F.broadcast(span))
+    asked = asked.select("agent_id", "o_node_id", "d_node_id", bin_("start_min").alias("start"), bin_("last_min").alias("end"), "bins")
+    within = costs.join(asked.select("agent_id", "start", "end"), "agent_id").where("bin between start and end")
+    priced = within.groupBy("agent_id").agg(F.collect_list(F.struct("link_seq", "bin", "cost")).alias("costs"))
+    arcs = links.select(F.col("seq").alias("link_seq"), "from_node_id", "to_node_id", "fft_min")
+    lists = active.select("agent_id", "link_seq").distinct().join(arcs, "link_seq").groupBy("agent_id").agg(F.array_sort(F.collect_list(F.struct("link_seq", "from_node_id", "to_node_id", "fft_min"))).alias("links"))
+    waits = dwells.groupBy("agent_id").agg(F.collect_list(F.struct("bin", "dwell_bins")).alias("dwell"))
+    rows = asked.join(lists, "agent_id").join(priced, "agent_id", "left").join(waits, "agent_id", "left")
+    return rows.select("agent_id", "o_node_id", "d_node_id", "start", "end", "bins", "links", "costs", "dwell")
 
 
 def travel_bins(fft_min: float) -> tuple[int, int]:
@@ -39,37 +48,49 @@ def search(links: list[tuple[int, int, int, float, np.ndarray]], origin: int, ta
     that bin); its cost depends on the entry bin only. The path ends at the cheapest of the last six
     bins. `compat`: predecessors are followed from `end`, and the last link is left out.
     """
-    ids = sorted({n for _, a, b, _, _ in links for n in (a, b)} | {origin, target})
-    at = {n: i for i, n in enumerate(ids)}
+    seq, tail, head = (np.array([x[i] for x in links], np.int64) for i in range(3))
+    ids = np.unique(np.concatenate([tail, head, [origin, target]]))
+    a, b = np.searchsorted(ids, tail), np.searchsorted(ids, head)
+    times = [travel_bins(x[3]) for x in links]
+    least, usual = (np.array([t[i] for t in times], np.int64) for i in range(2))
+    cost = np.stack([x[4] for x in links], 1) if links else np.zeros((end - start + 1, 0))
     width = min(bins, end + 1)  # later bins cannot reach the end
     label = np.full((len(ids), width), UNREACHABLE)
     by, since = np.full((len(ids), width), -1), np.full((len(ids), width), -1)
-    label[at[origin], start] = 0.0
-    price = [(at[a], at[b], *travel_bins(f), c) for _, a, b, f, c in links]
-    for t in range(start, end + 1):
+    label[np.searchsorted(ids, origin), start] = 0.0
+    # links by their place among those into the same node: those of one round have different heads
+    order = np.argsort(b, kind="stable")
+    place = np.empty(len(b), np.int64)
+    place[order] = np.arange(len(b)) - np.searchsorted(b[order], b[order])
+    for t in range(start, min(end, width - 1) + 1):
         wait = dwell.get(t, 0)
-        for k, (a, b, least, usual, cost) in enumerate(price):
-            here = label[a, t]
-            if here >= UNREACHABLE:
-                continue
-            first, stop = t + least, t + max(1, wait, usual * stages)
-            new = here + cost[t - start]
-            if stop <= first:
-                continue
-            lo, hi = min(first, bins - 1), min(stop, bins)
-            if lo >= width:
+        stop = t + np.maximum(np.maximum(1, wait), usual * stages)
+        lo = np.minimum(t + least, bins - 1)
+        ready = (stop > t + least) & (lo < width)
+        last = t == bins - 1  # all moves stay in the last bin, so links see each other: one by one, in order
+        if not last:
+            ready &= label[a, t] < UNREACHABLE
+        if not ready.any():
+            continue
+        hi = np.minimum(np.maximum(np.minimum(stop, bins), lo + 1), width)
+        rounds = np.flatnonzero(ready)[:, None] if last else [np.flatnonzero(ready & (place == r)) for r in range(int(place[ready].max()) + 1)]
+        for own in rounds:
+            if not len(own) or last and label[a[own[0]], t] >= UNREACHABLE:
                 continue
-            hi = min(max(hi, lo + 1), width)
-            better = np.flatnonzero(label[b, lo:hi] > new) + lo
-            label[b, better], by[b, better], since[b, better] = new, k, t
-    goal = at[target]
+            k = np.repeat(own, hi[own] - lo[own])
+            at = np.arange(len(k)) - np.repeat(np.cumsum(hi[own] - lo[own]) - (hi[own] - lo[own]) - lo[own], hi[own] - lo[own])
+            new = (label[a[own], t] + cost[t - start, own]).repeat(hi[own] - lo[own])
+            better = label[b[k], at] > new
+            k, at = k[better], at[better]
+            label[b[k], at], by[b[k], at], since[b[k], at] = new[better], k, t
+    goal = int(np.searchsorted(ids, target))
     window = np.arange(max(0, end - 5), end + 1)
     best = int(window[label[goal, window].argmin()]) if label[goal, window].min() < label[goal, end] else end
     node, t, out = goal, (end if compat else best), []
     while by[node, t] >= 0 and since[node, t] >= start and len(out) < 10_000:
         k, before = int(by[node, t]), int(since[node, t])
         out.append((links[k][0], links[k][1], links[k][2], before, t, float(label[node, t])))
-        node, t = price[k][0], before
+        node, t = int(a[k]), before
     out.reverse()
     return out[:-1] if compat else out
 
@@ -77,20 +98,25 @@ def search(links: list[tuple[int, int, int, float, np.ndarray]], origin: int, ta
 def td_paths(states: DataFrame, compat: bool = False) -> DataFrame:
     """Path rows of every agent; each agent is searched on its own, on its own links only."""
 
-    def run(frames):  # noqa: ANN001, ANN202
-        for frame in frames:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for a in frame.itertuples(index=False):
-                found = []
-                for x in sorted(a.links, key=lambda v: v["link_seq"]):
-                    events = sorted(x["events"], key=lambda e: (e["x_index"], e["y_index"], e["g"], e["p"])) if x["events"] is not None else []
-                    cost, _ = fold_bins(np.array([e["bin"] for e in events], int), np.array([e["reach"] for e in events], int), np.array([e["cost"] for e in events], float), int(a.bins))
-                    found.append((x["link_seq"], x["from_node_id"], x["to_node_id"], x["fft_min"], cost[a.start : a.end + 1]))
-                dwell = dict(a.dwell) if a.dwell is not None else {}
-                out += [(a.agent_id, i + 1, *row) for i, row in enumerate(search(found, a.o_node_id, a.d_node_id, a.start, a.end, int(a.bins), dwell, compat))]
-            yield pd.DataFrame(out, columns=["agent_id", "road_sequence", "link_seq", "from_node_id", "to_node_id", "time_index", "time_index_t", "label_cost"])
-
-    return states.mapInPandas(run, TD_SCHEMA)
+            for i in range(batch.num_rows):
+                agent, origin, target, start, end, bins = (batch.column(c)[i].as_py() for c in range(6))
+                own, priced, waits = (batch.column(c)[i].values for c in range(6, 9))  # lists of structs as arrays
+                seq, tail, head = (own.field(c).to_numpy() for c in range(3))
+                cost = np.full((len(seq), end - start + 1), INACTIVE)
+                if priced is not None and len(priced):
+                    at = np.searchsorted(seq, priced.field(0).to_numpy())  # links stand in order
+                    cost[at, priced.field(1).to_numpy() - start] = priced.field(2).to_numpy()
+                links = list(zip(seq.tolist(), tail.tolist(), head.tolist(), own.field(3).to_pylist(), cost, strict=True))
+                dwell = {} if waits is None else dict(zip(waits.field(0).to_pylist(), waits.field(1).to_pylist(), strict=True))
+                out += [(agent, n + 1, *row) for n, row in enumerate(search(links, origin, target, start, end, bins, dwell, compat))]
+            cols = list(zip(*out, strict=True)) if out else [()] * 8
+            types = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], TD_NAMES)
+
+    return states.mapInArrow(run, TD_SCHEMA)
 
 
 def use_counts(paths: DataFrame) -> DataFrame:

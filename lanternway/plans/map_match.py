@@ -44,7 +44,7 @@ class Matching:
 
     @cached_property
     def points(self) -> DataFrame:
-        return traces.points(self.raw_trace)
+        return saved(traces.points(self.raw_trace), "points")
 
     @cached_property
     def kept(self) -> DataFrame:
@@ -56,7 +56,7 @@ class Matching:
 
     @cached_property
     def given(self) -> DataFrame:
-        return trace.given(self.points, self.nodes)
+        return saved(trace.given(self.points, self.nodes), "given")
 
     @cached_property
     def ends(self) -> DataFrame:
@@ -88,10 +88,14 @@ class Matching:
     def events(self) -> DataFrame:
         return likelihood.bin_events(self.kept, self.links, self.cells, self.span, trace.sampling(self.kept))
 
+    @cached_property
+    def bin_costs(self) -> DataFrame:
+        return saved(likelihood.bin_costs(self.events), "bin-costs")
+
     @cached_property
     def td_paths(self) -> DataFrame:
         active = likelihood.candidates(self.kept, self.links)
-        states = tdpaths.agent_states(self.ends, active, self.events, trace.dwells(self.kept), trace.spans(self.kept), self.links, self.span)
+        states = tdpaths.agent_states(self.ends, active, self.bin_costs, trace.dwells(self.kept), trace.spans(self.kept), self.links, self.span)
         return saved(tdpaths.td_paths(states, self.compat), "td-paths")
 
     @cached_property
@@ -100,7 +104,7 @@ class Matching:
 
     @cached_property
     def agents(self) -> DataFrame:
-        return outputs.agent_table(self.ends, trace.spans(self.kept), self.route, self.nodes, grid.node_zones(self.nodes, self.r), self.links)
+        return outputs.agent_table(self.ends, trace.spans(self.kept), self.route, self.nodes, grid.node_zones(self.nodes, self.r))
 
     @cached_property
     def grid(self) -> DataFrame:
@@ -112,7 +116,7 @@ def map_match(spark, folder: str, out: str | None = None, time_dependent: bool =
     raw = [tables.read_table(spark, f"{folder}/{name}.csv") for name in ("node", "link", "trace")]
     run = Matching(*raw, **options)
     if out:
-        outputs.write_csv(run.td_route if time_dependent else run.route.drop("link_seq"), f"{out}/route", "agent_id", "road_sequence")
+        outputs.write_csv(run.td_route if time_dependent else run.route.select(*outputs.ROUTE), f"{out}/route", "agent_id", "road_sequence")
         outputs.write_csv(run.agents, f"{out}/agent", "agent_id")
         outputs.write_csv(outputs.trace_processed(trace.deltas(run.kept)), f"{out}/trace_processed", "agent_id", "gps_trace_id")
         outputs.write_csv(outputs.link_likelihood(run.costs, run.links), f"{out}/link_likelihood", "agent_id", "link_id")

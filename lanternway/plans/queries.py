@@ -149,10 +149,10 @@ _LABELS = """lab(agent_id, node, cost) using key (agent_id, node) as (
 _TOTALS = sql("select e.agent_id, round(l.cost,6) as total_cost from ends e join lab l on l.agent_id=e.agent_id and l.node=e.d_node_id where e.o_node_id <> e.d_node_id", "arcs", _LABELS)
 register("g01_shortest_path_cost", lambda m: m.paths.select("agent_id", r6("total_cost", "total_cost")).distinct(), _TOTALS)
 register("g01_relaxed_path_cost", lambda m: paths.relaxed_paths(m.ends, m.costs, m.links).select("agent_id", r6("total_cost", "total_cost")).distinct(), _TOTALS)
-register("k04_route", lambda m: m.route.drop("link_seq"))
+register("k04_route", lambda m: m.route.select(*outputs.ROUTE))
 register("k03_agent", lambda m: m.agents)
-register("l03_bin_costs", lambda m: likelihood.bin_costs(m.events))
+register("l03_bin_costs", lambda m: m.bin_costs)
 register("g02_td_paths", lambda m: m.td_paths)
-register("g03_price_update", lambda m: tdpaths.updated_prices(likelihood.bin_costs(m.events), m.costs, tdpaths.use_counts(m.td_paths)))
+register("g03_price_update", lambda m: tdpaths.updated_prices(m.bin_costs, m.costs, tdpaths.use_counts(m.td_paths)))
 register("a21_use_counts", lambda m: tdpaths.use_counts(m.td_paths))
 register("k05_td_route", lambda m: m.td_route)

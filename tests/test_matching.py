@@ -98,10 +98,27 @@ def test_time_dependent_search_equals_the_full_table(seed):
 
 
 def test_bin_fold_compares_the_centre_only():
-    cost, wrote = likelihood.fold_bins(np.array([5, 6, 5]), np.array([2, 2, 2]), np.array([0.5, 0.9, 0.4]), 10)
-    assert cost.tolist() == [999.0] * 3 + [0.4] * 4 + [999.0] * 3 and wrote[3:7].tolist() == [2] * 4
-    cost, _ = likelihood.fold_bins(np.array([5, 8]), np.array([1, 4]), np.array([0.5, 0.9]), 10)
-    assert cost[4:6].tolist() == [0.9, 0.9]  # a later event may raise a neighbouring bin
+    held = likelihood.fold_bins([5, 6, 5], [2, 2, 2], [0.5, 0.9, 0.4], 10)
+    assert held == {t: (0.4, 2) for t in range(3, 7)}
+    assert {t: c for t, (c, _) in likelihood.fold_bins([5, 8], [1, 4], [0.5, 0.9], 10).items()} == dict.fromkeys(range(4, 10), 0.9)  # a later event may raise a neighbouring bin
+    part = likelihood.fold_bins([5], [2], [0.5], 10)
+    assert likelihood.fold_bins([6, 5], [2, 2], [0.9, 0.4], 10, 1, part) == held  # events may come in pieces
+
+
+def test_bin_costs_equal_a_fold_of_each_group(run):
+    got = {}
+    for r in likelihood.bin_costs(run.events).collect():
+        got.setdefault((r["agent_id"], r["link_seq"]), {})[r["bin"]] = (r["cost"], r["trace_no"], r["hit"])
+    groups = {}
+    for r in run.events.collect():
+        groups.setdefault((r["agent_id"], r["link_seq"]), []).append(r)
+    assert got.keys() == groups.keys()
+    for key, events in groups.items():
+        want = {}
+        for e in sorted(events, key=lambda e: tuple(e["at"])):
+            if e["cost"] < want.get(e["bin"], (INACTIVE,))[0]:
+                want |= {t: (e["cost"], e["trace_no"], e["hit"]) for t in range(max(0, e["bin"] - e["reach"]), min(e["bin"] + e["reach"], e["bins"]))}
+        assert got[key] == want
 
 
 def test_time_dependent_routes(run):
