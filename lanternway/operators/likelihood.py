@@ -81,18 +81,17 @@ def scan_order(kept: DataFrame, left: float, bottom: float, resolution: float =
     return kept.groupBy("cell_id").agg(F.min(i).alias("x_index"), F.min(j).alias("y_index"))
 
 
-def bin_events(kept: DataFrame, links: DataFrame, cells: DataFrame, span: DataFrame, sampling: DataFrame) -> DataFrame:
+def bin_events(scores: DataFrame, cells: DataFrame, span: DataFrame, sampling: DataFrame) -> DataFrame:
     """Ordered events for costs by time bin: ``agent_id, link_seq, at, bin, reach, cost, trace_no, hit``.
 
-    ``at`` is the order of the scan: cell column and row, point, shape point. ``span`` is one row
-    (t0, t1, bins). An event counts for the bins within ``reach`` of its own.
+    ``at`` is the order of the scan: cell column and row, then point. The shape points of a link need no
+    events of their own: for one point they have the same bin and reach, so the least of their costs decides.
+    ``span`` is one row (t0, t1, bins). An event counts for the bins within ``reach`` of its own.
     """
-    same = Window.partitionBy("agent_id", "link_seq", "cell_id", "g")
-    each = shape_rows(kept, links).withColumn("hit", F.max("hit").over(same)).withColumnRenamed("deviation", "nonhit").where(F.col("nonhit") <= F.col("link_distance") * 2)
-    full = each.join(cells, "cell_id").join(F.broadcast(span)).join(sampling, "agent_id")
+    full = scores.where("nonhit is not null").join(cells, "cell_id").join(F.broadcast(span)).join(sampling, "agent_id")
     reach = F.greatest(F.lit(1), (F.col("sampling_min") / F.lit(TIME_BIN)).cast("int"))
     return full.select(
-        "agent_id", "link_seq", F.struct("x_index", "y_index", "g", "p").alias("at"), timefn.time_bin(F.col("sec") / 60, F.col("t0"), F.col("bins")).alias("bin"),
+        "agent_id", "link_seq", F.struct("x_index", "y_index", "g").alias("at"), timefn.time_bin(F.col("sec") / 60, F.col("t0"), F.col("bins")).alias("bin"),
         reach.alias("reach"), F.when(F.col("hit"), F.coalesce("beside", F.lit(RESOLUTION))).otherwise(F.col("nonhit") * NONHIT_RATIO).alias("cost"), "trace_no", "hit", "bins",
     )
 
@@ -119,7 +118,7 @@ def bin_costs(events: DataFrame) -> DataFrame:
     the bins of one link, so the points of an agent need not fit anywhere.
     """
     names = ["agent_id", "link_seq", "bin", "reach", "cost", "trace_no", "hit", "bins"]
-    order = ["agent_id", "link_seq", "x_index", "y_index", "g", "p"]
+    order = ["agent_id", "link_seq", "x_index", "y_index", "g"]
     flat = events.select("agent_id", "link_seq", "at.*", "bin", "reach", "cost", "trace_no", "hit", "bins")
 
     def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

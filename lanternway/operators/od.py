@@ -84,7 +84,7 @@ def choose(kept: DataFrame, given: DataFrame, segments: DataFrame, links: DataFr
     A given node stands. Else the origin is the from node of the best link at the start, and the
     destination the to node of the best link at the end. Ties go to the first link.
     """
-    base = boundary_points(kept).join(segments, "agent_id").join(given, "agent_id", "left")
+    base = saved(boundary_points(kept).join(segments, "agent_id").join(given, "agent_id", "left"), "od-base")
     ask = lambda which, node, p0, p1, length: base.where(F.col(node).isNull()).select("agent_id", F.lit(which).alias("which"), F.col(p0).alias("p0"), F.col(p1).alias("p1"), F.col(length).alias("length"), "allowed", "blocked")
     asked = ask("o", "o_node_id", "a0", "a1", "first_length").unionByName(ask("d", "d_node_id", "z0", "z1", "last_length"))
     found = best_ends(asked, links, resolution).join(links.select(F.col("seq").alias("link_seq"), "from_node_id", "to_node_id"), "link_seq")

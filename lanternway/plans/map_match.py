@@ -68,9 +68,13 @@ class Matching:
     def cells(self) -> DataFrame:
         return likelihood.scan_order(self.kept, self.box[0], self.box[2], self.r)
 
+    @cached_property
+    def scored(self) -> DataFrame:
+        return saved(likelihood.scored(self.kept, self.links), "scored")
+
     @cached_property
     def costs(self) -> DataFrame:
-        return saved(likelihood.static_costs(likelihood.scored(self.kept, self.links), self.cells, self.r, self.combine), "costs")
+        return saved(likelihood.static_costs(self.scored, self.cells, self.r, self.combine), "costs")
 
     @cached_property
     def paths(self) -> DataFrame:
@@ -86,7 +90,7 @@ class Matching:
 
     @cached_property
     def events(self) -> DataFrame:
-        return likelihood.bin_events(self.kept, self.links, self.cells, self.span, trace.sampling(self.kept))
+        return likelihood.bin_events(self.scored, self.cells, self.span, trace.sampling(self.kept))
 
     @cached_property
     def bin_costs(self) -> DataFrame:
