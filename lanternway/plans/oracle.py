@@ -106,7 +106,7 @@ CHAIN |= {
     "ends": "select a.agent_id, coalesce(a.o_node_id, oo.o) as o_node_id, dd.dn as d_node_id, oo.o_score, dd.d_score, a.allowed, a.blocked from ask a left join oo using (agent_id) left join dd using (agent_id)",
     "cl": "select unnest(case when from_cell=to_cell then [from_cell] else [from_cell, to_cell] end) as cell_id, link_seq, fx, fy, tx, ty, shape, link_distance from lk",
     "cand": "select k.*, c.* exclude (cell_id) from (select *, lead(x) over w as nx, lead(y) over w as ny from kept window w as (partition by agent_id, cell_id order by g)) k join cl c using (cell_id)",
-    "scored": f"select agent_id, link_seq, cell_id, g, trace_no, list_min(list_filter([{_NONHIT}], lambda v: v <= link_distance*2)) as nonhit, {beside('x', 'y')} as beside, {_HIT} as hit from cand",
+    "scored": f"select agent_id, link_seq, cell_id, g, trace_no, sec, list_min(list_filter([{_NONHIT}], lambda v: v <= link_distance*2)) as nonhit, {beside('x', 'y')} as beside, {_HIT} as hit from cand",
     "cells": f"select cell_id, min(cast(floor(x/{R})-floor((select lft from box)/{R}) as bigint)) as x_index, min(cast(floor(y/{R})-floor((select bot from box)/{R}) as bigint)) as y_index from kept group by cell_id",
     "percell": f"select s.agent_id, s.link_seq, c.x_index*100000+c.y_index as o, least({R}, coalesce(min(nonhit),{R})) as c, arg_min(trace_no, struct_pack(n := nonhit, g := g)) filter (where nonhit<{R}) as matched, arg_min(trace_no, struct_pack(b := beside, g := g)) as nearest, sum(hit::int) as hits from scored s join cells c using (cell_id) group by s.agent_id, s.link_seq, c.x_index, c.y_index",
     "costs": "select agent_id, link_seq, arg_max(c,o) as cost, coalesce(arg_max(matched,o) filter (where matched is not null), arg_min(nearest,o)) as trace_no, cast(sum(hits) as bigint) as hit_count from percell group by agent_id, link_seq",

@@ -140,19 +140,57 @@ register("k08_arc_cost_log", lambda m: outputs.arc_cost_log(m.costs, m.links).se
 register("f07_active_links", lambda m: likelihood.candidates(m.kept, m.links).select("agent_id", "link_seq").distinct(), sql("select distinct agent_id, link_seq from cand", "cand"))
 register("k02_grid", lambda m: m.grid.select("agent_id", "cell_id", "x_index", "y_index", "zone_id", "dwell_flag", "n_GPS_points", "n_nodes", r6("x_coord", "x_coord"), r6("y_coord", "y_coord")), sql(f"select v.agent_id, n.cell_id, n.x_index, n.y_index, cast(coalesce(n.zone_id,0) as integer) as zone_id, cast(coalesce(v.dwell_flag,0) as integer) as dwell_flag, coalesce(v.np,0) as \"n_GPS_points\", n.n_nodes, round(b.lft+n.x_index*{R},6) as x_coord, round(b.bot+(n.y_index+1)*{R},6) as y_coord from (select cell_id, x_index, y_index, count(*) as n_nodes, any_value(z) as zone_id from (select *, arg_min(zone_id, case when zone_id>0 then seq end) over (partition by cell_id) as z from ix) group by all) n cross join box b left join (select agent_id, cell_id, count(*) as np, (max(sec//60)-min(sec//60)>120)::int as dwell_flag from kept group by all) v using (cell_id)", "ix").replace("arg_min(zone_id, case when zone_id>0 then seq end) over (partition by cell_id) as z", "(select arg_min(q.zone_id, q.seq) filter (where q.zone_id>0) from nn q where q.cell_id=ix.cell_id) as z"))
 
+# Labels are walked by rounds; one that is not below its target's is not needed. Then each step's link, last to first.
 _LABELS = """lab(agent_id, node, cost) using key (agent_id, node) as (
   select agent_id, o_node_id, 0.0::double from ends where o_node_id is not null and d_node_id is not null
   union
   select agent_id, node, cost from (
     select a.agent_id, a.to_node_id as node, min(l.cost+a.w) as cost from lab l join arcs a on a.agent_id=l.agent_id and a.from_node_id=l.node group by all) n
-  where cost < coalesce((select r.cost from recurring.lab r where r.agent_id=n.agent_id and r.node=n.node), 1e300))"""
+  where cost < coalesce((select r.cost from recurring.lab r where r.agent_id=n.agent_id and r.node=n.node), 1e300)
+    and cost < coalesce((select r.cost from recurring.lab r join ends e on e.agent_id=r.agent_id and e.d_node_id=r.node where r.agent_id=n.agent_id), 1e300))"""
+_FROM = f"case when {oracle._FINE} then coalesce(c.cost, {d(oracle.INACTIVE)}) else {d(9999.99)} end"
+_STEPS = _LABELS + f""",
+pred as (select z.agent_id, z.node, min(l.link_seq) as link_seq from lab z join ends e on e.agent_id=z.agent_id join lk l on l.to_node_id=z.node join lab y on y.agent_id=z.agent_id and y.node=l.from_node_id
+  left join costs c on c.agent_id=z.agent_id and c.link_seq=l.link_seq where y.cost+{_FROM} = z.cost and z.node <> e.o_node_id group by all),
+walk(agent_id, node, back, link_seq) as (
+  select p.agent_id, l.from_node_id, 1, p.link_seq from ends e join pred p on p.agent_id=e.agent_id and p.node=e.d_node_id join lk l on l.link_seq=p.link_seq where e.o_node_id <> e.d_node_id
+  union all
+  select p.agent_id, l.from_node_id, w.back+1, p.link_seq from walk w join pred p on p.agent_id=w.agent_id and p.node=w.node join lk l on l.link_seq=p.link_seq join ends e on e.agent_id=w.agent_id where w.node <> e.o_node_id),
+way as (select w.agent_id, w.link_seq, row_number() over (partition by w.agent_id order by w.back desc) as road_sequence, l.from_node_id, l.to_node_id, y.cost as label_cost
+  from walk w join lk l on l.link_seq=w.link_seq join lab y on y.agent_id=w.agent_id and y.node=l.from_node_id),
+steps as (select w.*, e.allowed, c.trace_no, l.link_id, l.length, l.link_type_code, l.shape, sum(l.length) over (partition by w.agent_id order by w.road_sequence) as distance
+  from way w join ends e on e.agent_id=w.agent_id left join costs c on c.agent_id=w.agent_id and c.link_seq=w.link_seq
+  join (select from_node_id, to_node_id, max(link_seq) as link_seq from lk group by all) p on p.from_node_id=w.from_node_id and p.to_node_id=w.to_node_id join lk l on l.link_seq=p.link_seq)"""
+_LINESTRING = "concat('LINESTRING (', list_aggregate(list_transform({}, lambda p: concat(printf('%.6f', p.x), ' ', printf('%.6f', p.y), ',')), 'string_agg', ''), ')')"
 _TOTALS = sql("select e.agent_id, round(l.cost,6) as total_cost from ends e join lab l on l.agent_id=e.agent_id and l.node=e.d_node_id where e.o_node_id <> e.d_node_id", "arcs", _LABELS)
 register("g01_shortest_path_cost", lambda m: m.paths.select("agent_id", r6("total_cost", "total_cost")).distinct(), _TOTALS)
 register("g01_relaxed_path_cost", lambda m: paths.relaxed_paths(m.ends, m.costs, m.links).select("agent_id", r6("total_cost", "total_cost")).distinct(), _TOTALS)
-register("k04_route", lambda m: m.route.select(*outputs.ROUTE))
-register("k03_agent", lambda m: m.agents)
-register("l03_bin_costs", lambda m: m.bin_costs)
+register("k04_route", lambda m: m.route.select(*[r6("label_cost", c) if c == "label_cost" else F.col(c) for c in outputs.ROUTE]), sql(f"""select agent_id, coalesce(allowed,'') as given_link_type_code, cast(road_sequence as integer) as road_sequence, cast(from_node_id as integer) as from_node_id, cast(to_node_id as integer) as to_node_id,
+  cast(link_id as integer) as link_id, cast(coalesce(trace_no,-1) as integer) as trace_no, length, distance, link_type_code, round(label_cost,6) as label_cost, {_LINESTRING.format('shape')} as geometry from steps""", "arcs", _STEPS))
+register("k03_agent", lambda m: m.agents.select(*[r6(c, c) if t == "double" else F.col(c) for c, t in m.agents.dtypes]), sql(f"""select e.agent_id, cast(e.o_node_id as integer) as o_node_id, cast(e.d_node_id as integer) as d_node_id, cast(o.zone_id as integer) as o_zone_id, cast(z.zone_id as integer) as d_zone_id, o.cell_id as o_cell_id, z.cell_id as d_cell_id, 1.0::double as volume,
+  cast(s.start_sec//3600 as integer) as hh, cast(s.start_sec%3600//60 as integer) as mm, cast(s.start_sec%60 as integer) as ss, round(s.start_min,6) as departure_time, round(s.end_min,6) as end_time_in_min, round(s.end_min-s.start_min,6) as travel_time, round(coalesce(p.distance,0),6) as distance,
+  round(coalesce(p.distance,0)/1000/greatest({d(0.01)},(s.end_min-s.start_min)/60),6) as speed_kmph, round(coalesce(p.distance,0)/1000/greatest({d(0.01)},(s.end_min-s.start_min)/60)*{d(0.621371)},6) as speed_mph,
+  coalesce(p.node_sequence,'') as node_sequence, '' as o_osm_way_id, '' as d_osm_way_id, case when p.distance is null then '' else 'T' end as osm_way_id_od_key, coalesce(p.geometry,'') as geometry
+  from ends e join spans s using (agent_id)
+  left join (select n.node_id, n.cell_id, f.zone_id from ix n join fz f using (x_index, y_index)) o on o.node_id=e.o_node_id left join (select n.node_id, n.cell_id, f.zone_id from ix n join fz f using (x_index, y_index)) z on z.node_id=e.d_node_id
+  left join (select agent_id, sum(length) as distance, concat(string_agg(from_node_id, ';' order by road_sequence), ';', arg_max(to_node_id, road_sequence), ';') as node_sequence, {_LINESTRING.format('flatten(list(shape order by road_sequence))')} as geometry from steps group by agent_id) p on p.agent_id=e.agent_id""", "arcs", _STEPS))
+_STATIC_USES = "uses as (select link_seq, count(*) as use_count from way group by link_seq)"
+register("a21_static_use_counts", lambda m: tdpaths.use_counts(m.paths), sql("select * from uses", "arcs", f"{_STEPS},\n{_STATIC_USES}"))
+# One element per event, in order, with a table of the bins that its link's events can reach; folded from left to right.
+_FOLD = f"""ev as (select s.agent_id, s.link_seq, x.x_index, x.y_index, s.g, s.trace_no, s.hit, case when s.hit then coalesce(s.beside,{R}) else s.nonhit*10 end as cost,
+  greatest(0, least(t.bins-1, cast(trunc((s.sec/60-t.t0)/{B}+{d(0.5)}) as integer))) as bin, greatest(1, cast(trunc(a.sampling_min/{B}) as integer)) as reach, t.bins
+  from scored s join cells x using (cell_id) join sampling a using (agent_id) cross join span t where s.nonhit is not null),
+lim as (select agent_id, link_seq, min(greatest(0,bin-reach)) as low, max(least(bin+reach,bins)) as high from ev group by all),
+fold as (select q.agent_id, q.link_seq, l.low, list_reduce(list(struct_pack(a := greatest(0,bin-reach)-low, z := least(bin+reach,bins)-low, b := bin-low, cost := cost, trace_no := trace_no, hit := hit,
+    costs := list_resize([]::double[], high-low, {d(999.0)}), who := list_resize([]::bigint[], high-low, -1), hits := list_resize([]::boolean[], high-low, false)) order by x_index, y_index, g),
+    lambda acc, nxt: case when nxt.cost < acc.costs[nxt.b+1] then struct_pack(a := nxt.a, z := nxt.z, b := nxt.b, cost := nxt.cost, trace_no := nxt.trace_no, hit := nxt.hit,
+      costs := list_transform(acc.costs, lambda v, i: case when i > nxt.a and i <= nxt.z then nxt.cost else v end), who := list_transform(acc.who, lambda v, i: case when i > nxt.a and i <= nxt.z then nxt.trace_no else v end), hits := list_transform(acc.hits, lambda v, i: case when i > nxt.a and i <= nxt.z then nxt.hit else v end)) else acc end,
+    struct_pack(a := 0::bigint, z := 0::bigint, b := 0::bigint, cost := 0.0::double, trace_no := -1::bigint, hit := false, costs := list_resize([]::double[], any_value(high-low), {d(999.0)}), who := list_resize([]::bigint[], any_value(high-low), -1), hits := list_resize([]::boolean[], any_value(high-low), false))) as s
+  from ev q join lim l using (agent_id, link_seq) group by q.agent_id, q.link_seq, l.low),
+bc as (select agent_id, link_seq, low+i-1 as bin, s.costs[i] as cost, s.who[i] as trace_no, s.hits[i] as hit from fold, lateral (select unnest(generate_series(1, len(s.costs))) as i) where s.who[i] >= 0)"""
+register("l03_bin_costs", lambda m: m.bin_costs.select("agent_id", "link_seq", "bin", r6("cost", "cost"), "trace_no", "hit"), sql("select agent_id, link_seq, bin, round(cost,6) as cost, cast(trace_no as integer) as trace_no, hit from bc", "arcs", _FOLD))
 register("g02_td_paths", lambda m: m.td_paths)
+register("g03_static_price_update", lambda m: tdpaths.updated_prices(m.bin_costs, m.costs, tdpaths.use_counts(m.paths)).select("agent_id", "link_seq", "bin", r6("cost", "cost")), sql("select b.agent_id, b.link_seq, b.bin, round(case when b.hit and h.hits is not null then b.cost-100*h.hits else b.cost end, 6) as cost from bc b left join (select agent_id, link_seq, hit_count as hits from costs where hit_count >= 1 and link_seq not in (select link_seq from uses)) h using (agent_id, link_seq)", "arcs", f"{_STEPS},\n{_STATIC_USES},\n{_FOLD}"))
 register("g03_price_update", lambda m: tdpaths.updated_prices(m.bin_costs, m.costs, tdpaths.use_counts(m.td_paths)))
 register("a21_use_counts", lambda m: tdpaths.use_counts(m.td_paths))
 register("k05_td_route", lambda m: m.td_route)
