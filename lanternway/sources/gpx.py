@@ -18,12 +18,23 @@ def read_tracks(spark: SparkSession, path: str) -> DataFrame:
 
 def track_points(tracks: DataFrame) -> DataFrame:
     """``agent_id, trace_no, lon, lat, time``, points in file order; agents numbered by first url seen."""
-    url = F.coalesce("url", F.concat(F.lit("Track_"), F.col("seq").cast("string")))
-    first = tracks.withColumn("name", url).groupBy("name").agg(F.min("seq").alias("at"))
-    number = first.withColumn("agent_id", F.row_number().over(Window.orderBy("at")) - 1)
-    flat = tracks.withColumn("name", url).join(number, "name").select("agent_id", "seq", F.posexplode("trkseg").alias("s", "seg")).select("agent_id", "seq", "s", F.posexplode("seg.trkpt").alias("p", "pt"))
-    rank = F.row_number().over(Window.orderBy("seq", "s", "p")) - 1
-    return flat.select("agent_id", "seq", "s", "p", rank.alias("trace_no"), F.col("pt._lon").alias("lon"), F.col("pt._lat").alias("lat"), F.col("pt.time").alias("time"))
+    named = tracks.withColumn("name", F.coalesce("url", F.concat(F.lit("Track_"), F.col("seq").cast("string"))))
+    number = numbered(named.groupBy("name").agg(F.min("seq").alias("at")), "agent_id", "at").drop("at")
+    flat = named.join(number, "name").select("agent_id", "seq", F.posexplode("trkseg").alias("s", "seg")).select("agent_id", "seq", "s", F.posexplode("seg.trkpt").alias("p", "pt"))
+    return numbered(flat, "trace_no", "seq", "s", "p").select("agent_id", "seq", "s", "p", "trace_no", F.col("pt._lon").alias("lon"), F.col("pt._lat").alias("lat"), F.col("pt.time").alias("time"))
+
+
+def numbered(rows: DataFrame, into: str, first: str, *then: str, block: int = 1 << 10) -> DataFrame:
+    """Rows with their number from 0 by `first` (a number), then `then`.
+
+    They are counted inside blocks of `block` values of `first`; only the blocks' sizes, one row each, meet
+    in one window.
+    """
+    parts = rows.withColumn("_block", F.floor(F.col(first) / block))
+    before = F.sum("n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    base = parts.groupBy("_block").agg(F.count("*").alias("n")).select("_block", F.coalesce(before, F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_block").orderBy(first, *then)) - 1
+    return parts.join(base, "_block").withColumn(into, (F.col("_base") + inside).cast("long")).drop("_block", "_base")
 
 
 def first_segments(tracks: DataFrame) -> DataFrame:
@@ -36,13 +47,21 @@ def first_segments(tracks: DataFrame) -> DataFrame:
     return kept.select(F.col("seq").alias("agent_id"), "trace_point_no", F.col("pt._lon").alias("x_coord"), F.col("pt._lat").alias("y_coord"), F.col("pt.time").alias("time"), part(0).alias("hh"), part(1).alias("mm"), part(2).alias("ss"))
 
 
-def speeds(points: DataFrame, order: str = "trace_no") -> DataFrame:
-    """Miles and miles an hour from the point before in the file, across tracks; null without progress in time."""
-    w = Window.orderBy(order)
-    when = F.to_timestamp("time").cast("double")
-    gap = (when - F.lag(when).over(w)) / 3600
-    miles = geo.haversine(F.lag("lon").over(w), F.lag("lat").over(w), F.col("lon"), F.col("lat"), EARTH_MILES, 3.141592653589793)
-    return points.withColumn("miles", miles).withColumn("speed_mph", F.when(gap > 0, miles / gap))
+def speeds(points: DataFrame, order: str = "trace_no", block: int = 1 << 16) -> DataFrame:
+    """Miles and miles an hour from the point before in the file, across tracks; null without progress in time.
+
+    A point finds the one before in its block of `block` values of `order`, the first of a block in the last
+    point of the block before: one row a block meets in one window, never the points themselves.
+    """
+    now = F.struct(F.col("lon").alias("lon"), F.col("lat").alias("lat"), F.to_timestamp("time").cast("double").alias("at"))
+    parts = points.withColumn("_block", F.floor(F.col(order) / block)).withColumn("_now", now)
+    ends = parts.groupBy("_block").agg(F.max_by("_now", order).alias("_end"))
+    carry = ends.select("_block", F.lag("_end").over(Window.orderBy("_block")).alias("_carry"))
+    was = F.coalesce(F.lag("_now").over(Window.partitionBy("_block").orderBy(order)), F.col("_carry"))
+    rows = parts.join(carry, "_block").withColumn("_was", was)
+    gap = (F.col("_now.at") - F.col("_was.at")) / 3600
+    miles = geo.haversine(F.col("_was.lon"), F.col("_was.lat"), F.col("lon"), F.col("lat"), EARTH_MILES, 3.141592653589793)
+    return rows.withColumn("miles", miles).withColumn("speed_mph", F.when(gap > 0, F.col("miles") / gap)).drop("_block", "_now", "_carry", "_was")
 
 
 def local_time(points: DataFrame, zone: str = "America/Los_Angeles") -> DataFrame:

@@ -27,6 +27,17 @@ def cell_visits(points: DataFrame, window: str = "10 minutes", late: str = "1 ho
     return rows.groupBy(F.window("event_time", window), "cell_id").agg(F.count("*").alias("n_points"), F.approx_count_distinct("agent_id").alias("n_agents"))
 
 
+_UNITS = {"millisecond": 1, "second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000, "week": 604_800_000}
+
+
+def milliseconds(interval: str) -> int:
+    """The length of an interval such as ``90 seconds`` or ``1 hour 30 minutes``."""
+    words = interval.lower().removeprefix("interval ").split()
+    if len(words) % 2 or not words:
+        raise ValueError(f"no interval of numbers and units: {interval}")
+    return sum(int(float(n) * _UNITS[u.removesuffix("s")]) for n, u in zip(words[::2], words[1::2], strict=True))
+
+
 def deltas(points: DataFrame, forget: str = "1 hour") -> DataFrame:
     """Interval, distance and speed since the agent's point before; state is the last point per agent.
 
@@ -35,6 +46,8 @@ def deltas(points: DataFrame, forget: str = "1 hour") -> DataFrame:
     watermark's delay `forget` is dropped.
     """
 
+    wait = milliseconds(forget)
+
     def step(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -48,7 +61,7 @@ def deltas(points: DataFrame, forget: str = "1 hour") -> DataFrame:
             if last is None or ahead:
                 last = (int(r.seq), r.event_time, float(r.x), float(r.y))
         state.update(last)
-        state.setTimeoutTimestamp(int(last[1].timestamp() * 1000) + 3_600_000)
+        state.setTimeoutTimestamp(int(last[1].timestamp() * 1000) + wait)
         yield pd.DataFrame(out, columns=["agent_id", "seq", "event_time", "interval_s", "px", "py", "x", "y"])
 
     pairs = points.withWatermark("event_time", forget).groupBy("agent_id").applyInPandasWithState(

@@ -231,6 +231,15 @@ def test_header_rules_and_blank_line(spark, tmp_path):
     assert tables.lookup(all_, "9", "9", "b ").first()["value"] == "9"
 
 
+def test_rows_of_several_files_follow_their_names(spark, tmp_path):
+    want = []
+    for k, n in enumerate((2, 300, 1, 40)):  # sizes that Spark would read in another order
+        (tmp_path / f"{k}.csv").write_text("a,b\n" + "".join(f"{k},{i}\n" for i in range(n)))
+        want += [(str(k), str(i)) for i in range(n)]
+    rows = tables.read_table(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [(r["a"], r["b"]) for r in rows] == want and [r["seq"] for r in rows] == list(range(len(want)))
+
+
 def test_gpx(spark, tmp_path):
     path = tmp_path / "t.gpx"
     pt = lambda lon, t: f'<trkpt lat="33.0" lon="{lon}">' + (f"<time>{t}</time>" if t else "") + "</trkpt>"
@@ -244,6 +253,27 @@ def test_gpx(spark, tmp_path):
     assert speed[0] is None and speed[1] == pytest.approx(34.7, abs=0.3) and speed[2] is None and speed[5] > 0
     assert gpx.local_time(gpx.track_points(tracks)).where("trace_no = 0").first()["local_time"].hour == 16
     assert len(gpx.boxes(0, 0, 1, 0.3)) == 3
+    for block in (1, 2, 1 << 16):  # a point before may stand in another block
+        own = gpx.speeds(gpx.track_points(tracks), block=block).orderBy("trace_no").collect()
+        assert [r["speed_mph"] for r in own] == speed
+    plan = gpx.speeds(gpx.track_points(tracks))
+    assert plan.columns[-2:] == ["miles", "speed_mph"]
+
+
+def test_numbers_over_blocks(spark):
+    from lanternway.sources.gpx import numbered
+
+    rows = spark.createDataFrame([((v * 37) % 1000, i) for v in range(200) for i in range(3)], "at long, i int")
+    got = [(r["n"], r["at"], r["i"]) for r in numbered(rows, "n", "at", "i", block=16).orderBy("n").collect()]
+    assert got == [(k, a, i) for k, (a, i) in enumerate(sorted(((v * 37) % 1000, i) for v in range(200) for i in range(3)))]
+
+
+def test_time_out_follows_its_interval():
+    from lanternway.streaming.points import milliseconds
+
+    assert [milliseconds(x) for x in ("1 hour", "90 seconds", "1 hour 30 minutes", "INTERVAL 2 days")] == [3_600_000, 90_000, 5_400_000, 172_800_000]
+    with pytest.raises(ValueError):
+        milliseconds("hour")
 
 
 def test_stream_equals_batch(spark, tmp_path, run):
