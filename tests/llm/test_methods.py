@@ -262,6 +262,14 @@ def test_directory_splits_overfull_buckets():
     bucket = found.bucket(key)
     assert len(set(bucket[:4].tolist())) == 4 and found.depth == 8
     assert max(weight[bucket == b].sum() for b in set(bucket.tolist()) if b != bucket[200]) <= 15
+    rng = np.random.default_rng(0)
+    weight = rng.exponential(1, 1 << 10)
+    found = exact_dedup.Directory(weight, 20.0)
+    bucket = found.bucket((np.arange(1 << 10, dtype=np.uint64) << np.uint64(54)).view(np.int64))
+    assert (np.bincount(bucket, weights=weight) == pytest.approx(found.fill)) and found.fill.max() <= 20
+    owner = found.owners(8)
+    assert (np.diff(owner[bucket]) >= 0).all() and set(owner.tolist()) == set(range(8))
+    assert np.bincount(owner[bucket], weights=weight).max() < 1.5 * weight.sum() / 8
 
 
 def test_quantiser_recall():

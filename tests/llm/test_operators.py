@@ -68,12 +68,29 @@ def test_exact_dedup_edges(odd):
 
 
 def test_exact_dedup_chains_collisions():
-    import pyarrow as pa
-
-    rows = [(1, 5, 0, 1, 10, b"a"), (2, 5, 0, 2, 20, b"b"), (3, 5, 0, 1, 30, b"a"), (4, 6, 0, 1, 40, b"a")]
+    rows = [(3, 5, 0, 1, 30, b"a"), (2, 5, 0, 2, 20, b"b"), (1, 5, 0, 1, 10, b"a"), (4, 6, 0, 1, 40, b"a")]
     batch = pa.RecordBatch.from_pylist([dict(zip(("rep", "key", "bucket", "n", "top", "text"), r, strict=True)) for r in rows])
-    out = [r for b in exact_dedup.resolve([batch]) for r in b.to_pylist()]
-    assert {r["rep"]: (r["keep_id"], r["group_size"], r["won"]) for r in out} == {1: (30, 2, False), 3: (30, 2, True), 2: (20, 2, True), 4: (40, 1, True)}
+    out = {r["rep"]: r for b in exact_dedup.chained([batch.slice(0, 1), batch.slice(1)]) for r in b.to_pylist()}
+    assert {k: (r["keep_id"], r["first"], r["text"]) for k, r in out.items()} == {1: (30, False, None), 3: (30, True, b"a"), 2: (20, True, b"b"), 4: (40, True, b"a")}
+    assert out[1]["chain"] == out[3]["chain"] and len({r["chain"] for r in out.values()}) == 3
+
+
+def test_exact_dedup_with_colliding_keys(spark, odd, monkeypatch):
+    """All texts under one key: groups and rows that stay are those of separate keys."""
+    from pyspark.sql import functions as F
+
+    key = lambda r: (str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"], r["text_sha256"])
+    want = sorted(map(key, exact_dedup.ExactDedup(odd).assignments().collect()))
+    monkeypatch.setattr(exact_dedup, "key_of", lambda text: F.lit(7).cast("long"))
+    index = exact_dedup.ExactDedup(odd.repartition(3))
+    assert sorted(map(key, index.assignments().collect())) == want
+    assert sorted(str(r["doc_id"]) for r in index.kept().collect()) == sorted(k[0] for k in want if k[3])
+
+
+def test_exact_index_looks_texts_up(spark, odd):
+    index = exact_dedup.ExactDedup(odd)
+    assert sorted(r["doc_id"] for r in index.ids_of("the cat sat on the mat").collect()) == [1, 2, 2]
+    assert index.ids_of("nobody").collect() == [] and sorted(r["doc_id"] for r in index.ids_of("").collect()) == [3, 4]
 
 
 def test_simhash_components(spark):
