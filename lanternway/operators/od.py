@@ -56,6 +56,10 @@ def best_ends(asked: DataFrame, links: DataFrame, resolution: float = RESOLUTION
     reach = asked.agg(F.min(F.least("p0.x", "p1.x")), F.max(F.greatest("p0.x", "p1.x")), F.min(F.least("p0.y", "p1.y")), F.max(F.greatest("p0.y", "p1.y"))).first()
     if reach[0] is None:
         return asked.select("agent_id", "which", F.lit(None).cast("long").alias("link_seq"), F.lit(None).cast("double").alias("score")).limit(0)
+    # who may use no link at all would be asked in every round and meet all links in the last
+    codes = [r[0] for r in links.select(F.coalesce("link_type_code", F.lit("")).alias("c")).distinct().collect()]  # kinds of links: a few
+    some = F.exists(F.array(*[F.lit(c) for c in codes]), lambda c: permitted(F.col("allowed"), F.col("blocked"), c))
+    asked = asked.where(some)
     span = max(max(box[1], reach[1]) - min(box[0], reach[0]), max(box[3], reach[3]) - min(box[2], reach[2]))
     side, out, left = resolution, None, asked
     keyed = links.select(F.col("seq").alias("link_seq"), "fx", "fy", "tx", "ty", "link_distance", "link_type_code", geo.angle(*[F.col(c) for c in ("fx", "fy", "tx", "ty")]).alias("bearing"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanternway.functions import timefn, wkt
+from lanternway.functions import geo, timefn, wkt
 from lanternway.functions.constants import LIKELY_BELOW, RESOLUTION, TIME_BIN
 
 
@@ -103,6 +103,19 @@ def arc_cost_log(costs: DataFrame, links: DataFrame) -> DataFrame:
     return costs.where(F.col("cost") < LIKELY_BELOW).join(links.select(F.col("seq").alias("link_seq"), "from_node_id", "to_node_id"), "link_seq").select("agent_id", "from_node_id", "to_node_id", "cost", "trace_no")
 
 
+def point_cell_log(kept: DataFrame, left: float, bottom: float, resolution: float = RESOLUTION) -> DataFrame:
+    """Debug rows: the cell column and row of each point, with its number in the agent's trace."""
+    x, y = geo.cell_index(F.col("x"), F.lit(left), resolution), geo.cell_index(F.col("y"), F.lit(bottom), resolution)
+    return kept.select("agent_id", "g", "trace_no", x.alias("x_index"), y.alias("y_index"))
+
+
+def bin_cost_log(costs: DataFrame, links: DataFrame) -> DataFrame:
+    """Debug rows: arcs with a cost by time bin, the bin's second, and the point that gave the cost."""
+    arcs = links.select(F.col("seq").alias("link_seq"), "from_node_id", "to_node_id")
+    second = (F.col("bin") * F.lit(TIME_BIN) * 60).cast("int")
+    return costs.where(F.col("cost") < LIKELY_BELOW).join(arcs, "link_seq").select("agent_id", "from_node_id", "to_node_id", F.col("bin").alias("time_index"), second.alias("sec"), "cost", "hit", "trace_no")
+
+
 def write_csv(df: DataFrame, path: str, *order: str) -> None:
     """A table as CSV files with a header, range-sorted by `order`."""
     (df.orderBy(*order) if order else df).write.mode("overwrite").option("header", True).csv(path)

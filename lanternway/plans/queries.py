@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 from lanternway.functions import geo, parsing, timefn, wkt
 from lanternway.functions.constants import EARTH_MILES
 from lanternway.operators import grid, likelihood, outputs, paths, tdpaths, trace
+from lanternway.operators.storage import run_folder
 from lanternway.plans import fixtures, oracle
 from lanternway.plans.map_match import Matching
 from lanternway.plans.oracle import B, R, d, sql
-from lanternway.sources import gpx, network, traces
+from lanternway.sources import gpx, network, tables, traces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -107,6 +109,32 @@ _SPEED = f"select *, {_MILES} as miles, sec - lag(sec) over w as gap from pts wi
 register("s17_gpx_speeds", lambda m: gpx.speeds(gpx_points(m)).select("agent_id", F.col("trace_no").alias("seq"), r6("miles", "miles"), F.round("speed_mph", 4).alias("speed_mph")), sql(f"select agent_id, cast(seq as bigint) as seq, round(miles,6) as miles, round(case when gap>0 then miles/(gap/3600.0::double) end, 4) as speed_mph from ({_SPEED})", "pts"))
 register("a20_trip_totals", lambda m: gpx.trips(gpx.speeds(gpx_points(m))).select("agent_id", F.round("miles", 4).alias("miles"), r6("hours", "hours"), F.round("mph", 3).alias("mph")), sql(f"select agent_id, round(sum(miles),4) as miles, round((max(sec)-min(sec))/3600.0::double,6) as hours, round(case when max(sec)>min(sec) then sum(miles)/((max(sec)-min(sec))/3600.0::double) end,3) as mph from ({_SPEED}) group by agent_id", "pts"))
 
+
+
+def gpx_tracks(m: Matching) -> DataFrame:
+    """A track a user, in one segment; seven urls, and the 31st point has no time."""
+    when = F.when(F.col("trace_no") != 30, F.date_format(F.timestamp_seconds(F.col("sec") + 1_577_836_800), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    point = F.struct("seq", F.struct(F.col("y").alias("_lat"), F.col("x").alias("_lon"), when.alias("time")).alias("p"))
+    rows = m.points.withColumn("user", F.floor(F.col("seq") / 2147483648)).groupBy("user").agg(F.array_sort(F.collect_list(point)).alias("o"))
+    segment = F.struct(F.transform("o", lambda o: o["p"]).alias("trkpt"))
+    return rows.select(F.col("user").alias("seq"), F.concat(F.lit("u"), F.col("user") % 7).alias("url"), F.array(segment).alias("trkseg"))
+
+
+def as_files(m: Matching, df: DataFrame) -> DataFrame:
+    """A table written as CSV files and read by the text source."""
+    path = f"{run_folder(df.sparkSession)}/csv-{uuid.uuid4().hex}"
+    outputs.write_csv(df, path)
+    return tables.read_table(df.sparkSession, path)
+
+
+_USER = "select *, seq//2147483648 as user, row_number() over (partition by seq//2147483648 order by seq)-1 as nth from pts"
+register("s01_csv_open", lambda m: as_files(m, m.raw_nodes.drop("seq")).select("node_id", "zone_id"), sql("select cast(node_id as varchar) as node_id, cast(zone_id as varchar) as zone_id from nodes", "nodes"))
+register("s02_csv_records", lambda m: as_files(m, m.raw_links.drop("seq")).select("link_id", "geometry", F.col("link_type_code")), sql("select cast(link_id as varchar) as link_id, geometry, link_type_code from links", "links"))
+register("s05_section_lookup", lambda m: tables.lookup(m.raw_links.select("seq", "from_node_id", "to_node_id", "length"), "5", "6", "length").select(F.col("value").cast("double").alias("value")), sql("select length as value from links where from_node_id = 5 and to_node_id = 6 order by link_id limit 1", "links"))
+register("s07_number_or_zero", lambda m: m.raw_links.select(F.col("seq").alias("k"), parsing.number_or_zero(F.when(F.col("seq") % 3 == 0, F.lit("none")).otherwise(F.col("length"))).alias("v")), sql("select cast(link_id as bigint) as k, case when link_id % 3 = 0 then 0.0::double else length end as v from links", "links"))
+register("s14_first_segments", lambda m: gpx.first_segments(gpx_tracks(m)).select(F.col("agent_id").cast("long").alias("agent_id"), F.col("trace_point_no").cast("long").alias("trace_point_no"), r6("x_coord", "x_coord"), "hh", "mm", "ss"), sql(f"select user as agent_id, nth as trace_point_no, round(x,6) as x_coord, printf('%02d', sec//3600) as hh, printf('%02d', sec%3600//60) as mm, printf('%02d', sec%60) as ss from ({_USER}) where nth < 30", "pts"))
+register("s16_track_points", lambda m: gpx.track_points(gpx_tracks(m)).select("agent_id", "trace_no", r6("lon", "lon"), r6("lat", "lat")), sql(f"select n.number as agent_id, row_number() over (order by u.seq)-1 as trace_no, round(x,6) as lon, round(y,6) as lat from ({_USER}) u join (select user%7 as url, row_number() over (order by min(user))-1 as number from ({_USER}) group by user%7) n on n.url = u.user%7", "pts"))
+
 # ---------------------------------------------------------------- grid
 register("a01_bounding_box", lambda m: grid.bounding_box(m.nodes), sql("select lft as \"left\", rgt as \"right\", bot as bottom, top from box", "box"))
 register("a02_grid_size", lambda m: grid.grid_size(m.nodes), sql(f"select cast(trunc(greatest((rgt-lft)/{R}+2,(top-bot)/{R}+2)) as integer) as grid_size from box", "box"))
@@ -137,6 +165,7 @@ register("l01_deviation_scores", lambda m: m.scored.select("agent_id", "link_seq
 register("l02_static_costs", lambda m: m.costs.select("agent_id", "link_seq", r6("cost", "cost"), "trace_no", "hit_count"), sql("select agent_id, link_seq, round(cost,6) as cost, cast(trace_no as integer) as trace_no, hit_count from costs", "costs"))
 register("k06_link_likelihood", lambda m: outputs.link_likelihood(m.costs, m.links).select("agent_id", "link_id", "from_node_id", "to_node_id", "link_type_code", "length", r6("likelihood_distance", "likelihood_distance"), "likely_trace_no", "hit_count"), sql("select c.agent_id, cast(l.link_id as integer) as link_id, cast(l.from_node_id as integer) as from_node_id, cast(l.to_node_id as integer) as to_node_id, l.link_type_code, l.length, round(c.cost,6) as likelihood_distance, cast(c.trace_no as integer) as likely_trace_no, c.hit_count from costs c join lk l using (link_seq) where c.cost<998", "costs"))
 register("k08_arc_cost_log", lambda m: outputs.arc_cost_log(m.costs, m.links).select("agent_id", "from_node_id", "to_node_id", r6("cost", "cost"), "trace_no"), sql("select c.agent_id, cast(l.from_node_id as integer) as from_node_id, cast(l.to_node_id as integer) as to_node_id, round(c.cost,6) as cost, cast(c.trace_no as integer) as trace_no from costs c join lk l using (link_seq) where c.cost<998", "costs"))
+register("k08_point_cell_log", lambda m: outputs.point_cell_log(m.kept, m.box[0], m.box[2], m.r).select("agent_id", F.col("g").cast("long").alias("g"), "trace_no", "x_index", "y_index"), sql(f"select agent_id, g, cast(trace_no as integer) as trace_no, cast(floor(x/{R})-floor((select min(x) from nn)/{R}) as bigint) as x_index, cast(floor(y/{R})-floor((select min(y) from nn)/{R}) as bigint) as y_index from kept", "kept"))
 register("f07_active_links", lambda m: likelihood.candidates(m.kept, m.links).select("agent_id", "link_seq").distinct(), sql("select distinct agent_id, link_seq from cand", "cand"))
 register("k02_grid", lambda m: m.grid.select("agent_id", "cell_id", "x_index", "y_index", "zone_id", "dwell_flag", "n_GPS_points", "n_nodes", r6("x_coord", "x_coord"), r6("y_coord", "y_coord")), sql(f"select v.agent_id, n.cell_id, n.x_index, n.y_index, cast(coalesce(n.zone_id,0) as integer) as zone_id, cast(coalesce(v.dwell_flag,0) as integer) as dwell_flag, coalesce(v.np,0) as \"n_GPS_points\", n.n_nodes, round(b.lft+n.x_index*{R},6) as x_coord, round(b.bot+(n.y_index+1)*{R},6) as y_coord from (select cell_id, x_index, y_index, count(*) as n_nodes, any_value(z) as zone_id from (select *, arg_min(zone_id, case when zone_id>0 then seq end) over (partition by cell_id) as z from ix) group by all) n cross join box b left join (select agent_id, cell_id, count(*) as np, (max(sec//60)-min(sec//60)>120)::int as dwell_flag from kept group by all) v using (cell_id)", "ix").replace("arg_min(zone_id, case when zone_id>0 then seq end) over (partition by cell_id) as z", "(select arg_min(q.zone_id, q.seq) filter (where q.zone_id>0) from nn q where q.cell_id=ix.cell_id) as z"))
 
@@ -189,6 +218,7 @@ fold as (select q.agent_id, q.link_seq, l.low, list_reduce(list(struct_pack(a :=
   from ev q join lim l using (agent_id, link_seq) group by q.agent_id, q.link_seq, l.low),
 bc as (select agent_id, link_seq, low+i-1 as bin, s.costs[i] as cost, s.who[i] as trace_no, s.hits[i] as hit from fold, lateral (select unnest(generate_series(1, len(s.costs))) as i) where s.who[i] >= 0)"""
 register("l03_bin_costs", lambda m: m.bin_costs.select("agent_id", "link_seq", "bin", r6("cost", "cost"), "trace_no", "hit"), sql("select agent_id, link_seq, bin, round(cost,6) as cost, cast(trace_no as integer) as trace_no, hit from bc", "arcs", _FOLD))
+register("k08_bin_cost_log", lambda m: outputs.bin_cost_log(m.bin_costs, m.links).select("agent_id", "from_node_id", "to_node_id", "time_index", "sec", r6("cost", "cost"), "hit", "trace_no"), sql(f"select b.agent_id, cast(l.from_node_id as integer) as from_node_id, cast(l.to_node_id as integer) as to_node_id, b.bin as time_index, cast(trunc(b.bin*{B}*60) as integer) as sec, round(b.cost,6) as cost, b.hit, cast(b.trace_no as integer) as trace_no from bc b join lk l using (link_seq) where b.cost < 998", "arcs", _FOLD))
 register("g02_td_paths", lambda m: m.td_paths)
 register("g03_static_price_update", lambda m: tdpaths.updated_prices(m.bin_costs, m.costs, tdpaths.use_counts(m.paths)).select("agent_id", "link_seq", "bin", r6("cost", "cost")), sql("select b.agent_id, b.link_seq, b.bin, round(case when b.hit and h.hits is not null then b.cost-100*h.hits else b.cost end, 6) as cost from bc b left join (select agent_id, link_seq, hit_count as hits from costs where hit_count >= 1 and link_seq not in (select link_seq from uses)) h using (agent_id, link_seq)", "arcs", f"{_STEPS},\n{_STATIC_USES},\n{_FOLD}"))
 register("g03_price_update", lambda m: tdpaths.updated_prices(m.bin_costs, m.costs, tdpaths.use_counts(m.td_paths)))
