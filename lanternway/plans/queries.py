@@ -216,11 +216,41 @@ fold as (select q.agent_id, q.link_seq, l.low, list_reduce(list(struct_pack(a :=
       costs := list_transform(acc.costs, lambda v, i: case when i > nxt.a and i <= nxt.z then nxt.cost else v end), who := list_transform(acc.who, lambda v, i: case when i > nxt.a and i <= nxt.z then nxt.trace_no else v end), hits := list_transform(acc.hits, lambda v, i: case when i > nxt.a and i <= nxt.z then nxt.hit else v end)) else acc end,
     struct_pack(a := 0::bigint, z := 0::bigint, b := 0::bigint, cost := 0.0::double, trace_no := -1::bigint, hit := false, costs := list_resize([]::double[], any_value(high-low), {d(999.0)}), who := list_resize([]::bigint[], any_value(high-low), -1), hits := list_resize([]::boolean[], any_value(high-low), false))) as s
   from ev q join lim l using (agent_id, link_seq) group by q.agent_id, q.link_seq, l.low),
-bc as (select agent_id, link_seq, low+i-1 as bin, s.costs[i] as cost, s.who[i] as trace_no, s.hits[i] as hit from fold, lateral (select unnest(generate_series(1, len(s.costs))) as i) where s.who[i] >= 0)"""
+bc as materialized (select agent_id, link_seq, low+i-1 as bin, s.costs[i] as cost, s.who[i] as trace_no, s.hits[i] as hit from fold, lateral (select unnest(generate_series(1, len(s.costs))) as i) where s.who[i] >= 0)"""
 register("l03_bin_costs", lambda m: m.bin_costs.select("agent_id", "link_seq", "bin", r6("cost", "cost"), "trace_no", "hit"), sql("select agent_id, link_seq, bin, round(cost,6) as cost, cast(trace_no as integer) as trace_no, hit from bc", "arcs", _FOLD))
 register("k08_bin_cost_log", lambda m: outputs.bin_cost_log(m.bin_costs, m.links).select("agent_id", "from_node_id", "to_node_id", "time_index", "sec", r6("cost", "cost"), "hit", "trace_no"), sql(f"select b.agent_id, cast(l.from_node_id as integer) as from_node_id, cast(l.to_node_id as integer) as to_node_id, b.bin as time_index, cast(trunc(b.bin*{B}*60) as integer) as sec, round(b.cost,6) as cost, b.hit, cast(b.trace_no as integer) as trace_no from bc b join lk l using (link_seq) where b.cost < 998", "arcs", _FOLD))
-register("g02_td_paths", lambda m: m.td_paths)
+# The (node, bin) program: a tick a round per agent; its row (node -1) holds the bin whose labels move on.
+_BIN = lambda c: f"greatest(0, least(t.bins-1, cast(trunc(({c}-t.t0)/{B}+{d(0.5)}) as bigint)))"
+_TD = _FOLD + f""",
+who as materialized (select e.agent_id, e.o_node_id as o, e.d_node_id as dn, {_BIN('s.start_min')} as st, {_BIN('s.last_min')} as en, cast(t.bins as bigint) as bins from ends e join spans s using (agent_id) cross join span t where e.o_node_id is not null and e.d_node_id is not null),
+arc as materialized (select a.agent_id, l.link_seq, l.from_node_id as f, l.to_node_id as h, greatest(1, cast(trunc(l.fft_min/{B}*{d(0.7)}+{d(0.5)}) as bigint)) as least_, greatest(1, cast(trunc(l.fft_min/{B}+{d(0.5)}) as bigint)) as usual from (select distinct agent_id, link_seq from cand) a join lk l using (link_seq)),
+wait as materialized (select agent_id, bin, arg_max(dwell_bins, g) as dwell_bins from (select k.agent_id, k.g, {_BIN('(k.sec-k.interval_s)/60')} as bin, cast(trunc(k.interval_s/60/{B}) as bigint) as dwell_bins from deltas k join sampling a using (agent_id) cross join span t where k.interval_s > a.sampling_min*60*5) group by agent_id, bin),
+td(agent_id, node, bin, cost, k, since) using key (agent_id, node, bin) as (
+  (select agent_id, o, st, 0.0::double, -1::bigint, -1::bigint from who union all select agent_id, -1, -1, st::double, -1, -1 from who)
+  union
+  (select m.agent_id, m.node, m.bin, m.cost, m.k, m.since from (
+     select agent_id, node, bin, min(cost) as cost, arg_min(k, struct_pack(c := cost, k := k)) as k, any_value(since) as since from (
+       select r.agent_id, a.h as node, unnest(range(least(x.t+a.least_, w.bins-1), least(greatest(least(x.t+greatest(1, coalesce(v.dwell_bins,0), a.usual*10), w.bins), least(x.t+a.least_, w.bins-1)+1), w.en+1, w.bins))) as bin,
+         r.cost+coalesce(b.cost, {d(oracle.INACTIVE)}) as cost, a.link_seq as k, x.t as since
+       from (select agent_id, cast(cost as bigint) as t from td where node = -1) x join who w on w.agent_id=x.agent_id join recurring.td r on r.agent_id=x.agent_id and r.bin=x.t and r.node >= 0
+         join arc a on a.agent_id=r.agent_id and a.f=r.node left join bc b on b.agent_id=a.agent_id and b.link_seq=a.link_seq and b.bin=x.t left join wait v on v.agent_id=x.agent_id and v.bin=x.t
+       where greatest(1, coalesce(v.dwell_bins,0), a.usual*10) > a.least_) group by agent_id, node, bin) m
+     where m.cost < coalesce((select r.cost from recurring.td r where r.agent_id=m.agent_id and r.node=m.node and r.bin=m.bin), {d(999999.0)})
+   union all
+   select x.agent_id, -1, -1, x.cost+1, -1, -1 from td x join who w on w.agent_id=x.agent_id where x.node = -1 and x.cost < w.en)),
+goal as (select w.agent_id, w.dn, case when min(z.cost) < coalesce(min(z.cost) filter (where z.bin = w.en), {d(999999.0)}) then arg_min(z.bin, struct_pack(c := z.cost, b := z.bin)) else w.en end as bin
+  from who w join td z on z.agent_id=w.agent_id and z.node=w.dn and z.bin between greatest(0, w.en-5) and w.en group by w.agent_id, w.dn, w.en),
+back(agent_id, n, k, since, bin, cost) as (
+  select g.agent_id, 1, z.k, z.since, z.bin, z.cost from goal g join td z on z.agent_id=g.agent_id and z.node=g.dn and z.bin=g.bin where z.k >= 0
+  union all
+  select y.agent_id, y.n+1, z.k, z.since, z.bin, z.cost from back y join lk l on l.link_seq=y.k join td z on z.agent_id=y.agent_id and z.node=l.from_node_id and z.bin=y.since where z.k >= 0),
+tp as (select y.agent_id, cast(row_number() over (partition by y.agent_id order by y.n desc) as integer) as road_sequence, y.k as link_seq, cast(l.from_node_id as integer) as from_node_id, cast(l.to_node_id as integer) as to_node_id, cast(y.since as integer) as time_index, cast(y.bin as integer) as time_index_t, y.cost as label_cost from back y join lk l on l.link_seq=y.k)"""
+register("g02_td_paths", lambda m: m.td_paths.select(*[r6(c, c) if c == "label_cost" else F.col(c) for c in m.td_paths.columns]), sql("select * replace (round(label_cost,6) as label_cost) from tp", "arcs", _TD))
 register("g03_static_price_update", lambda m: tdpaths.updated_prices(m.bin_costs, m.costs, tdpaths.use_counts(m.paths)).select("agent_id", "link_seq", "bin", r6("cost", "cost")), sql("select b.agent_id, b.link_seq, b.bin, round(case when b.hit and h.hits is not null then b.cost-100*h.hits else b.cost end, 6) as cost from bc b left join (select agent_id, link_seq, hit_count as hits from costs where hit_count >= 1 and link_seq not in (select link_seq from uses)) h using (agent_id, link_seq)", "arcs", f"{_STEPS},\n{_STATIC_USES},\n{_FOLD}"))
-register("g03_price_update", lambda m: tdpaths.updated_prices(m.bin_costs, m.costs, tdpaths.use_counts(m.td_paths)))
-register("a21_use_counts", lambda m: tdpaths.use_counts(m.td_paths))
-register("k05_td_route", lambda m: m.td_route)
+register("g03_price_update", lambda m: tdpaths.updated_prices(m.bin_costs, m.costs, tdpaths.use_counts(m.td_paths)).select("agent_id", "link_seq", "bin", r6("cost", "cost")), sql("select b.agent_id, b.link_seq, b.bin, round(case when b.hit and h.hits is not null then b.cost-100*h.hits else b.cost end, 6) as cost from bc b left join (select agent_id, link_seq, hit_count as hits from costs where hit_count >= 1 and link_seq not in (select link_seq from tp)) h using (agent_id, link_seq)", "arcs", _TD))
+register("a21_use_counts", lambda m: tdpaths.use_counts(m.td_paths), sql("select link_seq, count(*) as use_count from tp group by link_seq", "arcs", _TD))
+_CLOCK = "select p.*, l.length, l.fft_sec, l.shape, l.fx, l.fy, s.start_min, t.t0+p.time_index*" + B + " as minute, cast(trunc((p.time_index_t-p.time_index)*" + d(60 * oracle.TIME_BIN) + "+" + d(0.5) + ") as integer) as tt from tp p join lk l using (link_seq) join spans s using (agent_id) cross join span t"
+register("k05_td_route", lambda m: m.td_route.select(*[r6(c, c) if c in ("label_cost", "timestamp_minute") else F.col(c) for c in m.td_route.columns]), sql(f"""select agent_id, road_sequence, cast(trunc((minute-start_min)*60+{d(0.5)}) as integer) as cumu_time_in_sec, time_index, time_index_t, time_index_t-time_index as time_index_diff, tt as travel_time_in_sec, round(minute,6) as timestamp_minute,
+  from_node_id, to_node_id, length, fft_sec as "FFTT_in_sec", tt-fft_sec as delay_in_sec, sum(length) over (partition by agent_id order by road_sequence) as cumu_distance, round(label_cost,6) as label_cost,
+  cast(trunc(minute/60) as integer) as hh, cast(trunc(minute-cast(trunc(minute/60) as integer)*60) as integer) as mm, cast(trunc((minute-cast(trunc(minute/60) as integer)*60-cast(trunc(minute-cast(trunc(minute/60) as integer)*60) as integer))*60) as integer) as ss,
+  {_LINESTRING.format('shape')} as geometry, concat('POINT (', printf('%.6f', fx), ' ', printf('%.6f', fy), ')') as geometry_from_node from ({_CLOCK})""", "arcs", _TD))
