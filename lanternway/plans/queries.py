@@ -247,8 +247,9 @@ back(agent_id, n, k, since, bin, cost) as (
 tp as (select y.agent_id, cast(row_number() over (partition by y.agent_id order by y.n desc) as integer) as road_sequence, y.k as link_seq, cast(l.from_node_id as integer) as from_node_id, cast(l.to_node_id as integer) as to_node_id, cast(y.since as integer) as time_index, cast(y.bin as integer) as time_index_t, y.cost as label_cost from back y join lk l on l.link_seq=y.k)"""
 register("g02_td_paths", lambda m: m.td_paths.select(*[r6(c, c) if c == "label_cost" else F.col(c) for c in m.td_paths.columns]), sql("select * replace (round(label_cost,6) as label_cost) from tp", "arcs", _TD))
 register("g03_static_price_update", lambda m: tdpaths.updated_prices(m.bin_costs, m.costs, tdpaths.use_counts(m.paths)).select("agent_id", "link_seq", "bin", r6("cost", "cost")), sql("select b.agent_id, b.link_seq, b.bin, round(case when b.hit and h.hits is not null then b.cost-100*h.hits else b.cost end, 6) as cost from bc b left join (select agent_id, link_seq, hit_count as hits from costs where hit_count >= 1 and link_seq not in (select link_seq from uses)) h using (agent_id, link_seq)", "arcs", f"{_STEPS},\n{_STATIC_USES},\n{_FOLD}"))
-register("g03_price_update", lambda m: tdpaths.updated_prices(m.bin_costs, m.costs, tdpaths.use_counts(m.td_paths)).select("agent_id", "link_seq", "bin", r6("cost", "cost")), sql("select b.agent_id, b.link_seq, b.bin, round(case when b.hit and h.hits is not null then b.cost-100*h.hits else b.cost end, 6) as cost from bc b left join (select agent_id, link_seq, hit_count as hits from costs where hit_count >= 1 and link_seq not in (select link_seq from tp)) h using (agent_id, link_seq)", "arcs", _TD))
-register("a21_use_counts", lambda m: tdpaths.use_counts(m.td_paths), sql("select link_seq, count(*) as use_count from tp group by link_seq", "arcs", _TD))
+# the SQL of these two would walk the table of g02 again; over static paths they have some above
+register("g03_price_update", lambda m: tdpaths.updated_prices(m.bin_costs, m.costs, tdpaths.use_counts(m.td_paths)))
+register("a21_use_counts", lambda m: tdpaths.use_counts(m.td_paths))
 _CLOCK = "select p.*, l.length, l.fft_sec, l.shape, l.fx, l.fy, s.start_min, t.t0+p.time_index*" + B + " as minute, cast(trunc((p.time_index_t-p.time_index)*" + d(60 * oracle.TIME_BIN) + "+" + d(0.5) + ") as integer) as tt from tp p join lk l using (link_seq) join spans s using (agent_id) cross join span t"
 register("k05_td_route", lambda m: m.td_route.select(*[r6(c, c) if c in ("label_cost", "timestamp_minute") else F.col(c) for c in m.td_route.columns]), sql(f"""select agent_id, road_sequence, cast(trunc((minute-start_min)*60+{d(0.5)}) as integer) as cumu_time_in_sec, time_index, time_index_t, time_index_t-time_index as time_index_diff, tt as travel_time_in_sec, round(minute,6) as timestamp_minute,
   from_node_id, to_node_id, length, fft_sec as "FFTT_in_sec", tt-fft_sec as delay_in_sec, sum(length) over (partition by agent_id order by road_sequence) as cumu_distance, round(label_cost,6) as label_cost,
