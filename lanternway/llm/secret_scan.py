@@ -5,9 +5,11 @@ Each is compressed, whatever its letters and digits, by a compressor primed with
 identifiers, once behind its surrounding code and once without it; the marginal bytes tell how new the
 string is. Strings that neither the dictionary nor the surroundings explain are reported as ``novel``.
 
-The dictionary is made of the corpus's own words: identifiers are counted over all rows and whole texts,
-and the `FREQUENT` most frequent (at most 80 KB: a bound) go into it, the most frequent last, behind
-them a fixed line of common names.
+The dictionary is made of the corpus's own words: identifiers of letters and underscores are counted over
+all rows and whole texts, and the `FREQUENT` most frequent (at most 32 KB: a bound) go into it, the most
+frequent last, behind them a fixed line of common names. It cannot hold a key, however often one has leaked:
+a stretch of characters that is long enough to be a candidate gives no word, nor any part of one, wherever it
+stands. For the same reason a candidate's other occurrences are taken out of its surroundings.
 
 Defined results: null text counts as empty; no match gives an empty list; spans are in code points,
 end exclusive; equal rows give equal results; ties of the count go to the smaller word; other columns of
@@ -59,9 +61,11 @@ IDENTIFIERS = (
 LEAST = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.-]{{{LEAST},}}")
 REACH, AROUND, NOVEL_SHARE = 96, 256, 0.8
-#: Identifiers that the dictionary takes from the corpus; one has 5 to 40 letters, digits and underscores.
+#: Identifiers that the dictionary takes from the corpus, of 5 letters and underscores or more, out of stretches
+#: of a candidate's characters that are too short for a candidate.
 FREQUENT = 2048
-IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_]{4,39}(?![A-Za-z0-9_])")
+STRETCH = re.compile(rf"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{{5,{LEAST - 1}}}(?![A-Za-z0-9+/_=.-])")
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z_]{5,}(?![A-Za-z0-9_])")
 _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)))
 
 
@@ -83,9 +87,12 @@ def identifiers(docs: DataFrame, text_col: str = "text", most: int = FREQUENT) -
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = Counter()
+            stretches, found = Counter(), Counter()
             for t in strings(batch.column(0)):
-                found.update(IDENTIFIER.findall(t))
+                stretches.update(STRETCH.findall(t))
+            for stretch, n in stretches.items():
+                for word in IDENTIFIER.findall(stretch):
+                    found[word] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
     def leading(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +149,7 @@ def novel_spans(text: str, lowered: str, taken: list[tuple[int, int, int]], nove
             if reach[bisect_left(taken, (b,))] > a:
                 continue
             token = text[a:b]
-            around = text[max(0, a - AROUND) : a] + text[b : b + AROUND]
+            around = (text[max(0, a - AROUND) : a] + text[b : b + AROUND]).replace(token, " ")
             if novelty.marginal(around, token) >= NOVEL_SHARE * len(token):
                 found.append((a, b, 3))
     return found

@@ -100,6 +100,46 @@ def test_dictionary_is_the_corpus_own(spark):
     assert secret_scan.identifiers(frame.limit(0)) == []
 
 
+def leaked(rows, keys, line="the private signing blob is {} for now", filler="some prose about nothing in particular, again and again"):
+    """`rows` documents; document i holds the key ``keys(i)``, if there is one."""
+    return [(i, f"{filler} {i}. " + (line.format(k) + f" {filler}" if (k := keys(i)) else ""), k) for i in range(rows)]
+
+
+def drawn(seed, letters=string.ascii_letters, n=24):
+    rng = random.Random(seed)
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+LEAKS = {
+    "one document": leaked(1, lambda i: drawn(i)), "a key each, 10": leaked(10, lambda i: drawn(i, n=32)), "a key each, 1000": leaked(1000, lambda i: drawn(i, n=32)), "a key each, 3000": leaked(3000, lambda i: drawn(i)),
+    "one key in 50 of 500": leaked(500, lambda i: drawn(0) if i % 10 == 0 else None), "one key in a third": leaked(600, lambda i: drawn(1) if i % 3 == 0 else None),
+    "digits and signs in a third": leaked(600, lambda i: drawn(2, string.ascii_letters + string.digits + "+/", 43) if i % 3 == 0 else None),
+    "short parts in a third": leaked(600, lambda i: "-".join(drawn(k, string.ascii_letters, 7) for k in range(5)) if i % 3 == 0 else None),
+    "outside too": leaked(600, lambda i: drawn(3) if i % 3 == 0 else None, "the blob {0} of many; auth -> {0} ends", drawn(3)),
+}
+
+
+@pytest.mark.parametrize("name", LEAKS)
+def test_no_key_is_hidden_by_the_corpus(spark, name):
+    """Recall through the whole operator, for keys of few and of many documents."""
+    rows = LEAKS[name]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan_secrets(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)).collect()}
+    keys = [(i, t, k) for i, t, k in rows if k]
+    assert sum(any(k in t[s["start"] : s["end"]] for s in got[i]) for i, t, k in keys) >= 0.9 * len(keys)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_precision_through_the_whole_operator(spark, seed):
+    """The same held-out lines among prose that uses the words of the plain ones; the dictionary is the corpus's own."""
+    found, plain = secret_lines(seed)
+    rows = [(i, line) for i, line in enumerate([line for line, _ in found] + plain)]
+    rows += [(1000 + i, " ".join(OWN[i % 10 :] + OWN[: i % 10])) for i in range(200)]
+    got = {r["doc_id"]: [line[s["start"] : s["end"]] for s in r["spans"][len(r["base"]) :]] or r["spans"] for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect() for line in [dict(rows)[r["doc_id"]]]}
+    right = sum(bool(got[i]) for i in range(len(found)))
+    wrong = [line for i, line in enumerate(plain, len(found)) if len(got[i]) > len(secret_scan.base_spans(line))] + [t for i, t in rows if i >= 1000 and got[i]]
+    assert right >= 0.9 * len(found) and right >= 0.9 * (right + len(wrong)), wrong
+
+
 HOSTILE = {
     "blanks": " " * 2_000_000 + "a1", "line ends": "\n" * 2_000_000 + "a1", "zeros in an ip": "0" * 10_000 + ".1.2.3 " + "0" * 10_000 + "256.1.2.3", "hints": "token " * 34_000,
     "hints and runs": "private " + "token_" * 40_000, "assignments": 'token = "abcdef" ' * 12_000, "ats": "@" * 200_000, "a word": "x" * 1_000_000 + "1", "digits": "9" * 300_000, "long part": "1" * 20_000 + ".2.3.4",
