@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from lanternway.functions import geo, timefn
 from lanternway.functions.constants import INACTIVE, NONHIT_RATIO, RESOLUTION, TIME_BIN
 from lanternway.operators.grid import cell_links
 
+#: Groups of events below which a step over all of them costs more than their own folds.
+FEW = 8
+
 
 def in_cell_pairs(kept: DataFrame) -> DataFrame:
     """Points with the next point of the same agent in the same cell (null for the last)."""
@@ -111,50 +116,89 @@ def fold_bins(bin_: Iterable[int], reach: Iterable[int], cost: Iterable[float],
     return out
 
 
+def fold_together(bin_: np.ndarray, reach: np.ndarray, cost: np.ndarray, bins: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The folds of many groups at once: (group, bin, event that wrote it) of every bin written.
+
+    Group i has the events from ``first[i]`` on, in order. All bins that a group can write stand in one row of
+    cells; a step takes the next event of each group, compares its own bin, and writes its stretch of bins. Where
+    fewer than `FEW` groups are left, they are folded one by one.
+    """
+    size = np.diff(np.append(first, len(bin_)))
+    low, high = np.maximum(0, bin_ - reach), np.maximum(np.minimum(bin_ + reach, bins), bin_ + 1)
+    base, top = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+    offset = np.cumsum(top - base) - (top - base) - base  # of a group's bin 0 in the row of cells
+    held, by = np.full(int((top - base).sum()), INACTIVE), np.full(int((top - base).sum()), -1, np.int64)
+    order = np.argsort(-size, kind="stable")
+    stop = np.minimum(bin_ + reach, bins)
+    most = int(size.max())
+    ahead = np.searchsorted(-size[order], -np.arange(1, most + 1), side="right")  # groups with more than so many events
+    step = 0
+    while step < most and ahead[step] >= FEW:
+        groups = order[: ahead[step]]
+        e = first[groups] + step
+        wins = cost[e] < held[offset[groups] + bin_[e]]
+        e, groups = e[wins], groups[wins]
+        n = np.maximum(stop[e] - low[e], 0)
+        cell = np.repeat(offset[groups] + low[e] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        held[cell], by[cell] = np.repeat(cost[e], n), np.repeat(e, n)
+        step += 1
+    for g in order[: ahead[step]].tolist() if step < most else ():
+        o, z = int(offset[g]), int(first[g] + size[g])
+        a = int(first[g]) + step
+        state = {b: (c, w) for b, c, w in zip(range(int(base[g]), int(top[g])), held[o + base[g] : o + top[g]].tolist(), by[o + base[g] : o + top[g]].tolist(), strict=True) if w >= 0}
+        for b, (c, w) in fold_bins(bin_[a:z].tolist(), reach[a:z].tolist(), cost[a:z].tolist(), int(bins[a]), a, state).items():
+            held[o + b], by[o + b] = c, w
+    cells = np.flatnonzero(by >= 0)
+    group = np.searchsorted(np.cumsum(top - base), cells, side="right")
+    return group, cells - offset[group], by[cells]
+
+
 def bin_costs(events: DataFrame) -> DataFrame:
     """``agent_id, link_seq, bin, cost, trace_no, hit``: the exact ordered fold, per agent and link.
 
-    Events are dealt by agent and link and sorted there, in Spark; a task folds them as they come and holds
-    the bins of one link, so the points of an agent need not fit anywhere.
+    Events are dealt by agent and link and sorted there, in Spark. A task folds the links that lie whole in a
+    batch together; of one that goes over the batch's end it holds the bins, so the points of an agent need
+    not fit anywhere.
     """
     names = ["agent_id", "link_seq", "bin", "reach", "cost", "trace_no", "hit", "bins"]
     order = ["agent_id", "link_seq", "x_index", "y_index", "g"]
     flat = events.select("agent_id", "link_seq", "at.*", "bin", "reach", "cost", "trace_no", "hit", "bins")
+    out_names = ["agent_id", "link_seq", "bin", "cost", "trace_no", "hit"]
 
     def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, marks = None, {}, {}  # of the open link: bins, and (trace_no, hit) of the events that wrote them
-        out: list[list] = [[] for _ in range(6)]
-
-        def close() -> None:
-            for b, (c, i) in held.items():
-                for column, v in zip(out, (*key, b, c, *marks[i]), strict=True):
-                    column.append(v)
+        key, held, marks, seen = None, {}, {}, 0  # of the open link: bins, (trace_no, hit) of the events that wrote them, events so far
 
-        def batch_of() -> pa.RecordBatch:
+        def closed() -> pa.RecordBatch:
+            rows = [(*key, b, c, *marks[i]) for b, (c, i) in held.items()]
             types = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.bool_())
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["agent_id", "link_seq", "bin", "cost", "trace_no", "hit"])
-            for c in out:
-                c.clear()
-            return made
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], out_names)
 
-        seen = 0
         for batch in batches:
-            agent, link, bin_, reach, cost, trace_no, hit, bins = (c.to_pylist() for c in batch.columns)
-            new = [i for i in range(len(agent)) if i == 0 or link[i] != link[i - 1] or agent[i] != agent[i - 1]]
-            for a, z in zip(new, [*new[1:], len(agent)], strict=True):
-                if (agent[a], link[a]) != key:
+            if not batch.num_rows:
+                continue
+            agent, link = batch.column(0), batch.column(1).to_numpy()
+            bin_, reach, cost, bins = (batch.column(c).to_numpy() for c in (2, 3, 4, 7))
+            other = pc.not_equal(agent[1:], agent[:-1]).to_numpy(zero_copy_only=False) | (link[1:] != link[:-1])
+            new = np.append(0, np.flatnonzero(other) + 1)
+            for i in sorted({0, len(new) - 1}):  # the first may go on from the batch before, the last may go on in the next
+                a, z = int(new[i]), int(new[i + 1]) if i + 1 < len(new) else batch.num_rows
+                now = agent[a].as_py(), int(link[a])
+                if now != key:
                     if key is not None:
-                        close()
-                    key, held, marks, seen = (agent[a], link[a]), {}, {}, 0
-                held = fold_bins(bin_[a:z], reach[a:z], cost[a:z], bins[a], seen, held)
-                marks |= {i: (trace_no[a + i - seen], hit[a + i - seen]) for _, i in held.values() if i >= seen}
+                        yield closed()
+                    key, held, marks, seen = now, {}, {}, 0
+                held = fold_bins(bin_[a:z].tolist(), reach[a:z].tolist(), cost[a:z].tolist(), int(bins[a]), seen, held)
+                trace_no, hit = batch.column(5)[a:z].to_pylist(), batch.column(6)[a:z].to_pylist()
+                marks |= {i: (trace_no[i - seen], hit[i - seen]) for _, i in held.values() if i >= seen}
+                marks = {i: marks[i] for _, i in held.values()}
                 seen += z - a
-            marks = {i: marks[i] for _, i in held.values()}
-            if len(out[0]) > 10_000:
-                yield batch_of()
+            if len(new) > 2:
+                a, z = int(new[1]), int(new[-1])
+                group, b, e = fold_together(bin_[a:z].astype(np.int64), reach[a:z].astype(np.int64), cost[a:z], bins[a:z].astype(np.int64), new[1:-1] - a)
+                event = pa.array(e + a)
+                yield pa.RecordBatch.from_arrays([agent.take(event), batch.column(1).take(event), pa.array(b), batch.column(4).take(event), batch.column(5).take(event), batch.column(6).take(event)], out_names)
         if key is not None:
-            close()
-        yield batch_of()
+            yield closed()
 
     sorted_ = flat.repartition("agent_id", "link_seq").sortWithinPartitions(*order).select(*names)
     return sorted_.mapInArrow(fold, "agent_id string, link_seq long, bin long, cost double, trace_no int, hit boolean")

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternway.functions import timefn
 from lanternway.functions.constants import INACTIVE, TIME_BIN, UNREACHABLE
+from lanternway.operators.storage import saved
+
+#: Links times bins of agents that are searched together: 20 bytes each.
+CELLS = 1 << 20
 
 TD_SCHEMA = "agent_id string, road_sequence int, link_seq long, from_node_id int, to_node_id int, time_index int, time_index_t int, label_cost double"
 
@@ -18,21 +24,26 @@ TD_NAMES = [c.split()[0] for c in TD_SCHEMA.split(", ")]
 
 
 def agent_states(ends: DataFrame, active: DataFrame, costs: DataFrame, dwells: DataFrame, spans: DataFrame, links: DataFrame, span: DataFrame) -> DataFrame:
-    """One row per agent with all its search needs: ends, bins, active links, costs by bin, dwells.
+    """All that the searches need, as rows of one kind each: an agent, then its links, their costs by bin, its dwells.
 
-    What is gathered is bounded by active links times the agent's bins, not by its points: `costs`
-    (``agent_id, link_seq, bin, cost``) are folded before.
+    ``agent_id, kind, link_seq, bin, a, b, c, cost``. Nothing is gathered into one cell: `td_paths` deals the
+    rows by agent and reads them as a sorted stream. `costs` (``agent_id, link_seq, bin, cost``) are folded before.
     """
     bin_ = lambda c: timefn.time_bin(F.col(c), F.col("t0"), F.col("bins"))
     asked = ends.where("o_node_id is not null and d_node_id is not null").select("agent_id", "o_node_id", "d_node_id").join(spans, "agent_id").join(F.broadcast(span))
-    asked = asked.select("agent_id", "o_node_id", "d_node_id", bin_("start_min").alias("start"), bin_("last_min").alias("end"), "bins")
-    within = costs.join(asked.select("agent_id", "start", "end"), "agent_id").where("bin between start and end")
-    priced = within.groupBy("agent_id").agg(F.collect_list(F.struct("link_seq", "bin", "cost")).alias("costs"))
+    asked = saved(asked.select("agent_id", "o_node_id", "d_node_id", bin_("start_min").alias("start"), bin_("last_min").alias("end"), "bins"), "td-asked")
+    whole = asked.select("agent_id", "start", "end")
+    none = F.lit(None)
+
+    def rows(df: DataFrame, kind: int, **given: str) -> DataFrame:
+        value = {c: F.col(given[c]) if c in given else none for c in ("link_seq", "bin", "a", "b", "c", "cost")}
+        return df.select("agent_id", F.lit(kind).alias("kind"), *[v.cast("double" if c == "cost" else "long").alias(c) for c, v in value.items()])
+
     arcs = links.select(F.col("seq").alias("link_seq"), "from_node_id", "to_node_id", "fft_min")
-    lists = active.select("agent_id", "link_seq").distinct().join(arcs, "link_seq").groupBy("agent_id").agg(F.array_sort(F.collect_list(F.struct("link_seq", "from_node_id", "to_node_id", "fft_min"))).alias("links"))
-    waits = dwells.groupBy("agent_id").agg(F.collect_list(F.struct("bin", "dwell_bins")).alias("dwell"))
-    rows = asked.join(lists, "agent_id").join(priced, "agent_id", "left").join(waits, "agent_id", "left")
-    return rows.select("agent_id", "o_node_id", "d_node_id", "start", "end", "bins", "links", "costs", "dwell")
+    own = active.select("agent_id", "link_seq").distinct().join(whole, "agent_id", "left_semi").join(arcs, "link_seq")
+    priced = costs.join(whole, "agent_id").where("bin between start and end")
+    parts = rows(asked, 0, link_seq="o_node_id", bin="d_node_id", a="start", b="end", c="bins"), rows(own, 1, link_seq="link_seq", a="from_node_id", b="to_node_id", cost="fft_min"), rows(priced, 2, link_seq="link_seq", bin="bin", cost="cost"), rows(dwells.join(whole, "agent_id", "left_semi"), 3, bin="bin", a="dwell_bins")
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 def travel_bins(fft_min: float) -> tuple[int, int]:
@@ -87,7 +98,8 @@ def search(links: list[tuple[int, int, int, float, np.ndarray]], origin: int, ta
     window = np.arange(max(0, end - 5), end + 1)
     best = int(window[label[goal, window].argmin()]) if label[goal, window].min() < label[goal, end] else end
     node, t, out = goal, (end if compat else best), []
-    while by[node, t] >= 0 and since[node, t] >= start and len(out) < 10_000:
+    # more links than nodes and bins: moves in the last bin go around a loop of negative prices, which has no cheapest path
+    while by[node, t] >= 0 and since[node, t] >= start and len(out) < len(ids) + end - start + 1:
         k, before = int(by[node, t]), int(since[node, t])
         out.append((links[k][0], links[k][1], links[k][2], before, t, float(label[node, t])))
         node, t = int(a[k]), before
@@ -95,28 +107,182 @@ def search(links: list[tuple[int, int, int, float, np.ndarray]], origin: int, ta
     return out[:-1] if compat else out
 
 
+@dataclass
+class Trip:
+    """One agent's search: ends, bins, links in file order, costs by link and bin, dwells by bin."""
+
+    agent: str
+    origin: int
+    target: int
+    start: int
+    end: int
+    bins: int
+    seq: np.ndarray
+    tail: np.ndarray
+    head: np.ndarray
+    fft: np.ndarray
+    priced: tuple[np.ndarray, np.ndarray, np.ndarray]
+    dwell: dict[int, int]
+
+    @property
+    def cells(self) -> int:
+        return len(self.seq) * (self.end - self.start + 1)
+
+    def alone(self, compat: bool) -> list[tuple]:
+        cost = np.full((len(self.seq), max(self.end - self.start + 1, 0)), INACTIVE)
+        at, bin_, price = self.priced
+        cost[np.searchsorted(self.seq, at), bin_ - self.start] = price
+        links = list(zip(self.seq.tolist(), self.tail.tolist(), self.head.tolist(), self.fft.tolist(), cost, strict=True))
+        return search(links, self.origin, self.target, self.start, self.end, self.bins, self.dwell, compat)
+
+
+def search_together(trips: list[Trip], compat: bool = False, stages: int = 10) -> list[list[tuple]]:
+    """The rows of `search` for many agents at once, each on its own links and its own bins from 0 on.
+
+    A bin is one step for all. Labels of the bin are the best of what links have waiting for it, of equal ones
+    the earliest entry, then the first link. Then each link that starts at a reached node offers its cost to the
+    bins that it may end in, a stretch that is the same for all links of one travel time: columns of links stand
+    by travel time, so an offer is one comparison of a block. Trips that meet the last bin of all, where moves
+    end in the bin they begin in, are searched alone.
+    """
+    out: list[list[tuple]] = [[] for _ in trips]
+    several = [i for i, t in enumerate(trips) if t.end + 1 < t.bins and len(t.seq) and t.end >= t.start]
+    for i in set(range(len(trips))) - set(several):
+        out[i] = trips[i].alone(compat)
+    if not several:
+        return out
+    own = [trips[i] for i in several]
+    first, tails, heads, origins, targets, nodes = [0], [], [], [], [], 0
+    for t in own:
+        ids = np.unique(np.concatenate([t.tail, t.head, [t.origin, t.target]]))
+        a, b, o, d = (np.searchsorted(ids, x) + nodes for x in (t.tail, t.head, t.origin, t.target))
+        tails.append(a), heads.append(b), origins.append(int(o)), targets.append(int(d))
+        nodes += len(ids)
+        first.append(first[-1] + len(t.seq))
+    tail, head, fft = np.concatenate(tails), np.concatenate(heads), np.concatenate([t.fft for t in own])
+    n, long_ = len(tail), max(t.end - t.start + 1 for t in own)
+    minutes, which = np.unique(fft, return_inverse=True)
+    kinds, same = np.unique([travel_bins(x) for x in minutes.tolist()], axis=0, return_inverse=True)
+    kind = same.ravel()[which]
+    column = np.argsort(kind, kind="stable")  # links by travel time
+    place = np.empty(n, np.int64)
+    place[column] = np.arange(n)
+    edges = np.searchsorted(kind[column], np.arange(len(kinds) + 1))
+    blocks = [(int(x), int(y), int(least), int(usual) * stages) for x, y, (least, usual) in zip(edges, edges[1:], kinds.tolist(), strict=False)]
+    cost = np.full((long_, n), INACTIVE)
+    stays: dict[int, list[tuple[int, int]]] = {}  # step -> (trip, dwell)
+    for i, t in enumerate(own):
+        at, bin_, price = t.priced
+        cost[bin_ - t.start, place[first[i] + np.searchsorted(t.seq, at)]] = price
+        for b, wait in t.dwell.items():
+            if t.start <= b <= t.end:
+                stays.setdefault(b - t.start, []).append((i, wait))
+    offer, entry = np.full((long_, n), UNREACHABLE), np.full((long_, n), -1, np.int32)
+    label, by, since = np.full((long_, nodes), UNREACHABLE), np.full((long_, nodes), -1, np.int32), np.full((long_, nodes), -1, np.int32)
+    label[0, origins] = 0.0
+    begin, into = tail[column], np.lexsort((np.arange(n), head))  # into: links by head, then file order
+    met, lead = np.unique(head[into], return_index=True)
+    back = np.repeat(np.arange(len(met)), np.diff(np.append(lead, n)))
+    into_column = place[into]
+    for s in range(long_):
+        if s:
+            best = offer[s, into_column]
+            low = np.minimum.reduceat(best, lead)
+            if (low < UNREACHABLE).any():
+                equal = best == low[back]
+                since_ = np.where(equal, entry[s, into_column], n + long_)
+                early = np.minimum.reduceat(since_, lead)
+                link = np.minimum.reduceat(np.where(equal & (since_ == early[back]), np.arange(n), n), lead)
+                there = low < UNREACHABLE
+                label[s, met[there]], since[s, met[there]], by[s, met[there]] = low[there], early[there], into[link[there]]
+        if not (label[s] < UNREACHABLE).any():
+            continue
+        price = label[s, begin] + cost[s]
+        for x, y, least, most in blocks:
+            block = offer[s + least : s + most, x:y]
+            if len(block):
+                better = price[x:y] < block
+                np.copyto(block, price[x:y], where=better)
+                np.copyto(entry[s + least : s + most, x:y], s, where=better)
+        for i, wait in stays.get(s, ()):  # a dwell lets links of this agent end later
+            for k in range(first[i], first[i + 1]):
+                c, usual = place[k], kinds[kind[k], 1]
+                later = slice(s + int(usual) * stages, s + wait)
+                better = price[c] < offer[later, c]
+                offer[later, c][better], entry[later, c][better] = price[c], s
+    for at, (i, t) in enumerate(zip(several, own, strict=True)):
+        last = t.end - t.start
+        window = np.arange(max(0, t.end - 5), t.end + 1) - t.start
+        window = window[window >= 0]
+        reached = label[window, targets[at]]
+        best = int(window[reached.argmin()]) if reached.min() < label[last, targets[at]] else last
+        node, s, rows = targets[at], (last if compat else best), []
+        while by[s, node] >= 0:
+            k, before = int(by[s, node]), int(since[s, node])
+            j = k - first[at]
+            rows.append((int(t.seq[j]), int(t.tail[j]), int(t.head[j]), before + t.start, s + t.start, float(label[s, node])))
+            node, s = int(tail[k]), before
+        rows.reverse()
+        out[i] = rows[:-1] if compat else rows
+    return out
+
+
+def trips_of(batches: Iterable[pa.RecordBatch]) -> Iterator[Trip]:
+    """Agents from the rows of `agent_states`, sorted by agent, kind, link and bin."""
+    held: list[pa.RecordBatch] = []
+
+    def made() -> Trip | None:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        value = {c: rows.column(c).to_numpy() for c in rows.column_names[1:]}
+        kind = value["kind"]
+        part = lambda k, *names: [value[c][kind == k] for c in names]
+        head = part(0, "link_seq", "bin", "a", "b", "c")
+        if not len(head[0]):
+            return None
+        whole = lambda x: x.astype(np.int64)
+        seq, tail, to, fft = part(1, "link_seq", "a", "b", "cost")
+        at, bin_, cost = part(2, "link_seq", "bin", "cost")
+        day = dict(zip(*(whole(x).tolist() for x in part(3, "bin", "a")), strict=True))
+        return Trip(rows.column(0)[0].as_py(), *(int(x[0]) for x in head), whole(seq), whole(tail), whole(to), fft, (whole(at), whole(bin_), cost), day)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        agent = batch.column(0)
+        ends = [0, *(np.flatnonzero(pc.not_equal(agent[1:], agent[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
+        for a, z in zip(ends, ends[1:], strict=False):
+            if held and held[0].column(0)[0] != agent[a]:
+                if (trip := made()) is not None:
+                    yield trip
+                held = []
+            held.append(batch.slice(a, z - a))
+    if held and (trip := made()) is not None:
+        yield trip
+
+
 def td_paths(states: DataFrame, compat: bool = False) -> DataFrame:
-    """Path rows of every agent; each agent is searched on its own, on its own links only."""
+    """Path rows of every agent, each on its own links only.
+
+    Agents are dealt by id and come as a sorted stream; those that come after each other are searched together,
+    up to `CELLS` links times bins. One agent's links times its bins are what a task must hold.
+    """
+
+    def rows_of(trips: list[Trip]) -> pa.RecordBatch:
+        out = [(t.agent, n + 1, *row) for t, own in zip(trips, search_together(trips, compat), strict=True) for n, row in enumerate(own)]
+        cols = list(zip(*out, strict=True)) if out else [()] * 8
+        types = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], TD_NAMES)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                agent, origin, target, start, end, bins = (batch.column(c)[i].as_py() for c in range(6))
-                own, priced, waits = (batch.column(c)[i].values for c in range(6, 9))  # lists of structs as arrays
-                seq, tail, head = (own.field(c).to_numpy() for c in range(3))
-                cost = np.full((len(seq), end - start + 1), INACTIVE)
-                if priced is not None and len(priced):
-                    at = np.searchsorted(seq, priced.field(0).to_numpy())  # links stand in order
-                    cost[at, priced.field(1).to_numpy() - start] = priced.field(2).to_numpy()
-                links = list(zip(seq.tolist(), tail.tolist(), head.tolist(), own.field(3).to_pylist(), cost, strict=True))
-                dwell = {} if waits is None else dict(zip(waits.field(0).to_pylist(), waits.field(1).to_pylist(), strict=True))
-                out += [(agent, n + 1, *row) for n, row in enumerate(search(links, origin, target, start, end, bins, dwell, compat))]
-            cols = list(zip(*out, strict=True)) if out else [()] * 8
-            types = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], TD_NAMES)
-
-    return states.mapInArrow(run, TD_SCHEMA)
+        held: list[Trip] = []
+        for trip in trips_of(batches):
+            if held and sum(t.cells for t in held) + trip.cells > CELLS:
+                yield rows_of(held)
+                held = []
+            held.append(trip)
+        yield rows_of(held)
+
+    return states.repartition("agent_id").sortWithinPartitions("agent_id", "kind", "link_seq", "bin").mapInArrow(run, TD_SCHEMA)
 
 
 def use_counts(paths: DataFrame) -> DataFrame:

@@ -19,14 +19,16 @@ LINKS = (
     "from {nodes} f cross join (select 0 as dir, 1 as step union all select 1, -1 union all select 2, 12 union all select 3, -12) d join {nodes} t on t.node_id = f.node_id + d.step "
     "where not (d.dir = 0 and f.node_id % 12 = 11) and not (d.dir = 1 and f.node_id % 12 = 0)"
 )
+# A user's trace starts at node `col` of row `row`, any row that leaves eleven above it; one user in five goes up to 40 nodes up.
 TRACE = (
     "select concat('u', cast(user_id as string)) as agent_id, user_id, r as trace_no, event_id as trace_id, "
-    "case when event_id % 97 = 0 then cast(-110.0 as double) else cast(-112.0 as double) + cast(0.004 as double) * (cast((user_id * 5) % 6 as double) + least(cast(r as double) / 4, cast(5 as double))) + cast((event_id * 37) % 41 - 20 as double) * cast(0.00001 as double) end as x_coord, "
-    "cast(33.4 as double) + cast(0.004 as double) * (cast((user_id * 3) % 6 as double) + least(greatest(cast(r as double) / 4 - 5, cast(0 as double)), cast(5 as double))) + cast((event_id * 53) % 41 - 20 as double) * cast(0.00001 as double) as y_coord, "
-    "case when user_id % 10 = 3 and r = 0 then ((user_id * 3) % 6) * 12 + (user_id * 5) % 6 end as o_node_id, "
+    "case when event_id % 97 = 0 then cast(-110.0 as double) else cast(-112.0 as double) + cast(0.004 as double) * (cast(col as double) + least(cast(r as double) / 4, cast(5 as double))) + cast((event_id * 37) % 41 - 20 as double) * cast(0.00001 as double) end as x_coord, "
+    "cast(33.4 as double) + cast(0.004 as double) * (cast(row_no as double) + least(greatest(cast(r as double) / 4 - 5, cast(0 as double)), cast(case when user_id % 5 = 2 then 40 else 5 end as double))) + cast((event_id * 53) % 41 - 20 as double) * cast(0.00001 as double) as y_coord, "
+    "case when user_id % 10 = 3 and r = 0 then row_no * 12 + col end as o_node_id, "
     "case when user_id % 4 = 1 then 'a' else '' end as allowed_link_type_code, case when user_id % 4 = 2 then 'f' else '' end as blocked_link_type_code, "
     "25200 + (user_id % 600) * 60 + r * 5 + case when r > 20 then 60 else 0 end as sec "
-    "from (select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as r from {events}) q"
+    "from (select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as r, (user_id * 5) % 6 as col, (user_id * 7919) % greatest(n_rows - 11, 1) as row_no "
+    "from {events} cross join (select cast(floor((max(p_partkey) + 1) / 12) as bigint) as n_rows from {part}) size) q"
 )
 
 
@@ -34,7 +36,7 @@ def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     """(nodes, links, trace) as typed columns."""
     part, events = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("part", "events"))
     nodes = spark.sql(NODES, part=part)
-    return nodes, spark.sql(LINKS, nodes=nodes), spark.sql(TRACE, events=events)
+    return nodes, spark.sql(LINKS, nodes=nodes), spark.sql(TRACE, events=events, part=part)
 
 
 def text_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

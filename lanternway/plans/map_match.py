@@ -98,7 +98,7 @@ class Matching:
 
     @cached_property
     def td_paths(self) -> DataFrame:
-        active = likelihood.candidates(self.kept, self.links)
+        active = self.costs.select("agent_id", "link_seq")  # links of cells with points: those that have a cost
         states = tdpaths.agent_states(self.ends, active, self.bin_costs, trace.dwells(self.kept), trace.spans(self.kept), self.links, self.span)
         return saved(tdpaths.td_paths(states, self.compat), "td-paths")
 

@@ -63,7 +63,7 @@ _POINT = "{'x': cast(split_part(trim(p),' ',1) as double), 'y': cast(split_part(
 CHAIN = {
     "nodes": NODES.format(part="part"),
     "links": LINKS.format(nodes="nodes"),
-    "trace": TRACE.format(events="events"),
+    "trace": TRACE.format(events="events", part="part"),
     "nn": f"select node_id, cast(node_id as bigint) as seq, x_coord as x, y_coord as y, zone_id, {cell('x_coord', 'y_coord')} as cell_id from nodes",
     "ll": f"""select l.link_id, cast(l.link_id as bigint) as link_seq, l.from_node_id, l.to_node_id, l.length, greatest({d(0.1)}, l.vdf_fftt1) as fft_min,
         cast(trunc(greatest({d(0.1)}, l.vdf_fftt1)*60) as integer) as fft_sec, l.link_type_code, l.geometry, a.x as fx, a.y as fy, b.x as tx, b.y as ty, a.cell_id as from_cell, b.cell_id as to_cell,

@@ -97,6 +97,24 @@ def test_time_dependent_search_equals_the_full_table(seed):
     assert tdpaths.search(links, 0, 5, start, end, bins, dwell) == naive_td(links, 0, 5, start, end, bins, dwell)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_agents_searched_together_as_each_alone(seed):
+    rng = random.Random(seed)
+    trips = []
+    for i in range(40):
+        start, n = rng.randrange(30), rng.choice([0, 1, 7, 25])
+        end = start + rng.randrange(60)
+        bins = rng.choice([end + 1, end + 2, 500])
+        seq = np.sort(np.array(rng.sample(range(90), n), np.int64))
+        spots = [(k, t) for k in seq.tolist() for t in range(start, end + 1) if rng.random() < 0.5]
+        priced = tuple(np.array(c, kind) for c, kind in zip(zip(*spots, strict=True) if spots else ((), ()), (np.int64, np.int64), strict=True))
+        price = np.array([rng.choice([0.0, 0.25, 0.5, rng.random()]) for _ in spots])
+        nodes = lambda: np.array([rng.randrange(7) for _ in range(n)], np.int64)  # noqa: B023, E731
+        trips.append(tdpaths.Trip(f"u{i}", rng.randrange(7), rng.randrange(8), start, end, bins, seq, nodes(), nodes(), np.array([rng.choice([0.1, 0.15, 0.4, 1.0]) for _ in range(n)]), (*priced, price), {rng.randrange(60): rng.randrange(90) for _ in range(3)}))
+    for compat in (False, True):
+        assert tdpaths.search_together(trips, compat) == [t.alone(compat) for t in trips]
+
+
 def test_bin_fold_compares_the_centre_only():
     held = likelihood.fold_bins([5, 6, 5], [2, 2, 2], [0.5, 0.9, 0.4], 10)
     assert held == {t: (0.4, 2) for t in range(3, 7)}
@@ -105,9 +123,26 @@ def test_bin_fold_compares_the_centre_only():
     assert likelihood.fold_bins([6, 5], [2, 2], [0.9, 0.4], 10, 1, part) == held  # events may come in pieces
 
 
-def test_bin_costs_equal_a_fold_of_each_group(run):
+@pytest.mark.parametrize("seed", range(6))
+def test_folds_together_as_each_alone(seed):
+    rng = random.Random(seed)
+    groups = [[(rng.randrange(12), rng.randrange(1, 4), rng.choice([0.0, 0.5, rng.random(), 1000.0])) for _ in range(rng.choice([1, 2, 9, 60]))] for _ in range(rng.choice([1, 5, 40]))]
+    flat = [e for g in groups for e in g]
+    first = np.cumsum([0, *map(len, groups)])[:-1]
+    group, bin_, event = likelihood.fold_together(*(np.array([e[k] for e in flat], kind) for k, kind in enumerate((np.int64, np.int64, float))), np.full(len(flat), 11), first)
+    got = {}
+    for g, b, e in zip(group.tolist(), bin_.tolist(), event.tolist(), strict=True):
+        got.setdefault(g, {})[b] = (flat[e][2], e - int(first[g]))
+    assert got == {i: want for i, g in enumerate(groups) if (want := likelihood.fold_bins(*zip(*g, strict=True), 11))}
+
+
+@pytest.mark.parametrize("batch", [3, 50, 10_000])
+def test_bin_costs_equal_a_fold_of_each_group(run, batch):
     got = {}
-    for r in likelihood.bin_costs(run.events).collect():
+    run.events.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    rows = likelihood.bin_costs(run.events).collect()
+    run.events.sparkSession.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for r in rows:
         got.setdefault((r["agent_id"], r["link_seq"]), {})[r["bin"]] = (r["cost"], r["trace_no"], r["hit"])
     groups = {}
     for r in run.events.collect():
