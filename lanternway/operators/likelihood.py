@@ -21,7 +21,8 @@ FEW = 8
 def in_cell_pairs(kept: DataFrame) -> DataFrame:
     """Points with the next point of the same agent in the same cell (null for the last)."""
     w = Window.partitionBy("agent_id", "cell_id").orderBy("g")
-    return kept.select("agent_id", "cell_id", "g", "x", "y", "sec", "trace_no", F.lead("x").over(w).alias("nx"), F.lead("y").over(w).alias("ny"))
+    tasks = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many as that: the pairs that follow cost more than these rows show
+    return kept.select("agent_id", "cell_id", "g", "x", "y", "sec", "trace_no").repartition(tasks, "agent_id", "cell_id").select("*", F.lead("x").over(w).alias("nx"), F.lead("y").over(w).alias("ny"))
 
 
 def candidates(kept: DataFrame, links: DataFrame) -> DataFrame:

@@ -57,9 +57,11 @@ def best_ends(asked: DataFrame, links: DataFrame, resolution: float = RESOLUTION
     if reach[0] is None:
         return asked.select("agent_id", "which", F.lit(None).cast("long").alias("link_seq"), F.lit(None).cast("double").alias("score")).limit(0)
     # who may use no link at all would be asked in every round and meet all links in the last
-    codes = [r[0] for r in links.select(F.coalesce("link_type_code", F.lit("")).alias("c")).distinct().collect()]  # kinds of links: a few
-    some = F.exists(F.array(*[F.lit(c) for c in codes]), lambda c: permitted(F.col("allowed"), F.col("blocked"), c))
-    asked = asked.where(some)
+    codes = links.select(F.coalesce("link_type_code", F.lit("")).alias("code")).distinct()
+    users = asked.select("allowed", "blocked").distinct()
+    able = saved(users.join(codes, permitted(F.col("allowed"), F.col("blocked"), F.col("code"))).select(F.col("allowed").alias("_a"), F.col("blocked").alias("_b")).distinct(), "od-able")
+    asked = asked.join(able, F.col("allowed").eqNullSafe(F.col("_a")) & F.col("blocked").eqNullSafe(F.col("_b")), "left_semi").where("p0.x is not null and p0.y is not null and p1.x is not null and p1.y is not null")
+    tasks = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # pairs cost more than the rows they come from show
     span = max(max(box[1], reach[1]) - min(box[0], reach[0]), max(box[3], reach[3]) - min(box[2], reach[2]))
     side, out, left = resolution, None, asked
     keyed = links.select(F.col("seq").alias("link_seq"), "fx", "fy", "tx", "ty", "link_distance", "link_type_code", geo.angle(*[F.col(c) for c in ("fx", "fy", "tx", "ty")]).alias("bearing"))
@@ -69,8 +71,9 @@ def best_ends(asked: DataFrame, links: DataFrame, resolution: float = RESOLUTION
         step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
         spots = left.withColumn("_k", F.explode(F.array(F.struct(F.lit(0).alias("e"), F.col("p0").alias("p")), F.struct(F.lit(1).alias("e"), F.col("p1").alias("p"))))).withColumn("_i", step).withColumn("_j", step)
         spots = spots.withColumn("e", F.col("_k.e")).withColumn("i", at(F.col("_k.p.x")) + F.col("_i")).withColumn("j", at(F.col("_k.p.y")) + F.col("_j"))
-        pairs = with_score(spots.join(homes, ["e", "i", "j"]).where(permitted(F.col("allowed"), F.col("blocked"), F.col("link_type_code")))).where("score is not null")
-        best = pairs.groupBy("agent_id", "which").agg(F.min(F.struct("score", "link_seq")).alias("b")).select("agent_id", "which", "b.link_seq", "b.score")
+        pairs = with_score(spots.join(homes.repartition(tasks, "e", "i", "j"), ["e", "i", "j"]).where(permitted(F.col("allowed"), F.col("blocked"), F.col("link_type_code"))))
+        one = F.when(F.col("score").isNotNull(), F.struct("score", "link_seq"))  # asked here, not before the join, where it would be computed twice
+        best = pairs.groupBy("agent_id", "which").agg(F.min(one).alias("b")).where("b is not null").select("agent_id", "which", "b.link_seq", "b.score")
         done = side > span
         sure = saved(best if done else best.where(F.col("score") <= side / 2), "od-found")
         out = sure if out is None else out.unionByName(sure)
