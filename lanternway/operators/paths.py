@@ -1,112 +1,181 @@
-"""Least-cost paths per agent on the static likelihood costs."""
+"""Least-cost paths per agent on the static likelihood costs.
+
+An agent's own links (in cells with its points) cost what they deviate, all others 999, or 9999.99 where the
+agent may not go. So a way over own links that costs less than 999 is the cheapest of all, and most agents need
+no more of the network than that. The rest are searched on the surroundings of their own nodes: squares of a
+grid, four times as wide in each round, until no node outside is nearer than the target. No step sends the
+network to tasks or to the driver, and all sizes take the same plan.
+"""
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanternway.functions.constants import FORBIDDEN, INACTIVE
+from lanternway.functions.constants import FORBIDDEN, INACTIVE, RESOLUTION
 from lanternway.operators.od import permitted
 from lanternway.operators.storage import saved
 
-#: Links up to which the network is sent to every task (about 12 MB); larger ones are searched as a table.
-NETWORK_LIMIT = 400_000
+#: Links around one agent that a task holds (about 40 bytes each); an agent that needs more is searched as a table.
+REGION = 1 << 22
 PATH_SCHEMA = "agent_id string, road_sequence int, link_seq long, from_node_id int, to_node_id int, label_cost double, total_cost double"
+#: `road_sequence` of the one row of an agent whose search has not ended: ask wider squares, or search it as a table.
+WIDER, TABLE = 0, -1
 
 
-class Graph:
-    """Adjacency of the network in compressed rows; nodes are numbered by id."""
-
-    def __init__(self, seq: np.ndarray, tail: np.ndarray, head: np.ndarray, code: list[str]) -> None:
-        ids = np.unique(np.concatenate([tail, head]))
-        order = np.lexsort((seq, np.searchsorted(ids, tail)))
-        tails = np.searchsorted(ids, tail)[order]
-        # plain lists: the search reads single entries
-        self.seq, self.tail, self.head = seq[order].tolist(), tails.tolist(), np.searchsorted(ids, head)[order].tolist()
-        self.first, self.ids = np.searchsorted(tails, np.arange(len(ids) + 1)).tolist(), ids.tolist()
-        self.codes, kind = np.unique(np.array(code, object).astype(str), return_inverse=True)
-        self.kind = kind[order].tolist()
-        self.at = {n: i for i, n in enumerate(self.ids)}
-
-    @staticmethod
-    def of(links: DataFrame) -> Graph:
-        rows = links.select("seq", "from_node_id", "to_node_id", "link_type_code").toPandas()
-        return Graph(*(rows[c].to_numpy(np.int64) for c in ("seq", "from_node_id", "to_node_id")), rows["link_type_code"].fillna("").tolist())
-
-    def search(self, origin: int, target: int, cost: dict[int, float], barred: list[bool]) -> list[tuple[int, float, float]]:
-        """(link place, label at its from node, total) along the least-cost path; ties to the first link.
-
-        `cost`: of the agent's own links, by `seq`; `barred`: of each of `codes`, whether its links are forbidden.
-        What is read and held grows with the nodes that are no farther than the target, not with the network.
-        """
-        o, d = self.at.get(origin), self.at.get(target)
-        if o is None or d is None:
-            return []
-        label, by, done = {o: 0.0}, {}, set()
-        first, head, seq, kind = self.first, self.head, self.seq, self.kind
-        heap = [(0.0, o)]
-        while heap:
-            at, u = heapq.heappop(heap)
-            if u in done:
-                continue
-            if u == d:
-                break
-            done.add(u)
-            for e in range(first[u], first[u + 1]):
-                v = head[e]
-                if v in done:
-                    continue
-                new, old = at + (FORBIDDEN if barred[kind[e]] else cost.get(seq[e], INACTIVE)), label.get(v)
-                if old is None or new < old or (new == old and seq[e] < seq[by[v]]):
-                    label[v], by[v] = new, e
-                    heapq.heappush(heap, (new, v))
-        if d not in label:
-            return []
-        out, v = [], d
-        while v != o:
-            e = by[v]
-            out.append((e, label[self.tail[e]], label[d]))
-            v = self.tail[e]
-        return out[::-1]
-
-
-def shortest_paths(ends: DataFrame, costs: DataFrame, links: DataFrame, limit: int = NETWORK_LIMIT) -> DataFrame:
-    """One row per link of each agent's path, with the label at the link's from node.
+def least_path(origin: int, target: int, seq: np.ndarray, tail: np.ndarray, head: np.ndarray, price: np.ndarray, inside: np.ndarray, limit: float = math.inf) -> list[tuple[int, float, float]] | None:
+    """(place of the link, label at its from node, total) along the least-cost path, [] without one; ties to the first link.
 
-    `ends`: ``agent_id, o_node_id, d_node_id, allowed, blocked``. `costs`: ``agent_id, link_seq, cost``;
-    any other link costs 999, and a link of a type the agent may not use costs 9999.99. Agents without
-    both ends, or without a way, have no rows. Agents are searched independently, one group each; the
-    network goes to all tasks if it has at most `limit` links (counted first), else
-    `relaxed_paths` searches it as a table.
+    `inside`: whether a link's to node has all its links here. None: the search has met a node that has not, or
+    a label of `limit`, before the target.
     """
-    if links.count() > limit:
-        return relaxed_paths(ends, costs, links)
-    graph = links.sparkSession.sparkContext.broadcast(Graph.of(links))
-    asked = ends.where("o_node_id is not null and d_node_id is not null").select("agent_id", "o_node_id", "d_node_id", F.coalesce("allowed", F.lit("")).alias("allowed"), F.coalesce("blocked", F.lit("")).alias("blocked"))
-    held = costs.groupBy("agent_id").agg(F.collect_list(F.struct("link_seq", "cost")).alias("costs"))
-    rows = asked.join(held, "agent_id", "left")
-
-    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g: Graph = graph.value
-        types = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
-        for batch in batches:
-            out = []
-            agents, origins, targets, allowed, blocked = (batch.column(c).to_pylist() for c in range(5))
-            for i, agent in enumerate(agents):
-                own = batch.column(5)[i].values
-                price = {} if own is None else dict(zip(own.field(0).to_pylist(), own.field(1).to_pylist(), strict=True))
-                barred = [bool(c and ((allowed[i] and c not in allowed[i]) or (blocked[i] and c in blocked[i]))) for c in g.codes.tolist()]
-                for n, (e, label, total) in enumerate(g.search(origins[i], targets[i], price, barred)):
-                    out.append((agent, n + 1, g.seq[e], g.ids[g.tail[e]], g.ids[g.head[e]], label, total))
+    ids = np.unique(np.concatenate([tail, head, [origin, target]]))
+    order = np.lexsort((seq, np.searchsorted(ids, tail)))
+    tails, heads = np.searchsorted(ids, tail)[order], np.searchsorted(ids, head)[order]
+    first = np.searchsorted(tails, np.arange(len(ids) + 1))
+    known = np.ones(len(ids), bool)
+    known[heads[~inside[order]]] = False
+    seq, price = seq[order], price[order]
+    o, d = (int(np.searchsorted(ids, x)) for x in (origin, target))
+    label, by, done, heap = {o: 0.0}, {}, set(), [(0.0, o)]
+    while heap:
+        at, u = heapq.heappop(heap)
+        if u in done:
+            continue
+        if at >= limit:
+            return None
+        if u == d:
+            break
+        if not known[u]:
+            return None
+        done.add(u)
+        a, z = first[u], first[u + 1]
+        for e, v, w in zip(range(a, z), heads[a:z].tolist(), price[a:z].tolist(), strict=True):
+            if v in done:
+                continue
+            new, old = at + w, label.get(v)
+            if old is None or new < old or (new == old and seq[e] < seq[by[v]]):
+                label[v], by[v] = new, e
+                heapq.heappush(heap, (new, v))
+    if d not in label:
+        return None if limit < math.inf else []
+    out, v = [], d
+    while v != o:
+        e = by[v]
+        v = int(tails[e])
+        out.append((int(order[e]), label[v], label[d]))
+    return out[::-1]
+
+
+def searched(rows: DataFrame, limit: float, most: int) -> DataFrame:
+    """Paths, or a row that says what to do next, of every agent in `rows` (``agent_id, kind, a, b, c, i, j, price``).
+
+    Kind 0: origin a and target b. Kind 1: a square (i, j) whose links are all here. Kind 2: link a from node b
+    to node c, which lies in square (i, j). Agents come as a sorted stream.
+    """
+    names = [c.split()[0] for c in PATH_SCHEMA.split(", ")]
+    types = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
+
+    def answer(agent: str, held: list[pa.RecordBatch], count: int) -> list[tuple]:
+        if count > most:
+            return [(agent, TABLE, None, None, None, None, None)]
+        table = pa.Table.from_batches(held).combine_chunks()
+        kind = table.column("kind").to_numpy()
+        part = lambda k, *columns: [pc.fill_null(table.column(c), 0).to_numpy()[kind == k] for c in columns]
+        origin, target = (int(x[0]) for x in part(0, "a", "b"))
+        seq, tail, head, i, j = part(2, "a", "b", "c", "i", "j")
+        squares = np.unique(np.stack(part(1, "i", "j"), 1), axis=0)
+        inside = np.ones(len(seq), bool)
+        if limit == math.inf and len(seq):
+            spot, at = np.unique(np.stack([i, j], 1), axis=0, return_inverse=True)
+            here = set(map(tuple, squares.tolist()))
+            inside = np.array([tuple(x) in here for x in spot.tolist()])[at.ravel()]
+        found = least_path(origin, target, seq, tail, head, part(2, "price")[0], inside, limit)
+        if found is None:
+            return [(agent, WIDER, None, None, None, None, None)]
+        return [(agent, n + 1, int(seq[e]), int(tail[e]), int(head[e]), label, total) for n, (e, label, total) in enumerate(found)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        agent, held, count, out = None, [], 0, []
+
+        def made() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True)) if out else [()] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [c.split()[0] for c in PATH_SCHEMA.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            who = batch.column(0)
+            ends = [0, *(np.flatnonzero(pc.not_equal(who[1:], who[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
+            for a, z in zip(ends, ends[1:], strict=False):
+                now = who[a].as_py()
+                if now != agent:
+                    if agent is not None:
+                        out += answer(agent, held, count)
+                    agent, held, count = now, [], 0
+                count += z - a
+                if count <= most:
+                    held.append(batch.slice(a, z - a))
+            if len(out) > 10_000:
+                yield made()
+                out.clear()
+        if agent is not None:
+            out += answer(agent, held, count)
+        yield made()
+
+    return rows.repartition("agent_id").sortWithinPartitions("agent_id", "kind", "a").mapInArrow(run, PATH_SCHEMA)
+
+
+def _row(df: DataFrame, kind: int, **given: Column) -> DataFrame:
+    value = {c: given.get(c, F.lit(None)) for c in ("a", "b", "c", "i", "j", "price")}
+    return df.select("agent_id", F.lit(kind).alias("kind"), *[v.cast("double" if c == "price" else "long").alias(c) for c, v in value.items()])
+
+
+def shortest_paths(ends: DataFrame, costs: DataFrame, links: DataFrame, limit: int = REGION, resolution: float = RESOLUTION) -> DataFrame:
+    """One row per link of each agent's path, with the label at the link's from node.
 
-    return rows.mapInArrow(search, PATH_SCHEMA)
+    `ends`: ``agent_id, o_node_id, d_node_id, allowed, blocked``. `costs`: ``agent_id, link_seq, cost``. Agents
+    without both ends, or without a way, have no rows. `limit`: rows that a task holds for one agent; an agent
+    that needs more is searched by `relaxed_paths`. A round is one table, the next one has squares four times
+    as wide; a search that ends without meeting an edge of its squares is final, with or without a way.
+    """
+    c = F.col
+    asked = ends.where("o_node_id is not null and d_node_id is not null and o_node_id <> d_node_id").select("agent_id", "o_node_id", "d_node_id", "allowed", "blocked")
+    arcs = links.select(c("seq").alias("link_seq"), "from_node_id", "to_node_id", "link_type_code", "fx", "fy", "tx", "ty")
+    fine = permitted(c("allowed"), c("blocked"), c("link_type_code"))
+    own = saved(costs.select("agent_id", "link_seq", "cost").join(asked.select("agent_id", "allowed", "blocked"), "agent_id").join(arcs, "link_seq"), "own-links")
+    link = {"a": c("link_seq"), "b": c("from_node_id"), "c": c("to_node_id")}
+    header = _row(asked, 0, a=c("o_node_id"), b=c("d_node_id"))
+    found = saved(searched(header.unionByName(_row(own, 2, **link, price=F.when(fine, c("cost")).otherwise(FORBIDDEN))), INACTIVE, limit), "own-paths")
+    out, large = found.where("road_sequence > 0"), found.where(c("road_sequence") == TABLE).select("agent_id")
+    left = found.where(c("road_sequence") == WIDER).select("agent_id")
+    # nodes around which squares lie: all that own links touch, and both ends
+    node = arcs.select(c("from_node_id").alias("n"), c("fx").alias("x"), c("fy").alias("y")).unionByName(arcs.select(c("to_node_id").alias("n"), c("tx").alias("x"), c("ty").alias("y"))).dropDuplicates(["n"])
+    both = asked.select("agent_id", F.explode(F.array("o_node_id", "d_node_id")).alias("n")).join(node, "n").select("agent_id", "x", "y")
+    touched = own.select("agent_id", F.explode(F.array(F.struct(c("fx").alias("x"), c("fy").alias("y")), F.struct(c("tx").alias("x"), c("ty").alias("y")))).alias("p")).select("agent_id", "p.x", "p.y")
+    seeds, side = both.unionByName(touched), resolution
+    while not left.isEmpty():
+        at = lambda v, s=side: F.floor(v / F.lit(s)).cast("long")
+        near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+        spots = seeds.join(left, "agent_id", "left_semi").select("agent_id", at(c("x")).alias("x"), at(c("y")).alias("y")).distinct().withColumn("_i", near).withColumn("_j", near)
+        squares = saved(spots.select("agent_id", (c("x") + c("_i")).alias("i"), (c("y") + c("_j")).alias("j")).distinct(), "squares")
+        placed = arcs.withColumn("i", at(c("fx"))).withColumn("j", at(c("fy")))
+        around = squares.join(placed, ["i", "j"]).join(asked.select("agent_id", "allowed", "blocked"), "agent_id").join(own.select("agent_id", "link_seq", "cost"), ["agent_id", "link_seq"], "left")
+        around = _row(around.withColumn("price", F.when(fine, F.coalesce("cost", F.lit(INACTIVE))).otherwise(FORBIDDEN)), 2, **link, i=at(c("tx")), j=at(c("ty")), price=c("price"))
+        rows = header.join(left, "agent_id", "left_semi").unionByName(_row(squares, 1, i=c("i"), j=c("j"))).unionByName(around)
+        found = saved(searched(rows, math.inf, limit), "wider-paths")
+        out, large = out.unionByName(found.where("road_sequence > 0")), large.unionByName(found.where(c("road_sequence") == TABLE).select("agent_id"))
+        left, side = found.where(c("road_sequence") == WIDER).select("agent_id"), side * 4
+    if large.isEmpty():
+        return out
+    return out.unionByName(relaxed_paths(ends.join(large, "agent_id", "left_semi"), costs, links))
 
 
 def priced_links(ends: DataFrame, costs: DataFrame, links: DataFrame) -> DataFrame:
@@ -151,18 +220,27 @@ def relaxed_labels(ends: DataFrame, costs: DataFrame, links: DataFrame) -> DataF
 
 
 def relaxed_paths(ends: DataFrame, costs: DataFrame, links: DataFrame) -> DataFrame:
-    """The same rows as `shortest_paths`, from relaxed labels, followed back one link a round."""
+    """The same rows as `shortest_paths`, from relaxed labels; paths are followed back by pointer doubling.
+
+    Table k leads from a node 2**k links back. Once the longest ways are covered, the tables are applied from the
+    last to the first, each to all nodes found so far: so a path of n links takes 2 log2(n) tables, not n.
+    """
     labels = relaxed_labels(ends, costs, links)
     arcs = links.select(F.col("seq").alias("link_seq"), "from_node_id", "to_node_id")
-    goal = ends.select("agent_id", F.col("d_node_id").cast("int").alias("node_id"), F.col("o_node_id").cast("int").alias("o")).join(labels.select("agent_id", "node_id", F.col("label").alias("total_cost")), ["agent_id", "node_id"])
-    at, out, back = saved(goal.where("node_id <> o"), "goals"), None, 0
-    while not at.isEmpty():
-        step = at.join(labels.select("agent_id", "node_id", "link_seq"), ["agent_id", "node_id"]).join(arcs, "link_seq")
-        rows = saved(step.select("agent_id", F.lit(back).alias("back"), "link_seq", "from_node_id", "to_node_id", "o", "total_cost"), "steps")
-        out = rows if out is None else out.unionByName(rows)
-        at, back = saved(rows.where("from_node_id <> o").select("agent_id", F.col("from_node_id").alias("node_id"), "o", "total_cost"), "goals"), back + 1
-    if out is None:
-        return ends.sparkSession.createDataFrame([], PATH_SCHEMA)
+    goal = ends.select("agent_id", F.col("d_node_id").cast("int").alias("node_id"), F.col("o_node_id").cast("int").alias("o")).where("node_id <> o").join(labels.select("agent_id", "node_id", F.col("label").alias("total_cost")), ["agent_id", "node_id"])
+    last = saved(labels.where("link_seq is not null").join(arcs, "link_seq").join(goal.select("agent_id", "o"), "agent_id").where("node_id <> o").select("agent_id", "node_id", "link_seq", "from_node_id", "to_node_id"), "last-links")
+    back = [last.select("agent_id", "node_id", F.col("from_node_id").alias("before"))]
+    while True:
+        half = back[-1]
+        step = saved(half.join(half.select("agent_id", F.col("node_id").alias("before"), F.col("before").alias("further")), ["agent_id", "before"]).select("agent_id", "node_id", F.col("further").alias("before")), "doubled")
+        if step.isEmpty():
+            break
+        back.append(step)
+    way = goal.select("agent_id", "node_id", F.lit(0).cast("long").alias("back"))
+    for k in range(len(back) - 1, -1, -1):
+        more = way.join(back[k], ["agent_id", "node_id"]).select("agent_id", F.col("before").alias("node_id"), (F.col("back") + (1 << k)).alias("back"))
+        way = saved(way.unionByName(more), "way")
+    steps = way.join(last, ["agent_id", "node_id"])
     place = F.row_number().over(Window.partitionBy("agent_id").orderBy(F.desc("back")))
     before = labels.select("agent_id", F.col("node_id").alias("from_node_id"), F.col("label").alias("label_cost"))
-    return out.withColumn("road_sequence", place).join(before, ["agent_id", "from_node_id"]).select("agent_id", "road_sequence", "link_seq", "from_node_id", "to_node_id", "label_cost", "total_cost")
+    return steps.withColumn("road_sequence", place).join(before, ["agent_id", "from_node_id"]).join(goal.select("agent_id", "total_cost"), "agent_id").select("agent_id", "road_sequence", "link_seq", "from_node_id", "to_node_id", "label_cost", "total_cost")

@@ -233,17 +233,16 @@ def trips_of(batches: Iterable[pa.RecordBatch]) -> Iterator[Trip]:
 
     def made() -> Trip | None:
         rows = pa.Table.from_batches(held).combine_chunks()
-        value = {c: rows.column(c).to_numpy() for c in rows.column_names[1:]}
+        value = {c: pc.fill_null(rows.column(c), 0).to_numpy() for c in rows.column_names[1:]}
         kind = value["kind"]
         part = lambda k, *names: [value[c][kind == k] for c in names]
         head = part(0, "link_seq", "bin", "a", "b", "c")
         if not len(head[0]):
             return None
-        whole = lambda x: x.astype(np.int64)
         seq, tail, to, fft = part(1, "link_seq", "a", "b", "cost")
         at, bin_, cost = part(2, "link_seq", "bin", "cost")
-        day = dict(zip(*(whole(x).tolist() for x in part(3, "bin", "a")), strict=True))
-        return Trip(rows.column(0)[0].as_py(), *(int(x[0]) for x in head), whole(seq), whole(tail), whole(to), fft, (whole(at), whole(bin_), cost), day)
+        waits = dict(zip(*(x.tolist() for x in part(3, "bin", "a")), strict=True))
+        return Trip(rows.column(0)[0].as_py(), *(int(x[0]) for x in head), seq, tail, to, fft, (at, bin_, cost), waits)
 
     for batch in batches:
         if not batch.num_rows:

@@ -15,7 +15,7 @@ from lanternway.operators.storage import run_folder
 from lanternway.plans import fixtures, oracle
 from lanternway.plans.map_match import Matching
 from lanternway.plans.oracle import B, R, d, sql
-from lanternway.sources import gpx, network, tables, traces
+from lanternway.sources import gpx, network, pages, tables, traces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -135,6 +135,21 @@ register("s07_number_or_zero", lambda m: m.raw_links.select(F.col("seq").alias("
 register("s14_first_segments", lambda m: gpx.first_segments(gpx_tracks(m)).select(F.col("agent_id").cast("long").alias("agent_id"), F.col("trace_point_no").cast("long").alias("trace_point_no"), r6("x_coord", "x_coord"), "hh", "mm", "ss"), sql(f"select user as agent_id, nth as trace_point_no, round(x,6) as x_coord, printf('%02d', sec//3600) as hh, printf('%02d', sec%3600//60) as mm, printf('%02d', sec%60) as ss from ({_USER}) where nth < 30", "pts"))
 register("s16_track_points", lambda m: gpx.track_points(gpx_tracks(m)).select("agent_id", "trace_no", r6("lon", "lon"), r6("lat", "lat")), sql(f"select n.number as agent_id, row_number() over (order by u.seq)-1 as trace_no, round(x,6) as lon, round(y,6) as lat from ({_USER}) u join (select user%7 as url, row_number() over (order by min(user))-1 as number from ({_USER}) group by user%7) n on n.url = u.user%7", "pts"))
 
+
+
+def paged_points(m: Matching, page: int = 500) -> DataFrame:
+    """The kept points as a paged service has them, read back; a user's 31st point has no time."""
+    boxes = gpx.boxes(m.box[0], m.box[2], m.box[1], m.box[3])
+    when = F.when(F.col("trace_no") != 30, F.col("sec").cast("string"))
+    path = f"{run_folder(m.kept.sparkSession)}/pages-{uuid.uuid4().hex}"
+    pages.write_pages(m.kept.select(pages.box_of(F.col("x"), F.col("y"), boxes).alias("box"), F.col("agent_id").alias("track"), F.col("seq").alias("place"), F.col("x").alias("lon"), F.col("y").alias("lat"), when.alias("time")), path, page)
+    return pages.timed_tracks(pages.read_pages(m.kept.sparkSession, path, len(boxes)))
+
+
+_SIDE = lambda v, low, high: f"cast(greatest(0, least(greatest(1, ceil(({high}-{low})/0.49::double))-1, floor(({v}-{low})/(({high}-{low})/greatest(1, ceil(({high}-{low})/0.49::double)))))) as bigint)"
+register("s13_paged_points", lambda m: paged_points(m).select("agent_id", F.col("place").alias("seq"), "time", r6("lon", "lon"), r6("lat", "lat")), sql(f"""select agent_id, cast(seq as bigint) as seq, cast(sec as varchar) as time, round(x,6) as lon, round(y,6) as lat
+  from (select *, count(case when trace_no = 30 then 1 end) over (partition by agent_id, i, j order by seq) as gone from (select k.*, {_SIDE('x', 'lft', 'rgt')} as i, {_SIDE('y', 'bot', 'top')} as j from kept k cross join box)) where gone = 0""", "box"))
+
 # ---------------------------------------------------------------- grid
 register("a01_bounding_box", lambda m: grid.bounding_box(m.nodes), sql("select lft as \"left\", rgt as \"right\", bot as bottom, top from box", "box"))
 register("a02_grid_size", lambda m: grid.grid_size(m.nodes), sql(f"select cast(trunc(greatest((rgt-lft)/{R}+2,(top-bot)/{R}+2)) as integer) as grid_size from box", "box"))

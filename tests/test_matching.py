@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from lanternway.functions.constants import FORBIDDEN, INACTIVE, RESOLUTION, UNREACHABLE
 from lanternway.operators import likelihood, outputs, paths, tdpaths, trace
+from lanternway.operators.storage import saved
 from lanternway.plans import fixtures
 from lanternway.plans.map_match import Matching, map_match
 from lanternway.sources import gpx, network, tables, traces
@@ -58,6 +59,77 @@ def test_relaxation_equals_grouped_search(run):
     assert {r["agent_id"] for r in b if r["road_sequence"] == 1 and r["label_cost"] == 0.0} == {r[0] for r in a}
 
 
+def brute_paths(ends, costs, links):
+    """(agent, place, link, label, total) by a search of the whole network; ties to the first link."""
+    out = []
+    for agent, o, d, allowed, blocked in ends:
+        price = {}
+        for k, (a, b, code) in links.items():
+            barred = (allowed and code not in allowed) or (blocked and code in blocked)
+            price[k] = FORBIDDEN if barred else costs.get((agent, k), INACTIVE)
+        label, by, heap, done = {o: 0.0}, {}, [(0.0, o)], set()
+        while heap:
+            at, u = heapq.heappop(heap)
+            if u in done:
+                continue
+            done.add(u)
+            for k, (a, b, _) in links.items():
+                if a == u and b not in done and (at + price[k], k) < (label.get(b, 1e18), by.get(b, -1)):
+                    label[b], by[b] = at + price[k], k
+                    heapq.heappush(heap, (label[b], b))
+        way, v = [], d
+        while v != o and v in by:
+            way.append(by[v])
+            v = links[by[v]][0]
+        if v == o:
+            out += [(agent, n + 1, k, label[links[k][0]], label[d]) for n, k in enumerate(way[::-1])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_growing_squares_find_what_the_whole_network_gives(spark, seed):
+    """Ends far apart, own links in islands, barred types, dead ends, no way at all."""
+    rng = random.Random(seed)
+    spot = {n: ((n % 15) * 0.004, (n // 15) * 0.004) for n in range(225)}
+    links = {}
+    for n in spot:
+        for m in (n + 1, n - 1, n + 15, n - 15):
+            if m in spot and abs(m % 15 - n % 15) <= 1 and rng.random() < 0.8 and n != 0:
+                links[len(links)] = (n, m, rng.choice("aab"))
+    links[len(links)] = (3, 221, "a")  # a long one
+    ends = [(f"u{i}", rng.randrange(225), rng.randrange(225), *rng.choice([(None, None), ("a", None), (None, "b"), ("ab", "")])) for i in range(14)] + [("none", 0, 5, None, None), ("same", 4, 4, None, None)]
+    costs = {(a, k): rng.choice([0.0, 0.001, rng.random() / 100]) for a, *_ in ends for k in rng.sample(sorted(links), 60)}
+    frame = spark.createDataFrame([(k, a, b, c, *spot[a], *spot[b]) for k, (a, b, c) in links.items()], "seq long, from_node_id int, to_node_id int, link_type_code string, fx double, fy double, tx double, ty double")
+    asked = spark.createDataFrame(ends, "agent_id string, o_node_id int, d_node_id int, allowed string, blocked string")
+    priced = spark.createDataFrame([(a, k, c) for (a, k), c in costs.items()], "agent_id string, link_seq long, cost double")
+    found = paths.shortest_paths(asked, priced, frame)
+    want = brute_paths(ends, costs, links)
+    got = sorted((r["agent_id"], r["road_sequence"], r["link_seq"], r["label_cost"], r["total_cost"]) for r in found.collect())
+    assert got == want and max(r[4] for r in want) > 3 * INACTIVE
+
+
+def test_paths_are_followed_back_in_few_tables(spark, monkeypatch):
+    """A chain of 100 links: 2 log2(100) + 10 tables at most after the labels."""
+    n = 100
+    frame = spark.createDataFrame([(k, k, k + 1, "a", 0.0, 0.0, 0.0, 0.0) for k in range(n)], "seq long, from_node_id int, to_node_id int, link_type_code string, fx double, fy double, tx double, ty double")
+    ends = spark.createDataFrame([("u", 0, n, None, None)], "agent_id string, o_node_id int, d_node_id int, allowed string, blocked string")
+    labels = spark.createDataFrame([("u", k, 999.0 * k, k - 1 if k else None) for k in range(n + 1)], "agent_id string, node_id int, label double, link_seq long")
+    made = []
+    monkeypatch.setattr(paths, "saved", lambda df, label, *a: made.append(label) or saved(df, label, *a))
+    monkeypatch.setattr(paths, "relaxed_labels", lambda *a: labels)
+    got = [tuple(r)[1:4] for r in paths.relaxed_paths(ends, None, frame).orderBy("road_sequence").collect()]
+    assert got == [(k + 1, k, k) for k in range(n)] and len(made) <= 2 * np.log2(n) + 10
+
+
+def test_traces_meet_most_of_the_lattice(spark):
+    """Rows of the lattice that points come near: most, at every size."""
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        nodes, _, points = fixtures.tables(spark, f"/root/testdata/{sf}")
+        row = lambda c: F.floor((F.col(c) - 33.4) / 0.004 + 0.5)
+        met = points.where("trace_id % 97 <> 0").select(row("y_coord")).distinct().count()
+        assert met > nodes.select(row("y_coord")).distinct().count() / 2
+
+
 def test_unreachable_and_same_node(spark, run):
     ends = spark.createDataFrame([("a", 0, 999, None, None), ("b", 5, 5, None, None), ("c", None, 3, None, None)], "agent_id string, o_node_id int, d_node_id int, allowed string, blocked string")
     assert paths.shortest_paths(ends, run.costs, run.links).collect() == []
@@ -295,6 +367,24 @@ def test_gpx(spark, tmp_path):
     assert plan.columns[-2:] == ["miles", "speed_mph"]
 
 
+def test_pages_are_read_until_an_empty_one(spark, tmp_path):
+    from lanternway.sources import pages
+
+    boxes = gpx.boxes(0.0, 0.0, 0.9, 0.6)
+    rows = [(f"t{i % 3}", i, (i % 10) / 10, (i % 7) / 10, None if i in (31, 40) else str(i)) for i in range(120)]
+    frame = spark.createDataFrame(rows, "track string, place long, lon double, lat double, time string").withColumn("box", pages.box_of(F.col("lon"), F.col("lat"), boxes))
+    path = f"file://{tmp_path}/pages"
+    pages.write_pages(frame, path, 10)
+    (tmp_path / "pages" / "box=0" / "page=99").mkdir()  # behind a gap: never asked for
+    got = pages.read_pages(spark, path, len(boxes))
+    assert got.rdd.getNumPartitions() == len(boxes) == 4 and pages.read_pages(spark, f"{path}-none", 2).count() == 0
+    assert sorted(r["place"] for r in got.collect()) == list(range(120)) and max(r["n"] for r in got.groupBy("box", "page").agg(F.count("*").alias("n")).collect()) == 10
+    where = {i: min(1, int(x / 0.45)) * 2 + min(1, int(y / 0.3)) for _, i, x, y, _ in rows}
+    cut = {(where[i], t): i for t, i, *_, time in reversed(rows) if time is None}
+    want = [i for t, i, *_ in rows if i < cut.get((where[i], t), 999)]
+    assert sorted(r["place"] for r in pages.timed_tracks(got).collect()) == want and len(want) < 120
+
+
 def test_numbers_over_blocks(spark):
     from lanternway.sources.gpx import numbered
 
