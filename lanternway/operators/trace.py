@@ -7,13 +7,33 @@ from pyspark.sql import functions as F
 
 from lanternway.functions import geo, timefn
 from lanternway.functions.constants import RESOLUTION, TIME_BIN
+from lanternway.operators.storage import saved
 
 
 def in_network(points: DataFrame, nodes: DataFrame, resolution: float = RESOLUTION) -> DataFrame:
-    """Points whose cell holds a node, with ``cell_id`` and their number ``g`` in the agent's trace."""
+    """Points whose cell holds a node, with ``cell_id``, and as `sequenced` their place in the agent's trace."""
     placed = points.withColumn("cell_id", geo.cell_id(F.col("x"), F.col("y"), resolution))
     kept = placed.join(nodes.select("cell_id").distinct(), "cell_id", "left_semi")
-    return kept.withColumn("g", F.row_number().over(Window.partitionBy("agent_id").orderBy("seq")) - 1)
+    return sequenced(kept)
+
+
+def sequenced(points: DataFrame) -> DataFrame:
+    """Points with their number ``g`` in the agent's trace, the point ``before`` (x, y, sec) and the first point's ``start_sec``.
+
+    A scan in two levels, so that no task sees a whole agent: a range partitioning cuts the order of (agent, seq)
+    into stretches of about one size, whoever they belong to. What an agent has in a stretch is a piece; its
+    points number themselves by their place behind the piece's first. The pieces, one row each, are scanned per
+    agent for what lies before: their points, their last point, the agent's first.
+    """
+    laid = points.repartitionByRange("agent_id", "seq").sortWithinPartitions("agent_id", "seq").withColumn("_at", F.monotonically_increasing_id())
+    laid = saved(laid, "laid-out").withColumn("_stretch", F.shiftright("_at", 33))  # saved: places must not change between the two readings
+    spot = F.struct("x", "y", "sec")
+    pieces = laid.groupBy("agent_id", "_stretch").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"), F.max_by(spot, "_at").alias("_end"), F.min_by("sec", "_at").alias("_begin"))
+    along = Window.partitionBy("agent_id").orderBy("_stretch")  # at most one row a stretch
+    carried = pieces.select("agent_id", "_stretch", "_first", (F.sum("_n").over(along) - F.col("_n")).alias("_base"), F.lag("_end").over(along).alias("_carry"), F.first("_begin").over(along).alias("start_sec"))
+    inside = Window.partitionBy("agent_id", "_stretch").orderBy("_at")
+    rows = laid.join(carried, ["agent_id", "_stretch"]).withColumn("before", F.coalesce(F.lag(spot).over(inside), F.col("_carry")))
+    return rows.select(*points.columns, (F.col("_base") + F.col("_at") - F.col("_first")).cast("int").alias("g"), "before", "start_sec")
 
 
 def given(points: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -43,10 +63,8 @@ def time_range(kept: DataFrame) -> DataFrame:
 
 def deltas(kept: DataFrame) -> DataFrame:
     """Interval, relative time, metres and speeds since the point before; first points have no interval."""
-    w = Window.partitionBy("agent_id").orderBy("g")
-    start = F.first("sec").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    metres = geo.haversine(F.lag("x").over(w), F.lag("y").over(w), F.col("x"), F.col("y"))
-    rows = kept.withColumn("interval_s", F.col("sec") - F.lag("sec").over(w)).withColumn("relative_s", F.when(F.col("interval_s").isNotNull(), F.col("sec") - start)).withColumn("metres", metres)
+    metres = geo.haversine(F.col("before.x"), F.col("before.y"), F.col("x"), F.col("y"))
+    rows = kept.withColumn("interval_s", F.col("sec") - F.col("before.sec")).withColumn("relative_s", F.when(F.col("interval_s").isNotNull(), F.col("sec") - F.col("start_sec"))).withColumn("metres", metres)
     return rows.withColumn("kmph", timefn.kmph(F.col("metres"), F.col("interval_s"))).withColumn("mph", timefn.mph(F.col("kmph")))
 
 
@@ -58,18 +76,16 @@ def sampling(kept: DataFrame) -> DataFrame:
 
 def dwells(kept: DataFrame, ratio: float = 5.0) -> DataFrame:
     """``agent_id, bin, dwell_bins``: intervals over `ratio` times the sampling, at the point before; last wins."""
-    w = Window.partitionBy("agent_id").orderBy("g")
-    rows = kept.withColumn("before", F.lag("sec").over(w)).join(sampling(kept), "agent_id").join(F.broadcast(time_range(kept)))
-    gap = F.col("sec") - F.col("before")
+    rows = kept.join(sampling(kept), "agent_id").join(F.broadcast(time_range(kept)))
+    gap = F.col("sec") - F.col("before.sec")
     long_ = rows.where(gap > F.col("sampling_min") * 60 * ratio)
-    bin_ = timefn.time_bin(F.col("before") / 60, F.col("t0"), F.col("bins"))
+    bin_ = timefn.time_bin(F.col("before.sec") / 60, F.col("t0"), F.col("bins"))
     return long_.select("agent_id", bin_.alias("bin"), (gap / 60 / F.lit(TIME_BIN)).cast("int").alias("dwell_bins"), "g").groupBy("agent_id", "bin").agg(F.max_by("dwell_bins", "g").alias("dwell_bins"))
 
 
 def segments(kept: DataFrame) -> DataFrame:
     """Planar length of the first, the last and all segments, and the mean, per agent."""
-    w = Window.partitionBy("agent_id").orderBy("g")
-    length = geo.planar(F.col("x"), F.col("y"), F.lead("x").over(w), F.lead("y").over(w))
+    length = geo.planar(F.col("before.x"), F.col("before.y"), F.col("x"), F.col("y"))
     per = kept.withColumn("d", length).groupBy("agent_id").agg(
         F.coalesce(F.min_by("d", F.when(F.col("d").isNotNull(), F.col("g"))), F.lit(0.0)).alias("first_length"), F.coalesce(F.max_by("d", F.when(F.col("d").isNotNull(), F.col("g"))), F.lit(0.0)).alias("last_length"),
         F.coalesce(F.sum("d"), F.lit(0.0)).alias("total_length"), F.count("*").alias("n"),

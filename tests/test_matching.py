@@ -255,6 +255,27 @@ def test_a_hot_user_keeps_its_points_and_their_order(spark, tmp_path):
     assert rows == [("u1", i) for i in range(2400)] + [("u2", i) for i in range(100)]
 
 
+def test_a_hot_agent_is_scanned_in_pieces(spark):
+    """Two thirds of all points belong to one agent: its places and points before go over the edges of stretches."""
+    rows = [("hot" if i % 3 else f"u{i % 7}", i * 5, i / 1e4, (i * 37 % 11) / 1e4, 60 * i) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "agent_id string, seq long, x double, y double, sec int").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    found = trace.sequenced(frame)
+    got = found.collect()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for agent, seq, x, y, sec in rows:
+        own = want.setdefault(agent, [])
+        own.append((seq, len(own), own[-1][3] if own else None, (x, y, sec)))
+    assert sorted((r["agent_id"], r["seq"], r["g"], r["before"] and tuple(r["before"]), r["start_sec"]) for r in got) == sorted((a, seq, g, b, own[0][3][2]) for a, own in want.items() for seq, g, b, _ in own)
+    windows = [line for line in plan.splitlines() if " Window [" in line or line.startswith("Window [")]
+    assert len(windows) == 2 and sum("_stretch" in line.split("], [")[1] for line in windows) == 1  # the other one is over pieces
+    length = {r["agent_id"]: r["total_length"] for r in trace.segments(found).collect()}
+    plain = {a: sum(((p[3][0] - q[3][0]) ** 2 + (p[3][1] - q[3][1]) ** 2) ** 0.5 for p, q in zip(own, own[1:], strict=False)) for a, own in want.items()}
+    assert length == pytest.approx(plain)
+
+
 def test_network_has_every_part_and_steps_find_a_link(spark, run):
     from lanternway.plans import queries
 
