@@ -20,7 +20,7 @@ they stand. Windows are dealt to shards by the hash of their anchor; no match cr
 
 Order is by document id, then start. Defined results: null text is empty (no bytes, no spans); texts
 under 100 bytes keep all; null ids come first. Rows that share an id stand at the same place in the
-order, so they are no repeats of each other. An empty table gives no rows. Other columns are not read.
+order, so they are no repeats of each other; a number written with each row tells them apart. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ TASK_BYTES, PART_BYTES = 64 << 20, 8 << 20
 HOT, PLACES = 4096, 12
 RECORD = np.dtype([("h", "<u8"), ("doc", "<i8"), ("tid", "<i8"), ("start", "<i4"), ("n", "<i4")])
 #: What travels of a context (of `h` the upper half), and of a range that is known to repeat.
-SENT = ({"h": "<u4", "doc": "<i8", "tid": "<i4", "start": "<i4", "n": "u1"}, {"doc": "<i8", "tid": "<i4", "start": "<i4", "n": "<i4"})
+SENT = ({"h": "<u4", "doc": "<i8", "tid": "<i8", "start": "<i4", "n": "u1"}, {"doc": "<i8", "tid": "<i8", "start": "<i4", "n": "<i4"})
 _FIRST = -(2**63)
 
 
@@ -546,10 +546,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: ``doc_id, n_bytes, spans`` (removed byte ranges) ``, kept`` (the bytes that stay)."""
     rows = pick(docs, doc_id=id_col, text=text_col)
-    keyed = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc"), "text", F.hash("text").cast("long").alias("tid"), "doc_id")
+    # a number tells rows of one id apart; it is written with them, so that every reading gives a row the same one
+    keyed = written(rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc"), "text", F.monotonically_increasing_id().alias("tid"), "doc_id"), "numbered-rows")
     found = repeats(keyed.select("doc", "text", "tid"))
-    per = found.groupBy("doc", "tid").agg(F.collect_list(F.struct("start", "end")).alias("hits"))
-    joined = keyed.join(per, ["doc", "tid"], "left").select("doc_id", "text", "hits")
+    per = found.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("hits"))
+    joined = keyed.join(per, "tid", "left").select("doc_id", "text", "hits")
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

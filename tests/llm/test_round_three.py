@@ -13,7 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from lanternway.llm import byte_merge, queries, resampling, vector_codes
+from lanternway.llm import byte_merge, queries, repeats, resampling, vector_codes
 from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
@@ -166,6 +166,33 @@ def test_a_megabyte_in_one_piece_ends_within_a_minute(text):
     assert time.time() - began < 60
 
 
+# --- rows of one id, in the removal of repeats
+
+
+def test_rows_of_one_id_are_told_apart_by_more_than_a_hash(spark):
+    """1,000 rows without an id, and two texts of one 32-bit hash in rows of one id, against brute force."""
+    text = F.concat(F.sha2(F.col("id").cast("string"), 256), F.sha2(F.concat(F.lit("x"), F.col("id").cast("string")), 256))
+    same = spark.range(200_000).select(text.alias("text")).groupBy(F.hash("text")).agg(F.sort_array(F.collect_list("text")).alias("t")).where(F.size("t") > 1).first()
+    a, b = same["t"][:2]
+    rng = random.Random(8)
+    parts = ["".join(rng.choice("abcdefg hij") for _ in range(120)) for _ in range(30)]
+    rows = [(1, a), (5, a), (5, b)] + [(None, f"{i} " + " ".join(rng.sample(parts, 2))) for i in range(1000)]
+    seen, want = {}, []
+    rank = lambda i: -1 if i is None else i
+    raws = sorted(((rank(i), t.encode()) for i, t in rows))
+    for i, raw in raws:
+        for p in range(len(raw) - 99):
+            seen[raw[p : p + 100]] = min(seen.get(raw[p : p + 100], (i, p)), (i, p))
+    for i, raw in raws:
+        gone = np.zeros(len(raw), bool)
+        for p in range(len(raw) - 99):
+            if seen[raw[p : p + 100]] < (i, p):
+                gone[p : p + 100] = True
+        want.append((i, len(raw), np.frombuffer(raw, np.uint8)[~gone].tobytes()))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((rank(r["doc_id"]), r["n_bytes"], bytes(r["kept"])) for r in repeats.remove_repeats(frame).collect()) == sorted(want)
+
+
 # --- resampling
 
 
