@@ -1,18 +1,20 @@
 """Exact dedup by an extendible-hash index on shared files.
 
 1. The directory is built from a histogram of key prefixes, in which texts of one 64-bit hash key weigh
-   once (bounded: 2**`RESOLUTION` counts). It starts with one bucket; an overfull bucket splits on its
-   next key bit, and the directory doubles when the bucket already uses all its bits. Buckets hold
-   `BUCKET_BYTES`, more where the texts would fill over 2**18 of them. It is stored beside the index.
+   once, `ENTRY_BYTES` added (bounded: 2**`RESOLUTION` counts). It starts with one bucket; an overfull
+   bucket splits on its next key bit, and the directory doubles when the bucket already uses all its bits.
+   Buckets hold `BUCKET_BYTES`, more where the texts would fill over 2**18 of them. It is stored beside the index.
 2. One scan combines equal texts of a batch: an *entry* has the text once, its key and bucket, the ids of
    its rows and all columns of the row with the largest id.
-3. Entries go to the owner task of their bucket; each owner has a range of keys of about the same weight.
-   They come sorted by key, then largest id first. The owner keeps a chain of different texts per key and
+   For `assignments()` entries are written as the scan makes them, ids and all: their numbers are durable.
+3. Entries go, without the ids, to the owner task of their bucket; each owner has a range of keys of about
+   the same weight. They come sorted by key, then largest id first. The owner keeps a chain of different texts per key and
    compares bytes, so a collision never merges texts. It writes the index: sorted by key, a text only in
    the first entry of its chain, which holds the row that stays.
 4. `kept()` reads these first entries. `assignments()` needs the size of each group too: sizes are summed
-   per chain, and only entries of chains of several are joined to them, by their own unique number; so a
-   text shared by a third of all rows moves once per batch, not once per row, and no task gathers its ids.
+   per chain, and only entries of chains of several are joined to them, by their own unique number; so are
+   the ids, last of all. A text shared by a third of all rows moves once per batch, not once per row, and
+   its ids, a batch of them in a row, are spread by the entries' numbers: no task gathers them.
 
 Defined results: null text counts as empty. Rows with equal texts form a group; the largest id stays
 (nulls are smallest); of rows that share that id exactly one stays. An empty table gives no rows.
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 
 from lanternway.llm.common import pick, slices, written
 
-#: Key bits that the histogram resolves, and bytes of distinct text that fill a bucket.
-RESOLUTION, BUCKET_BYTES = 20, 4 << 20
+#: Key bits that the histogram resolves, bytes of distinct text that fill a bucket, and what a text weighs beside its bytes.
+RESOLUTION, BUCKET_BYTES, ENTRY_BYTES = 20, 4 << 20, 128
 
 
 class Directory:
@@ -77,7 +79,7 @@ def key_of(text: Column) -> Column:
 
 def directory_of(rows: DataFrame, capacity: int = BUCKET_BYTES) -> Directory:
     """The directory over keys of `rows.text`; texts of one key weigh once."""
-    once = rows.groupBy(key_of(F.col("text")).alias("k")).agg(F.max(F.octet_length(F.coalesce("text", F.lit("")))).alias("w"))
+    once = rows.groupBy(key_of(F.col("text")).alias("k")).agg((F.max(F.octet_length(F.coalesce("text", F.lit("")))) + ENTRY_BYTES).alias("w"))
     prefix = F.shiftrightunsigned("k", 64 - RESOLUTION).cast("int")
     counts = once.groupBy(prefix.alias("p")).agg(F.sum("w").cast("double").alias("w")).toArrow()  # at most 12 MB
     weight = np.zeros(1 << RESOLUTION)
@@ -125,25 +127,32 @@ class ExactDedup:
         fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
         return rows.mapInArrow(combine, f"rep long, key long, bucket long, owner int, ids array<{self.id_type}>, digest string, {fields}")
 
-    def _index(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """The index, written: an entry a row, its chain, ids, digest, columns c0, c1 ... of `docs`; of a chain only the first entry has its text."""
-        tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-        entries = self._entries(docs, id_col, text_col, tasks)
-        text = f"c{docs.columns.index(text_col)}"
+    @cached_property
+    def tasks(self) -> int:
+        return max(int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+
+    def _index(self, entries: DataFrame, text: str) -> DataFrame:
+        """The index, written: an entry a row, its chain, digest and columns c0, c1 ...; of a chain only the first entry has its `text`."""
+        tasks, spark = self.tasks, entries.sparkSession
         more = [c for c in entries.columns if c.startswith("c") and c != text]
-        own = entries.select("rep", "key", "bucket", "owner", F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("top"), "ids", "digest", F.coalesce(text, F.lit("")).cast("binary").alias("text"), F.col(text).isNull().alias("absent"), *more)
+        own = entries.select("rep", "key", "bucket", "owner", F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("top"), "digest", F.coalesce(text, F.lit("")).cast("binary").alias("text"), F.col(text).isNull().alias("absent"), *more)
         placed = own.repartitionById(tasks, "owner").sortWithinPartitions("key", F.desc_nulls_last("top"), "rep")
         types = {f.name: f.dataType.simpleString() for f in placed.schema}
-        kinds = ", ".join(f"{c} {types[c]}" for c in ("rep", "key", "bucket", "n", "ids", "digest", "text", "absent", *more))
+        kinds = ", ".join(f"{c} {types[c]}" for c in ("rep", "key", "bucket", "n", "digest", "text", "absent", *more))
         index = written(placed.mapInArrow(chained, f"chain long, first boolean, keep_id {self.id_type}, {kinds}"), "exact-index")
         d = self.directory
-        written(docs.sparkSession.createDataFrame([(d.depth, d.slots.astype("<i4").tobytes(), d.local.astype("<i4").tobytes())], "depth int, slots binary, local binary"), "exact-directory")
+        written(spark.createDataFrame([(d.depth, d.slots.astype("<i4").tobytes(), d.local.astype("<i4").tobytes())], "depth int, slots binary, local binary"), "exact-directory")
         return index
 
+    @cached_property
+    def scanned(self) -> DataFrame:
+        """Entries of ids and texts alone, written by the scan."""
+        return written(self._entries(pick(self.docs, doc_id=self.id_col, text=self.text_col), "doc_id", "text", self.tasks), "exact-entries")
+
     @cached_property
     def narrow(self) -> DataFrame:
         """The index of ids and texts alone."""
-        return self._index(pick(self.docs, doc_id=self.id_col, text=self.text_col), "doc_id", "text")
+        return self._index(self.scanned, "c1")
 
     def ids_of(self, text: str) -> DataFrame:
         """``doc_id`` of all rows with this text, by its bucket of the index."""
@@ -151,14 +160,14 @@ class ExactDedup:
         key = spark.range(1).select(key_of(F.lit(text))).first()[0]
         own = self.narrow.where((F.col("bucket") == int(self.directory.bucket(np.array([key], np.int64))[0])) & (F.col("key") == key))
         chain = own.where(F.col("first") & (F.col("text") == F.lit(text).cast("binary"))).select("chain")
-        return own.join(chain, "chain", "left_semi").select(F.explode("ids").alias("doc_id"))
+        return self.scanned.select("rep", "ids").join(own.join(chain, "chain", "left_semi"), "rep", "left_semi").select(F.explode("ids").alias("doc_id"))
 
     def assignments(self) -> DataFrame:
         """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``."""
         index = self.narrow
         several = index.groupBy("chain").agg(F.sum("n").alias("size"), F.count("*").alias("entries")).where("entries > 1")
         sizes = index.select("chain", "rep").join(several, "chain").select("rep", "size")
-        rows = index.select("rep", "first", "keep_id", "n", "ids", "digest").join(sizes, "rep", "left")
+        rows = index.select("rep", "first", "keep_id", "n", "digest").join(sizes, "rep", "left").join(self.scanned.select("rep", "ids"), "rep")
         each = rows.select(F.coalesce("size", "n").alias("group_size"), "first", "keep_id", "digest", F.posexplode("ids").alias("place", "doc_id"))
         return each.select("doc_id", "keep_id", "group_size", (F.col("first") & (F.col("place") == 0)).alias("kept"), F.col("digest").alias("text_sha256"))
 
@@ -166,7 +175,7 @@ class ExactDedup:
         """The rows that stay, with all columns of the input: the first entry of each chain of the index."""
         names = [f"c{i}" for i in range(len(self.docs.columns))]
         text = names[self.docs.columns.index(self.text_col)]
-        first = self._index(self.docs, self.id_col, self.text_col).where("first")
+        first = self._index(self._entries(self.docs, self.id_col, self.text_col, self.tasks), text).where("first")
         whole = F.when(~F.col("absent"), F.col("text").cast("string")).alias(text)
         return first.select(*[whole if n == text else F.col(n) for n in names]).toDF(*self.docs.columns)
 
