@@ -107,6 +107,16 @@ LABELLED = (
     ("card: 5500005555555559 on file", "O card O O"),
     ("amex 378282246310005 declined", "O card O"),
     ("visa 4012-8888-8888-1881, paid", "O card O"),
+    ("numbers 4012888888881881 5105105105105100 in a list", "O card card O O O"),
+    ("then 6011111111111117", "O card"),
+    ("3530111333300000 and more", "card O O"),
+    ("1234567812345678 is a row number", "O O O O O"),
+    ("counter 4111111111111112 wrapped", "O O O"),
+    ("card 4000123412341235 is a made-up one", "O O O O O O"),
+    ("batch 9071625384950617 ran", "O O O"),
+    ("then 6203918475610293. End", "O O O"),
+    ("5500005555555558", "O"),
+    ("ticks 378282246310006 elapsed", "O O O"),
     ("phone 555-010-4477 after 18:00", "O phone O O"),
     ("call 020-7946-0018 or 030/901820", "O phone O phone"),
     ("tel: 555.010.9921 fax 555.010.9922", "O phone O phone"),
@@ -195,6 +205,8 @@ def features(word: str, before: str = "") -> list[str]:
     out += [f"run={min(long_, 8)}", f"mixed={min(mixed, 4)}{'' if word.isupper() or not letters else 'a'}", f"size={size // 4}"]
     if letters and digits and not word.isupper():
         out.append(f"mixed low={size > 15}")
+    if 13 <= digits <= 19 and not letters:
+        out.append(f"luhn={luhn(''.join(_DIGIT.findall(word)))}")
     if "@" in word:
         at = word.strip(_EDGE).find("@")
         out.append("at" if 0 < at < len(word.strip(_EDGE)) - 1 else "loose at")

@@ -87,6 +87,19 @@ def test_exact_dedup_with_colliding_keys(spark, odd, monkeypatch):
     assert sorted(str(r["doc_id"]) for r in index.kept().collect()) == sorted(k[0] for k in want if k[3])
 
 
+def test_exact_dedup_spreads_ids_and_short_texts(spark):
+    """A third of all rows share a text: their ids stay out of the index, and short texts fill buckets by their number."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text")).repartition(8)
+    index = exact_dedup.ExactDedup(docs)
+    assert "ids" not in index.narrow.columns and len(index.directory.first) > 1
+    lists = index.scanned.where("size(ids) > 1").select(F.size("ids").alias("n")).collect()
+    assert len(lists) >= 8 and sum(r["n"] for r in lists) == 20_000  # each task of the scan has its own part of the hot ids
+    got = index.assignments().groupBy("keep_id", "group_size").agg(F.count("*").alias("n"), F.count_if("kept").alias("k")).where("n > 1 or group_size > 1 or k <> 1").collect()
+    assert [tuple(r) for r in got] == [(59_997, 20_000, 20_000, 1)]
+
+
 def test_exact_index_looks_texts_up(spark, odd):
     index = exact_dedup.ExactDedup(odd)
     assert sorted(r["doc_id"] for r in index.ids_of("the cat sat on the mat").collect()) == [1, 2, 2]
