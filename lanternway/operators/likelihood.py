@@ -17,18 +17,55 @@ from lanternway.operators.grid import cell_links
 #: Groups of events below which a step over all of them costs more than their own folds.
 FEW = 8
 
+#: Numbers of an agent's trace that one window sees.
+BLOCK = 1 << 16
 
-def in_cell_pairs(kept: DataFrame) -> DataFrame:
-    """Points with the next point of the same agent in the same cell (null for the last)."""
-    w = Window.partitionBy("agent_id", "cell_id").orderBy("g")
+#: Points and link rows of a cell that one group of the pair join holds, about.
+POINTS, LINKS = 1 << 14, 1 << 10
+
+
+def in_cell_pairs(kept: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Points with the next point of the same agent in the same cell (null for the last).
+
+    A window sees at most `block` numbers of an agent's trace. The last point there takes the first of the next
+    such block with points in the cell; only agents with more points than a block have any such rows.
+    """
+    w = Window.partitionBy("agent_id", "cell_id", "_block").orderBy("g")
     tasks = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many as that: the pairs that follow cost more than these rows show
-    return kept.select("agent_id", "cell_id", "g", "x", "y", "sec", "trace_no").repartition(tasks, "agent_id", "cell_id").select("*", F.lead("x").over(w).alias("nx"), F.lead("y").over(w).alias("ny"))
+    cut = kept.select("agent_id", "cell_id", "g", "x", "y", "sec", "trace_no", F.floor(F.col("g") / block).cast("int").alias("_block"))
+    rows = cut.repartition(tasks, "agent_id", "cell_id", "_block").select("*", F.lead("x").over(w).alias("_nx"), F.lead("y").over(w).alias("_ny"), F.lead("g").over(w).isNull().alias("_last"))
+    long_ = kept.where(F.col("g") >= block).select("agent_id").distinct()
+    pieces = cut.join(long_, "agent_id", "left_semi").groupBy("agent_id", "cell_id", "_block").agg(F.min_by(F.struct("x", "y"), "g").alias("_spot"))
+    after = pieces.select("agent_id", "cell_id", "_block", F.lit(True).alias("_last"), F.lead("_spot").over(Window.partitionBy("agent_id", "cell_id").orderBy("_block")).alias("_next")).where("_next is not null")
+    joined = rows.join(after, ["agent_id", "cell_id", "_block", "_last"], "left")
+    return joined.select("agent_id", "cell_id", "g", "x", "y", "sec", "trace_no", F.coalesce("_nx", "_next.x").alias("nx"), F.coalesce("_ny", "_next.y").alias("ny"))
+
+
+def meeting(points: DataFrame, lists: DataFrame, counted: DataFrame, most_points: int = POINTS, most_links: int = LINKS) -> DataFrame:
+    """Rows of `points` and `lists` with one cell, each pair once, however many of either share a cell.
+
+    A cell of more than `most_points` points (of `counted`, the points as they are stored) or `most_links` rows of
+    `lists` is cut into parts of about those sizes by hash, and each part of the one side is sent to all parts of
+    the other: an equi-join on cell and parts, of which no group exceeds the two sizes by much.
+    """
+    parts = lambda n, most: F.ceil(F.col(n) / most).cast("int")
+    per = lambda df, n: df.groupBy("cell_id").agg(F.count("*").alias(n))
+    dense = per(counted, "_n").join(per(lists, "_m"), "cell_id").select("cell_id", parts("_n", most_points).alias("_points"), parts("_m", most_links).alias("_links")).where("_points > 1 or _links > 1")
+
+    def dealt(df: DataFrame, own: str, other: str, *key: str) -> DataFrame:
+        of = lambda c: F.coalesce(F.col(c), F.lit(1))
+        rows = df.join(dense, "cell_id", "left").withColumn("_own", F.pmod(F.xxhash64(*key), of(own)).cast("int"))
+        return rows.withColumn("_other", F.explode(F.sequence(F.lit(0), of(other) - 1))).drop("_points", "_links").withColumnsRenamed({"_own": f"{own}_part", "_other": f"{other}_part"})
+
+    places = "_points_part", "_links_part"
+    left, right = dealt(points, "_points", "_links", "agent_id", "g"), dealt(lists, "_links", "_points", "link_seq", *(["p"] if "p" in lists.columns else []))
+    return left.join(right, ["cell_id", *places]).drop(*places)
 
 
 def candidates(kept: DataFrame, links: DataFrame) -> DataFrame:
-    """Points and links that share a cell: an equi-join on the cell, which adaptive execution can split."""
+    """Points and links that share a cell; dense cells are cut into parts."""
     lists = cell_links(links).select("cell_id", F.col("seq").alias("link_seq"))
-    return in_cell_pairs(kept).join(lists, "cell_id")
+    return meeting(in_cell_pairs(kept), lists, kept)
 
 
 def shape_rows(kept: DataFrame, links: DataFrame) -> DataFrame:
@@ -43,7 +80,7 @@ def shape_rows(kept: DataFrame, links: DataFrame) -> DataFrame:
     # what depends on one side only is computed before the join, what is used twice has a column
     lists = lists.withColumn("bearing", geo.angle(*c("sx", "sy", "ex", "ey"))).withColumn("reach", geo.planar(*c("sx", "sy", "ex", "ey")))
     steps = in_cell_pairs(kept).withColumn("mx", (F.col("x") + F.col("nx")) / 2).withColumn("my", (F.col("y") + F.col("ny")) / 2).withColumn("heading", geo.angle(*c("x", "y", "nx", "ny")))
-    rows = steps.join(lists, "cell_id")
+    rows = meeting(steps, lists, kept)
     line, segment = c("x", "y", "fx", "fy", "tx", "ty"), c("mx", "my", "sx", "sy", "ex", "ey")
     rows = rows.withColumns({"u": geo.foot(*line), "v": geo.foot(*segment)})
     rows = rows.withColumns({"away": geo.to_foot(F.col("u"), *line), "off": geo.to_foot(F.col("v"), *segment)})

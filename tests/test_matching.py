@@ -276,6 +276,43 @@ def test_a_hot_agent_is_scanned_in_pieces(spark):
     assert length == pytest.approx(plain)
 
 
+def test_a_dense_cell_is_cut_into_parts(spark):
+    """A third of all points in one cell, of one agent, and many links there: the same pairs, no large group."""
+    rng = random.Random(5)
+    spot = lambda i: (0.005, 0.005) if i < 1000 else (rng.randrange(8) * 0.01 + 0.005, 0.005)
+    points = [("hot" if i < 1000 else f"u{i % 40}", *spot(i)) for i in range(3000)]
+    nth, rows = {}, []
+    for agent, x, y in points:
+        g = nth[agent] = nth.get(agent, -1) + 1
+        rows.append((agent, f"{x:.3f}", g, x + rng.random() / 1000, y, g * 5, g))
+    kept = spark.createDataFrame(rows, "agent_id string, cell_id string, g int, x double, y double, sec int, trace_no int")
+    lists = spark.createDataFrame([(f"{(k % 4) * 0.01 + 0.005 if k > 90 else 0.005:.3f}", k) for k in range(120)], "cell_id string, link_seq long")
+    want = {}
+    for agent, cell, g, x, y, *_ in sorted(rows, key=lambda r: (r[0], r[1], -r[2])):
+        want[agent, cell, g] = want.get((agent, cell), (None, None))
+        want[agent, cell] = (x, y)
+    want = {k: v for k, v in want.items() if len(k) == 3}
+    for block in (7, 100, 1 << 16):
+        steps = likelihood.in_cell_pairs(kept, block)
+        assert {(r["agent_id"], r["cell_id"], r["g"]): (r["nx"], r["ny"]) for r in steps.collect()} == want
+    key = ["agent_id", "cell_id", "g", "link_seq"]
+    plain = sorted(tuple(r) for r in kept.join(lists, "cell_id").select(*key).collect())
+    for sizes in ((64, 16), (64, 1000), (10_000, 16), (1 << 14, 1 << 10)):
+        met = likelihood.meeting(steps, lists, kept, *sizes)
+        assert sorted(tuple(r) for r in met.select(*key).collect()) == plain
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        share = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        cut, whole = share(likelihood.meeting(steps, lists, kept, 32, 8)), share(kept.join(lists, "cell_id"))
+    finally:
+        for c in ("autoBroadcastJoinThreshold", "adaptive.enabled"):
+            spark.conf.unset(f"spark.sql.{c}")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert max(cut) < 3 * np.median(cut) and max(whole) > 0.6 * sum(whole)
+
+
 def test_network_has_every_part_and_steps_find_a_link(spark, run):
     from lanternway.plans import queries
 
