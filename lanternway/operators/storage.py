@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +49,14 @@ def saved(df: DataFrame, label: str, instead: DataFrame | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at `path`; where it is absent or was not finished, `make` gives it and it is written first."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def remove_intermediates(spark: SparkSession) -> None:
     """Removes all tables of this session's runs; results that still read them must be written before."""
     _remove(spark, run_folder(spark))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lanternway.functions import timefn
 from lanternway.functions.constants import INACTIVE, TIME_BIN, UNREACHABLE
-from lanternway.operators.storage import saved
+from lanternway.operators.storage import once, saved
 
 #: Links times bins of agents that are searched together: 20 bytes each.
 CELLS = 1 << 20
@@ -288,11 +289,63 @@ def use_counts(paths: DataFrame) -> DataFrame:
     return paths.groupBy("link_seq").agg(F.count("*").alias("use_count"))
 
 
+def idle_links(hits: DataFrame, uses: DataFrame) -> DataFrame:
+    """``agent_id, link_seq, balance`` of links that points hit but no path uses: less one for each hit.
+
+    `hits`: ``agent_id, link_seq, hit_count``. `uses` with an ``agent_id`` counts each agent's own paths only.
+    """
+    keys = [c for c in ("agent_id", "link_seq") if c in uses.columns]
+    return hits.where("hit_count >= 1").join(uses, keys, "left_anti").select("agent_id", "link_seq", (-F.col("hit_count")).alias("balance"))
+
+
+def lowered(costs: DataFrame, idle: DataFrame, step: float = 100.0) -> DataFrame:
+    """Costs by bin, changed by `step` times the link's balance in the bins that were hit."""
+    rows = costs.join(idle, ["agent_id", "link_seq"], "left")
+    return rows.select("agent_id", "link_seq", "bin", F.when(F.col("hit") & F.col("balance").isNotNull(), F.col("cost") + F.lit(step) * F.col("balance")).otherwise(F.col("cost")).alias("cost"), "hit")
+
+
 def updated_prices(costs: DataFrame, hits: DataFrame, uses: DataFrame, step: float = 100.0) -> DataFrame:
     """Costs by bin of links that points hit but no path uses: lowered by `step` for each hit, in hit bins.
 
     `costs`: ``agent_id, link_seq, bin, cost, hit``; `hits`: ``agent_id, link_seq, hit_count``.
     """
-    idle = hits.where("hit_count >= 1").join(uses, "link_seq", "left_anti").select("agent_id", "link_seq", (-F.col("hit_count")).alias("balance"))
-    rows = costs.join(idle, ["agent_id", "link_seq"], "left")
-    return rows.select("agent_id", "link_seq", "bin", F.when(F.col("hit") & F.col("balance").isNotNull(), F.col("cost") + F.lit(step) * F.col("balance")).otherwise(F.col("cost")).alias("cost"))
+    return lowered(costs, idle_links(hits, uses), step).drop("hit")
+
+
+@dataclass
+class PriceRounds:
+    """``paths``: those of `td_paths` with their ``round``, every agent in every round. ``prices``: costs by bin, as the
+    last search took them. ``balance``: ``agent_id, round, balance_count``, the links that a round made cheaper.
+    """
+
+    paths: DataFrame
+    prices: DataFrame
+    balance: DataFrame
+
+
+def price_rounds(search: Callable[[DataFrame, DataFrame | None], DataFrame], costs: DataFrame, hits: DataFrame, folder: str, rounds: int = 2, step: float = 100.0) -> PriceRounds:
+    """Search, then lower the prices of each agent's idle links and search again, `rounds` searches in all.
+
+    A link that any earlier path of the agent used is never idle again. Agents without idle links keep their paths and are
+    not searched again; the rounds end when no agent has any. `search` gives the paths for prices of the agents
+    it is told (all, if None). Every round's tables stay in `folder`: started again with the same folder and
+    input, the rounds go on after the last whole table, so a lost driver costs one table at most.
+    """
+    spark = costs.sparkSession
+    table = lambda name, n, make: once(spark, f"{folder}/{name}-{n}", make)
+    prices = table("prices", 0, lambda: costs.select("agent_id", "link_seq", "bin", "cost", "hit"))
+    paths = [table("paths", 0, lambda: search(prices, None))]
+    balance = table("balance", 0, lambda: hits.where("false").select("agent_id", F.lit(1).alias("balance_count")))
+    made = [balance.select("agent_id", F.lit(0).alias("round"), "balance_count")]
+    for n in range(1, rounds):
+        used = reduce(DataFrame.unionByName, [p.select("agent_id", "link_seq") for p in paths]).distinct()
+        idle = table("idle", n, lambda used=used: idle_links(hits, used))
+        live = idle.groupBy("agent_id").agg(F.count("*").cast("int").alias("balance_count"))
+        if live.isEmpty():
+            break
+        prices = table("prices", n, lambda idle=idle, prices=prices: lowered(prices, idle, step))
+        again = lambda live=live, prices=prices: search(prices, live.select("agent_id")).unionByName(paths[-1].join(live, "agent_id", "left_anti"))
+        paths.append(table("paths", n, again))
+        made.append(live.select("agent_id", F.lit(n).alias("round"), "balance_count"))
+    every = [p.withColumn("round", F.lit(n)) for n, p in enumerate(paths)]
+    return PriceRounds(reduce(DataFrame.unionByName, every), prices, reduce(DataFrame.unionByName, made))

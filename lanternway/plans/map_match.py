@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from lanternway.functions.constants import RESOLUTION
 from lanternway.operators import grid, likelihood, od, outputs, paths, tdpaths, trace
-from lanternway.operators.storage import saved
+from lanternway.operators.storage import run_folder, saved
 from lanternway.sources import network, tables, traces
 
 
@@ -96,11 +97,21 @@ class Matching:
     def bin_costs(self) -> DataFrame:
         return saved(likelihood.bin_costs(self.events), "bin-costs")
 
+    def td_search(self, costs: DataFrame, agents: DataFrame | None = None) -> DataFrame:
+        """Time-dependent paths of `agents` (all, if None) at the given costs by bin."""
+        ends = self.ends if agents is None else self.ends.join(agents, "agent_id", "left_semi")
+        active = self.costs.select("agent_id", "link_seq")  # links of cells with points: those that have a cost
+        states = tdpaths.agent_states(ends, active, costs, trace.dwells(self.kept), trace.spans(self.kept), self.links, self.span)
+        return tdpaths.td_paths(states, self.compat)
+
     @cached_property
     def td_paths(self) -> DataFrame:
-        active = self.costs.select("agent_id", "link_seq")  # links of cells with points: those that have a cost
-        states = tdpaths.agent_states(self.ends, active, self.bin_costs, trace.dwells(self.kept), trace.spans(self.kept), self.links, self.span)
-        return saved(tdpaths.td_paths(states, self.compat), "td-paths")
+        return saved(self.td_search(self.bin_costs), "td-paths")
+
+    def price_rounds(self, rounds: int = 2, folder: str | None = None) -> tdpaths.PriceRounds:
+        """`rounds` searches, with lower prices of idle links between; `folder` lets a lost run go on."""
+        folder = folder or f"{run_folder(self.kept.sparkSession)}/price-rounds-{uuid.uuid4().hex}"
+        return tdpaths.price_rounds(self.td_search, self.bin_costs, self.costs, folder, rounds)
 
     @cached_property
     def td_route(self) -> DataFrame:

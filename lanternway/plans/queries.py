@@ -265,6 +265,8 @@ register("g03_static_price_update", lambda m: tdpaths.updated_prices(m.bin_costs
 # the SQL of these two would walk the table of g02 again; over static paths they have some above
 register("g03_price_update", lambda m: tdpaths.updated_prices(m.bin_costs, m.costs, tdpaths.use_counts(m.td_paths)))
 register("a21_use_counts", lambda m: tdpaths.use_counts(m.td_paths))
+# two searches of g02's size: held to a plain version in the tests
+register("g03_lr_rounds", lambda m: (lambda p: p.select("agent_id", "round", "road_sequence", "link_seq", "from_node_id", "to_node_id", "time_index", "time_index_t", r6("label_cost", "label_cost")))(m.price_rounds(2).paths))
 _CLOCK = "select p.*, l.length, l.fft_sec, l.shape, l.fx, l.fy, s.start_min, t.t0+p.time_index*" + B + " as minute, cast(trunc((p.time_index_t-p.time_index)*" + d(60 * oracle.TIME_BIN) + "+" + d(0.5) + ") as integer) as tt from tp p join lk l using (link_seq) join spans s using (agent_id) cross join span t"
 register("k05_td_route", lambda m: m.td_route.select(*[r6(c, c) if c in ("label_cost", "timestamp_minute") else F.col(c) for c in m.td_route.columns]), sql(f"""select agent_id, road_sequence, cast(trunc((minute-start_min)*60+{d(0.5)}) as integer) as cumu_time_in_sec, time_index, time_index_t, time_index_t-time_index as time_index_diff, tt as travel_time_in_sec, round(minute,6) as timestamp_minute,
   from_node_id, to_node_id, length, fft_sec as "FFTT_in_sec", tt-fft_sec as delay_in_sec, sum(length) over (partition by agent_id order by road_sequence) as cumu_distance, round(label_cost,6) as label_cost,

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from lanternway.functions.constants import FORBIDDEN, INACTIVE, RESOLUTION, UNREACHABLE
+from lanternway.functions.constants import FORBIDDEN, INACTIVE, RESOLUTION, TIME_BIN, UNREACHABLE
 from lanternway.operators import likelihood, outputs, paths, tdpaths, trace
 from lanternway.operators.storage import saved
 from lanternway.plans import fixtures
@@ -241,6 +241,87 @@ def test_time_dependent_routes(run):
     assert all(n >= 0 for n in short.values())
 
 
+def trips(run):
+    """Each agent's search as plain values."""
+    links = {r["seq"]: r for r in run.links.collect()}
+    costs, active, waits = {}, {}, {}
+    for r in run.bin_costs.collect():
+        costs.setdefault(r["agent_id"], {})[r["link_seq"], r["bin"]] = (r["cost"], r["hit"])
+    for r in run.costs.collect():
+        active.setdefault(r["agent_id"], {})[r["link_seq"]] = r["hit_count"]
+    for r in trace.dwells(run.kept).collect():
+        waits.setdefault(r["agent_id"], {})[r["bin"]] = r["dwell_bins"]
+    t0, bins = run.span.select("t0", "bins").first()
+    bin_ = lambda m: max(0, min(bins - 1, int((m - t0) / TIME_BIN + 0.5)))
+    spans = {r["agent_id"]: (bin_(r["start_min"]), bin_(r["last_min"])) for r in trace.spans(run.kept).collect()}
+    ends = {r["agent_id"]: (r["o_node_id"], r["d_node_id"]) for r in run.ends.collect() if r["o_node_id"] is not None and r["d_node_id"] is not None}
+    return links, costs, active, waits, spans, ends, bins
+
+
+def test_price_rounds_equal_a_plain_loop(run, tmp_path):
+    """Search, lower the prices of hit links that no path of the agent used, search again; three times."""
+    links, costs, active, waits, spans, ends, bins = trips(run)
+    want, counts = set(), set()
+    for agent, (o, d) in ends.items():
+        start, end = spans[agent]
+        price, used = {k: c for k, (c, _) in costs.get(agent, {}).items()}, set()
+        for n in range(3):
+            idle = {k: h for k, h in active[agent].items() if h >= 1 and k not in used} if n else {}
+            for k, t in price:
+                if costs[agent][k, t][1] and k in idle:
+                    price[k, t] -= 100.0 * idle[k]
+            if idle:
+                counts.add((agent, n, len(idle)))
+            arcs = [(k, links[k]["from_node_id"], links[k]["to_node_id"], links[k]["fft_min"], np.array([price.get((k, t), INACTIVE) for t in range(start, end + 1)])) for k in sorted(active[agent])]
+            way = tdpaths.search(arcs, o, d, start, end, bins, waits.get(agent, {}))
+            used |= {row[0] for row in way}
+            want |= {(agent, n, i + 1, *row[:5], round(row[5], 6)) for i, row in enumerate(way)}
+    done = run.price_rounds(3, f"file://{tmp_path}/rounds")
+    got = done.paths.select("agent_id", "round", *tdpaths.TD_NAMES[1:]).collect()
+    assert len(got) == len(want) and {(*r[:-1], round(r[-1], 6)) for r in got} == want
+    assert {tuple(r) for r in done.balance.collect()} == counts and any(n == 2 for _, n, _ in counts)
+    ways = {}
+    for agent, n, *row in sorted(want):
+        ways.setdefault((agent, n), []).append(row[1])
+    assert any(ways.get((a, 0)) != ways.get((a, 1)) for a in ends)  # prices do turn paths
+
+
+def test_price_rounds_go_on_after_the_last_whole_table(run, tmp_path):
+    folder, asked = f"file://{tmp_path}/rounds", []
+
+    def search(prices, agents, lost=False):
+        asked.append(agents is None)
+        if lost and agents is not None:
+            raise ConnectionError
+        return run.td_search(prices, agents)
+
+    with pytest.raises(ConnectionError):
+        tdpaths.price_rounds(lambda p, a: search(p, a, True), run.bin_costs, run.costs, folder)
+    again = tdpaths.price_rounds(search, run.bin_costs, run.costs, folder)
+    assert asked == [True, False, False]  # the first search is not run twice
+    whole = run.price_rounds(2)
+    rows = lambda p: sorted(tuple(r) for r in p.select(*sorted(p.columns)).collect())
+    assert rows(again.paths) == rows(whole.paths) and rows(again.balance) == rows(whole.balance)
+    none = tdpaths.price_rounds(search, run.bin_costs, run.costs.withColumn("hit_count", F.lit(0)), f"file://{tmp_path}/none", 5)
+    assert none.balance.isEmpty() and {r[0] for r in none.paths.select("round").distinct().collect()} == {0}
+
+
+def test_uses_and_prices_over_time_dependent_paths(run):
+    """What a21_use_counts and g03_price_update give, from the plain rows."""
+    uses = {}
+    for r in run.td_paths.collect():
+        uses[r["link_seq"]] = uses.get(r["link_seq"], 0) + 1
+    counted = tdpaths.use_counts(run.td_paths)
+    assert {r["link_seq"]: r["use_count"] for r in counted.collect()} == uses
+    hits = {(r["agent_id"], r["link_seq"]): r["hit_count"] for r in run.costs.collect()}
+    want = {}
+    for r in run.bin_costs.collect():
+        lower = r["hit"] and r["link_seq"] not in uses
+        want[r["agent_id"], r["link_seq"], r["bin"]] = r["cost"] - (100.0 * hits[r["agent_id"], r["link_seq"]] if lower else 0.0)
+    rows = tdpaths.updated_prices(run.bin_costs, run.costs, counted).collect()
+    assert len(rows) == len(want) and {tuple(r)[:3]: r["cost"] for r in rows} == want
+
+
 def test_trace_has_every_event(spark):
     events = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "user_id", "ts")
     _, _, points = fixtures.text_tables(spark, SF)
