@@ -55,6 +55,12 @@ def spans(kept: DataFrame) -> DataFrame:
     )
 
 
+def last_agent(kept: DataFrame) -> DataFrame:
+    """One row (none without points): ``agent_id`` of the agent whose first kept point comes last in the trace."""
+    first = kept.where("g = 0").agg(F.max_by("agent_id", "seq").alias("agent_id"))
+    return first.where("agent_id is not null")
+
+
 def time_range(kept: DataFrame) -> DataFrame:
     """One row: first and last minute of all agents, and the number of time bins between."""
     per = spans(kept).agg(F.min("start_min").alias("t0"), F.max("end_min").alias("t1"))

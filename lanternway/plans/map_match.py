@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lanternway.functions.constants import RESOLUTION
 from lanternway.operators import grid, likelihood, od, outputs, paths, tdpaths, trace
@@ -19,7 +20,8 @@ class Matching:
     """Tables of a run, made on first use; those that several others read are written once.
 
     `resolution`: grid cells in degrees, or None for an adaptive one. `combine`: how a link of two cells
-    takes its cost. `compat`: time-dependent paths lose their last link, as they used to.
+    takes its cost. `compat`: time-dependent paths lose their last link, as they used to. `use_dd`: times count the day
+    column's days too, for traces over midnight; hours in the results then go on beyond 23.
     """
 
     raw_nodes: DataFrame
@@ -28,6 +30,7 @@ class Matching:
     resolution: float | None = RESOLUTION
     combine: str = "last"
     compat: bool = False
+    use_dd: bool = False
 
     @cached_property
     def r(self) -> float:
@@ -45,7 +48,7 @@ class Matching:
 
     @cached_property
     def points(self) -> DataFrame:
-        return saved(traces.points(self.raw_trace), "points")
+        return saved(traces.points(self.raw_trace, self.use_dd), "points")
 
     @cached_property
     def kept(self) -> DataFrame:
@@ -121,21 +124,40 @@ class Matching:
     def agents(self) -> DataFrame:
         return outputs.agent_table(self.ends, trace.spans(self.kept), self.route, self.nodes, grid.node_zones(self.nodes, self.r))
 
+    def grid_of(self, kept: DataFrame) -> DataFrame:
+        return outputs.grid_table(grid.indexed(self.nodes, self.r), grid.cell_zones(self.nodes), kept, trace.cell_dwells(kept), self.box[0], self.box[3], self.box[2], self.r)
+
     @cached_property
     def grid(self) -> DataFrame:
-        return outputs.grid_table(grid.indexed(self.nodes, self.r), grid.cell_zones(self.nodes), self.kept, trace.cell_dwells(self.kept), self.box[0], self.box[3], self.box[2], self.r)
+        return self.grid_of(self.kept)
+
+    def of_last(self, rows: DataFrame) -> DataFrame:
+        """The rows of the last agent."""
+        return rows.join(F.broadcast(trace.last_agent(self.kept)), "agent_id", "left_semi")  # one row
+
+    @cached_property
+    def last_grid(self) -> DataFrame:
+        """The grid as the last agent leaves it: a row for each cell, with that agent's points alone."""
+        return self.grid_of(self.of_last(self.kept))
+
+    @cached_property
+    def last_likelihood(self) -> DataFrame:
+        return outputs.link_likelihood(self.of_last(self.costs), self.links)
 
 
-def map_match(spark, folder: str, out: str | None = None, time_dependent: bool = False, **options) -> Matching:  # noqa: ANN001, ANN003
-    """Match ``trace.csv`` to ``node.csv`` and ``link.csv`` of a folder; with `out`, write all tables as CSV."""
+def map_match(spark, folder: str, out: str | None = None, time_dependent: bool = False, last_agent: bool = False, **options) -> Matching:  # noqa: ANN001, ANN003
+    """Match ``trace.csv`` to ``node.csv`` and ``link.csv`` of a folder; with `out`, write all tables as CSV.
+
+    `last_agent`: the grid and likelihood tables hold the last agent alone, not every agent.
+    """
     raw = [tables.read_table(spark, f"{folder}/{name}.csv") for name in ("node", "link", "trace")]
     run = Matching(*raw, **options)
     if out:
         outputs.write_csv(run.td_route if time_dependent else run.route.select(*outputs.ROUTE), f"{out}/route", "agent_id", "road_sequence")
         outputs.write_csv(run.agents, f"{out}/agent", "agent_id")
         outputs.write_csv(outputs.trace_processed(trace.deltas(run.kept)), f"{out}/trace_processed", "agent_id", "gps_trace_id")
-        outputs.write_csv(outputs.link_likelihood(run.costs, run.links), f"{out}/link_likelihood", "agent_id", "link_id")
+        outputs.write_csv(run.last_likelihood if last_agent else outputs.link_likelihood(run.costs, run.links), f"{out}/link_likelihood", "agent_id", "link_id")
         if not time_dependent:
             outputs.write_csv(outputs.cell2zone(grid.cell_zones(run.nodes)), f"{out}/cell2zone", "cell_id")
-            outputs.write_csv(run.grid, f"{out}/grid", "cell_id")
+            outputs.write_csv(run.last_grid if last_agent else run.grid, f"{out}/grid", "cell_id")
     return run

@@ -95,6 +95,14 @@ register("s08_nodes", lambda m: m.nodes.select("node_id", r6("x", "x"), r6("y",
 register("s09_links", lambda m: m.links.select("link_id", "from_node_id", "to_node_id", "length", r6("fft_min", "fft_min"), "fft_sec", "link_type_code", r6("link_distance", "link_distance"), r6("seg_distance", "seg_distance"), "from_cell", "to_cell"), sql("select cast(link_id as integer) as link_id, cast(from_node_id as integer) as from_node_id, cast(to_node_id as integer) as to_node_id, length, round(fft_min,6) as fft_min, fft_sec, link_type_code, round(link_distance,6) as link_distance, round(link_distance/2,6) as seg_distance, from_cell, to_cell from lk", "lk"))
 register("s10_orphan_links", lambda m: network.orphan_links(m.raw_links, m.nodes.where("node_id % 10 <> 3")), sql("select cast(link_id as integer) as link_id, cast(from_node_id as integer) as from_node_id, cast(to_node_id as integer) as to_node_id from links where from_node_id % 10 = 3 or to_node_id % 10 = 3", "links"))
 register("s11_trace_points", lambda m: m.points.select("agent_id", "seq", "trace_no", "trace_id", r6("x", "x"), r6("y", "y"), "sec", "o_node_id", "allowed", "blocked"), sql("select agent_id, cast(seq as bigint) as seq, cast(trace_no as integer) as trace_no, cast(trace_id as integer) as trace_id, round(x,6) as x, round(y,6) as y, cast(sec as integer) as sec, cast(o_node_id as integer) as o_node_id, allowed, blocked from pts", "pts"))
+def night_points(m: Matching) -> DataFrame:
+    """The trace 16 hours later, most of it over midnight, with a day column."""
+    at = F.expr("cast(hh as int) * 3600 + cast(mm as int) * 60 + cast(ss as int) + 57600")
+    parts = {"dd": at / 86400, "hh": at % 86400 / 3600, "mm": at % 3600 / 60, "ss": at % 60}
+    return traces.points(m.raw_trace.withColumns({c: v.cast("int").cast("string") for c, v in parts.items()}), use_dd=True)
+
+
+register("s11_days", lambda m: night_points(m).select("agent_id", "seq", "dd", "hh", "sec"), sql("select agent_id, cast(seq as bigint) as seq, cast((sec+57600)//86400 as integer) as dd, cast((sec+57600)%86400//3600 as integer) as hh, cast(sec+57600 as integer) as sec from pts", "pts"))
 register("s12_wide_agents", lambda m: traces.wide_agents(traces.wide(m.kept).withColumn("seq", F.lit(0)).withColumn("volume", F.lit("1"))).select("agent_id", F.col("g").cast("long").alias("g"), r6("x", "x"), r6("y", "y"), "sec"), sql("select agent_id, g, round(x,6) as x, round(y,6) as y, cast(sec as integer) as sec from kept", "kept"))
 register("s18_sensors", lambda m: traces.sensors(m.raw_links.select("seq", F.col("link_id").alias("measurement_id"), F.col("link_type_code").alias("allowed_link_type_code"), "geometry")).select("agent_id", "trace_no", r6("x", "x"), r6("y", "y"), "allowed"), sql("select cast(link_id as varchar) as agent_id, cast(i-1 as integer) as trace_no, round(shape[i].x,6) as x, round(shape[i].y,6) as y, link_type_code as allowed from lk, range(1,4) t(i)", "lk"))
 register("f08_carry_forward", lambda m: traces.carried_forward(m.points.withColumn("x", F.when(F.col("seq") % 5 != 1, F.col("x"))), 1 << 10).select("agent_id", "seq", r6("x", "x"), r6("y", "y")), sql("select agent_id, cast(seq as bigint) as seq, round(last_value(case when seq % 5 <> 1 then x end ignore nulls) over (order by seq rows unbounded preceding), 6) as x, round(y,6) as y from pts", "pts"))
@@ -179,10 +187,12 @@ register("j05_point_link_candidates", lambda m: likelihood.candidates(m.kept, m.
 register("l01_deviation_scores", lambda m: m.scored.select("agent_id", "link_seq", "cell_id", "trace_no", r6("nonhit", "nonhit"), r6("beside", "beside"), "hit"), sql("select agent_id, link_seq, cell_id, cast(trace_no as integer) as trace_no, round(nonhit,6) as nonhit, round(beside,6) as beside, hit from scored", "scored"))
 register("l02_static_costs", lambda m: m.costs.select("agent_id", "link_seq", r6("cost", "cost"), "trace_no", "hit_count"), sql("select agent_id, link_seq, round(cost,6) as cost, cast(trace_no as integer) as trace_no, hit_count from costs", "costs"))
 register("k06_link_likelihood", lambda m: outputs.link_likelihood(m.costs, m.links).select("agent_id", "link_id", "from_node_id", "to_node_id", "link_type_code", "length", r6("likelihood_distance", "likelihood_distance"), "likely_trace_no", "hit_count"), sql("select c.agent_id, cast(l.link_id as integer) as link_id, cast(l.from_node_id as integer) as from_node_id, cast(l.to_node_id as integer) as to_node_id, l.link_type_code, l.length, round(c.cost,6) as likelihood_distance, cast(c.trace_no as integer) as likely_trace_no, c.hit_count from costs c join lk l using (link_seq) where c.cost<998", "costs"))
+register("k06_last_agent", lambda m: m.last_likelihood.select("agent_id", "link_id", "from_node_id", "to_node_id", "link_type_code", "length", r6("likelihood_distance", "likelihood_distance"), "likely_trace_no", "hit_count"), sql("select c.agent_id, cast(l.link_id as integer) as link_id, cast(l.from_node_id as integer) as from_node_id, cast(l.to_node_id as integer) as to_node_id, l.link_type_code, l.length, round(c.cost,6) as likelihood_distance, cast(c.trace_no as integer) as likely_trace_no, c.hit_count from costs c join lk l using (link_seq) where c.cost<998 and c.agent_id=(select arg_max(agent_id, seq) from kept where g=0)", "costs"))
 register("k08_arc_cost_log", lambda m: outputs.arc_cost_log(m.costs, m.links).select("agent_id", "from_node_id", "to_node_id", r6("cost", "cost"), "trace_no"), sql("select c.agent_id, cast(l.from_node_id as integer) as from_node_id, cast(l.to_node_id as integer) as to_node_id, round(c.cost,6) as cost, cast(c.trace_no as integer) as trace_no from costs c join lk l using (link_seq) where c.cost<998", "costs"))
 register("k08_point_cell_log", lambda m: outputs.point_cell_log(m.kept, m.box[0], m.box[2], m.r).select("agent_id", F.col("g").cast("long").alias("g"), "trace_no", "x_index", "y_index"), sql(f"select agent_id, g, cast(trace_no as integer) as trace_no, cast(floor(x/{R})-floor((select min(x) from nn)/{R}) as bigint) as x_index, cast(floor(y/{R})-floor((select min(y) from nn)/{R}) as bigint) as y_index from kept", "kept"))
 register("f07_active_links", lambda m: likelihood.candidates(m.kept, m.links).select("agent_id", "link_seq").distinct(), sql("select distinct agent_id, link_seq from cand", "cand"))
 register("k02_grid", lambda m: m.grid.select("agent_id", "cell_id", "x_index", "y_index", "zone_id", "dwell_flag", "n_GPS_points", "n_nodes", r6("x_coord", "x_coord"), r6("y_coord", "y_coord")), sql(f"select v.agent_id, n.cell_id, n.x_index, n.y_index, cast(coalesce(n.zone_id,0) as integer) as zone_id, cast(coalesce(v.dwell_flag,0) as integer) as dwell_flag, coalesce(v.np,0) as \"n_GPS_points\", n.n_nodes, round(b.lft+n.x_index*{R},6) as x_coord, round(b.bot+(n.y_index+1)*{R},6) as y_coord from (select cell_id, x_index, y_index, count(*) as n_nodes, any_value(z) as zone_id from (select *, arg_min(zone_id, case when zone_id>0 then seq end) over (partition by cell_id) as z from ix) group by all) n cross join box b left join (select agent_id, cell_id, count(*) as np, (max(sec//60)-min(sec//60)>120)::int as dwell_flag from kept group by all) v using (cell_id)", "ix").replace("arg_min(zone_id, case when zone_id>0 then seq end) over (partition by cell_id) as z", "(select arg_min(q.zone_id, q.seq) filter (where q.zone_id>0) from nn q where q.cell_id=ix.cell_id) as z"))
+register("k02_last_agent", lambda m: m.last_grid.select("agent_id", "cell_id", "x_index", "y_index", "zone_id", "dwell_flag", "n_GPS_points", "n_nodes", r6("x_coord", "x_coord"), r6("y_coord", "y_coord")), sql(f"select v.agent_id, n.cell_id, n.x_index, n.y_index, cast(coalesce(n.zone_id,0) as integer) as zone_id, cast(coalesce(v.dwell_flag,0) as integer) as dwell_flag, coalesce(v.np,0) as \"n_GPS_points\", n.n_nodes, round(b.lft+n.x_index*{R},6) as x_coord, round(b.bot+(n.y_index+1)*{R},6) as y_coord from (select cell_id, x_index, y_index, count(*) as n_nodes, any_value(z) as zone_id from (select *, arg_min(zone_id, case when zone_id>0 then seq end) over (partition by cell_id) as z from ix) group by all) n cross join box b left join (select agent_id, cell_id, count(*) as np, (max(sec//60)-min(sec//60)>120)::int as dwell_flag from kept where agent_id=(select arg_max(agent_id, seq) from kept where g=0) group by all) v using (cell_id)", "ix").replace("arg_min(zone_id, case when zone_id>0 then seq end) over (partition by cell_id) as z", "(select arg_min(q.zone_id, q.seq) filter (where q.zone_id>0) from nn q where q.cell_id=ix.cell_id) as z"))
 
 # Labels are walked by rounds; one that is not below its target's is not needed. Then each step's link, last to first.
 _LABELS = """lab(agent_id, node, cost) using key (agent_id, node) as (

@@ -10,22 +10,24 @@ from lanternway.functions.parsing import to_double, to_int, to_text
 from lanternway.sources.tables import column
 
 
-def points(raw: DataFrame) -> DataFrame:
+def points(raw: DataFrame, use_dd: bool = False) -> DataFrame:
     """One row per point, in file order ``seq``; rows without an agent go.
 
     A missing coordinate repeats that of the row before it in the file; a missing hour takes the day
-    column. The day never enters the seconds of the day. Carrying coordinates forward needs the whole
+    column. The day enters no time, so a trace over midnight goes back in time, unless `use_dd`: then ``sec`` counts
+    from the beginning of day 0, and a missing hour is 0. Carrying coordinates forward needs the whole
     file in order: rows are cut into files, and only the last value of each file is carried on.
     """
-    hh = F.coalesce(to_int(column(raw, "hh")), to_int(column(raw, "dd")), F.lit(0))
+    dd = to_int(column(raw, "dd"))
+    hh = F.coalesce(to_int(column(raw, "hh")), *([] if use_dd else [dd]), F.lit(0))
     mm, ss = (F.coalesce(to_int(column(raw, c)), F.lit(0)) for c in ("mm", "ss"))
     typed = raw.select(
         to_text(F.col("agent_id")).alias("agent_id"), "seq", to_text(column(raw, "agent_name")).alias("agent_name"),
         to_double(column(raw, "x_coord")).alias("x"), to_double(column(raw, "y_coord")).alias("y"),
         to_int(column(raw, "o_node_id")).alias("o_node_id"), to_int(column(raw, "d_node_id")).alias("d_node_id"),
         to_text(column(raw, "allowed_link_type_code")).alias("allowed"), to_text(column(raw, "blocked_link_type_code")).alias("blocked"),
-        to_int(column(raw, "trace_id")).alias("trace_id"), to_int(column(raw, "trace_no")).alias("trace_no"), to_int(column(raw, "dd")).alias("dd"),
-        hh.alias("hh"), mm.alias("mm"), ss.alias("ss"), timefn.seconds_of_day(hh, mm, ss).alias("sec"),
+        to_int(column(raw, "trace_id")).alias("trace_id"), to_int(column(raw, "trace_no")).alias("trace_no"), dd.alias("dd"),
+        hh.alias("hh"), mm.alias("mm"), ss.alias("ss"), (timefn.seconds_of_day(hh, mm, ss) + (F.coalesce(dd, F.lit(0)) * 86400 if use_dd else 0)).alias("sec"),
     )
     return carried_forward(typed).where("agent_id is not null")
 

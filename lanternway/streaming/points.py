@@ -12,7 +12,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lanternway.functions import geo, timefn
 from lanternway.functions.constants import RESOLUTION
 
-DELTAS = "agent_id string, seq long, event_time timestamp, interval_s double, metres double, kmph double"
 _STATE = "seq long, event_time timestamp, x double, y double"
 
 

@@ -449,6 +449,32 @@ def test_carry_forward_and_hour_fallback(spark):
     assert sorted((r["agent_id"], r["x"], r["y"], r["sec"]) for r in points.collect()) == [("a", 1.0, 2.0, 25262), ("b", 1.0, 3.0, 18000)]
 
 
+def test_traces_over_midnight(spark):
+    cols = "seq long, agent_id string, x_coord string, y_coord string, dd string, hh string, mm string, ss string"
+    raw = spark.createDataFrame([(0, "a", "1", "1", "3", "23", "59", "50"), (1, "a", "1", "1", "4", "0", "0", "10"), (2, "a", "1", "1", "4", "", "1", ""), (3, "a", "1", "1", "", "5", "", "")], cols)
+    sec = lambda **o: [r["sec"] for r in traces.points(raw, **o).orderBy("seq").collect()]
+    assert sec(use_dd=True) == [3 * 86400 + 86390, 4 * 86400 + 10, 4 * 86400 + 60, 5 * 3600]
+    assert sec() == [86390, 10, 4 * 3600 + 60, 5 * 3600]  # the day stands in for a missing hour
+    kept = traces.points(raw, use_dd=True).where("seq < 3").withColumn("cell_id", F.lit("c"))
+    assert [r["interval_s"] for r in trace.deltas(trace.sequenced(kept)).orderBy("g").collect()] == [None, 20, 50]
+    assert traces.points(raw.where("false"), use_dd=True).count() == 0
+    assert sec() == [r["sec"] for r in traces.points(raw.withColumn("extra", F.lit(1))).orderBy("seq").collect()]
+
+
+def test_last_agent_views(spark, run):
+    first = {}
+    for r in run.kept.select("agent_id", "seq").collect():
+        first[r["agent_id"]] = min(r["seq"], first.get(r["agent_id"], r["seq"]))
+    last = max(first, key=first.get)
+    mine = {r["cell_id"]: r["n_GPS_points"] for r in run.grid.where(F.col("agent_id") == last).collect()}
+    rows = run.last_grid.collect()
+    assert len(rows) == run.nodes.select("cell_id").distinct().count()  # every cell once
+    assert {r["cell_id"]: r["n_GPS_points"] for r in rows if r["n_GPS_points"]} == mine and all(r["agent_id"] == (last if r["n_GPS_points"] else None) for r in rows)
+    want = sorted(tuple(r) for r in outputs.link_likelihood(run.costs.where(F.col("agent_id") == last), run.links).collect())
+    assert want and sorted(tuple(r) for r in run.last_likelihood.collect()) == want
+    assert trace.last_agent(run.kept.where("false")).collect() == []
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 6])
 def test_sampling_and_boundary_points(spark, n):
     nodes = network.nodes(text(spark, "node_id x_coord y_coord zone_id", [(1, 0.001, 0.001, 0)]))
