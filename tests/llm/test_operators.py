@@ -317,3 +317,27 @@ def test_shared_folder_is_the_run_s_own_and_can_go(spark, tmp_path, monkeypatch)
     assert second.count() == 3 and len(list(folder.iterdir())) == 1
     common.remove_intermediates(spark)
     assert tmp_path.exists() and not folder.exists()
+
+
+@pytest.mark.parametrize("kind", ["a few long rows", "queries unlike the rows", "beyond single precision"])
+def test_vector_search_recall_on_odd_vectors(spark, kind):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(20_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ask = np.arange(0, 20_000, 20)
+    if kind == "a few long rows":
+        x[rng.choice(20_000, 40, replace=False)] *= 50
+    elif kind == "queries unlike the rows":
+        rest = np.setdiff1d(np.arange(20_000), ask)
+        x[rest] = 0.3 * x[rest] + np.eye(32)[0]
+    else:
+        x *= 1e25
+    frame = spark.createDataFrame(pa.table({"vec_id": np.arange(20_000), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 32).cast(pa.list_(pa.float64()))}))
+    got = {}
+    for r in vector_search.search(frame).collect():
+        assert math.isclose(r["score"], float(x[r["query_id"]] @ x[r["vec_id"]]), rel_tol=1e-9, abs_tol=1e-12)
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    score = x[ask] @ x.T
+    score[np.arange(len(ask)), ask] = -np.inf
+    want = np.argpartition(-score, 20, axis=1)[:, :20]
+    assert np.mean([len(got[q] & set(w)) / 20 for q, w in zip(ask.tolist(), want.tolist(), strict=True)]) >= 0.93
