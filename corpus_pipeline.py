@@ -38,9 +38,13 @@ def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens, placed by best-fit decreasing."""
-    pieces = packing.cut_documents(docs)
-    return packing.pack(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
+    """Pieces of at most 1024 tokens, placed by best-fit decreasing.
+
+    Pieces (without ids) are written first, so that no task runs two Python workers: those of the tokeniser stay with an
+    executor, and twice as many of them would take their memory in all later stages.
+    """
+    pieces = packing.cut_documents(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return packing.pack(written(pieces, "pipeline-pieces"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -34,8 +34,8 @@ from lanternway.llm.common import pick, slices, strings, written
 from lanternway.llm.components import local_stars, stars
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
-#: Pairs compared at once, in numpy; fingerprints of a component that meet at one key.
-PAIRS, HOT = 1 << 21, 1 << 16
+#: Pairs compared at once, in numpy; fingerprints of a component that meet at one key; bytes of text hashed at once.
+PAIRS, HOT, HASHED = 1 << 18, 1 << 16, 1 << 20
 # For each byte value, its bits as eight counters of eight bits.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
@@ -142,13 +142,14 @@ def compare(anchor: np.ndarray, value: np.ndarray, home: np.ndarray, threshold:
     before = np.append(0, np.cumsum(home))
     homes = before[stop] - before[first] if len(first) else np.zeros(0, int)
     ok = (homes > 0) & (stop - first > 1)
-    a, b = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    a, b, most = np.zeros(0, np.uint64), np.zeros(0, np.uint64), PAIRS
 
     def add(x: np.ndarray, y: np.ndarray) -> None:
-        nonlocal a, b
+        nonlocal a, b, most
         a, b = np.concatenate([a, x]), np.concatenate([b, y])
-        if len(a) > PAIRS:
+        if len(a) > most:  # stars that are many themselves wait until as many links have come again
             a, b = local_stars(a, b)
+            most = max(PAIRS, 2 * len(a))
 
     masks = near_masks(threshold)
     for f, s in zip(first[ok & (homes > len(masks))].tolist(), stop[ok & (homes > len(masks))].tolist(), strict=True):
@@ -186,7 +187,7 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", HASHED):
             fp = fingerprints(strings(batch.column(1)))
             order = np.argsort(fp, kind="stable")
             distinct, first = np.unique(fp[order], return_index=True)
@@ -266,7 +267,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
-        for batch in slices(batches, names[at], 4 << 20):
+        for batch in slices(batches, names[at], HASHED):
             fp = fingerprints(strings(batch.column(at)), words).view(np.int64)
             row = (np.int64(part) << 40) + n + np.arange(len(fp))
             n += len(fp)

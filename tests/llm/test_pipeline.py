@@ -1,6 +1,9 @@
 """The corpus pipeline against a plain version on a small table."""
 
+import tracemalloc
+
 import corpus_pipeline
+import numpy as np
 from lanternway.llm import byte_tokens, simhash
 
 
@@ -38,3 +41,23 @@ def test_stages_decide(spark):
 
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").where("sequence_id is null").count() == 0
+
+
+def test_pack_runs_one_python_step_a_stage(spark, monkeypatch):
+    """Two in one stage would double an executor's Python workers, and these stay."""
+    seen, pack = [], corpus_pipeline.packing.pack
+    monkeypatch.setattr(corpus_pipeline.packing, "pack", lambda pieces: seen.append(pieces._jdf.queryExecution().executedPlan().toString()) or pack(pieces))
+    corpus_pipeline.pack(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "")
+    assert len(seen) == 1 and "MapInArrow" not in seen[0]
+
+
+def test_comparing_near_copies_stays_small():
+    """2,000 fingerprints that nearly all link, at one anchor: 4 million pairs in bounded memory."""
+    one = np.uint64(0x0123456789ABCDEF)
+    value = one ^ simhash.near_masks(2)[:2000]
+    tracemalloc.start()
+    a, b = simhash.compare(np.zeros(len(value), np.uint64), value, np.ones(len(value), bool))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(a.tolist()) | set(b.tolist()) == set(value.tolist()) and len(set(b.tolist())) == 1
+    assert peak < 60e6
