@@ -3,9 +3,11 @@
 Features are hashed byte trigrams of the whole text (ASCII lower-cased, with end marks), as unit
 vectors. Families are separated by one-versus-one linear support vector machines too; inside the chosen
 family every pair of languages has its own machine and the votes decide. All machines are trained
-here, by dual coordinate descent, on at most `SAMPLE` labelled documents (a documented bound of the
+by dual coordinate descent, on about `SAMPLE` labelled documents (a documented bound of the
 training sample, split evenly over the languages); prediction covers every row and whole texts. Of more
 than half as many languages as the sample has rows, the most frequent are learned (2000 by default).
+The sample is written to the shared folder and machines are trained in tasks, up to `TRAINERS` at once;
+the driver gets their weights, never a document's profile.
 
 Defined results: null text, or text without a letter, gives ``und`` with score 0; so does every text
 if nothing could be learned (no labelled rows). Ties of votes go to the larger sum of margins, then to
@@ -14,7 +16,7 @@ the smaller name. Rows with a null id are predicted, never learned from, and cou
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -23,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternway.llm.common import pick, slices, strings
+from lanternway.llm.common import pick, slices, strings, written
 
 #: Rows of the training sample at most, over all languages, and the width of the hashed features.
 SAMPLE, WIDTH = 4000, 4096
+#: Groups that the machines are dealt to, at most; each gets the rows of its languages once.
+TRAINERS = 16
 #: Texts whose profiles (16 KB each) are held at a time.
 AT_ONCE = 1024
 UNDETERMINED = "und"
@@ -64,7 +68,11 @@ def profiles(texts: list[str]) -> np.ndarray:
 
 def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 12) -> np.ndarray:
     """Weights (the last is the bias) of a soft-margin SVM with hinge loss, by dual coordinate descent."""
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
+    return descended(np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1), y, cost, epochs)
+
+
+def descended(x: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 12) -> np.ndarray:
+    """`linear_svm` on rows that end with the 1 of the bias."""
     square = np.einsum("ij,ij->i", x, x)
     w, alpha, rng = np.zeros(x.shape[1], np.float32), np.zeros(len(x)), np.random.default_rng(7)
     for _ in range(epochs):
@@ -95,6 +103,13 @@ class Machines:
             columns.append(linear_svm(x[rows], np.where(own[rows] == names[a], 1.0, -1.0)))
         return Machines(names, pairs, np.stack(columns, 1) if columns else np.zeros((x.shape[1] + 1, 0), np.float32))
 
+    @staticmethod
+    def of(names: list[str], weights: Callable[[str, str], np.ndarray]) -> Machines:
+        """The machines over `names` from the weights of each pair."""
+        names = tuple(sorted(names))
+        columns = [weights(a, b) for a, b in combinations(names, 2)]
+        return Machines(names, tuple(combinations(range(len(names)), 2)), np.stack(columns, 1) if columns else np.zeros((WIDTH + 1, 0), np.float32))
+
     def choose(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the winner, score between 0 and 1) of each row."""
         margins = x @ self.weights[:-1] + self.weights[-1]
@@ -149,7 +164,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """Train on at most `sample` labelled rows that are not held out, evenly over the languages."""
+    """Train on about `sample` labelled rows that are not held out, evenly over the languages."""
     rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col)
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     count = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample // 2).collect()}
@@ -162,14 +177,57 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def count_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
-            x = profiles(strings(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "lang", "x"])
+            places, values = zip(*map(packed, profiles(strings(batch.column(1)))), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(places, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "lang", "places", "x"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    got = chosen.mapInArrow(count_grams, f"doc_id {id_type}, lang string, x binary").limit(2 * sample).collect()
-    got.sort(key=lambda r: (str(r["doc_id"]), r["lang"], r["x"]))
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in got]) if got else np.zeros((0, WIDTH), np.float32)
-    return Model.fit(x, [r["lang"] for r in got])
+    return trained(written(chosen.mapInArrow(count_grams, f"doc_id {id_type}, lang string, places binary, x binary").limit(2 * sample), "language-sample"))
+
+
+def packed(row: np.ndarray) -> tuple[bytes, bytes]:
+    """Places and values of a profile's numbers that are not zero."""
+    places = np.flatnonzero(row)
+    return places.astype("<u2").tobytes(), row[places].tobytes()
+
+
+def trained(sample: DataFrame) -> Model | None:
+    """The model of a written sample, ``doc_id, lang, places, x``: each trainer fits its share of the machines."""
+    langs = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
+    if not langs:
+        return None
+    of: dict[str, list[str]] = {}
+    for z in langs:
+        of.setdefault(family_of(z), []).append(z)
+    # a machine: None and two families, or a family and two of its languages
+    machines = [(None, a, b) for a, b in combinations(sorted(of), 2)] + [(f, a, b) for f in sorted(of) for a, b in combinations(of[f], 2)]
+    trainers: dict[str, set[int]] = {z: set() for z in langs}
+    for k, (f, *sides) in enumerate(machines):
+        for z in sides if f is not None else [z for side in sides for z in of[side]]:
+            trainers[z].add(k % TRAINERS)
+
+    def train(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        ids, own = rows.column("doc_id").to_pylist(), rows.column("lang").to_pylist()
+        places, x = rows.column("places").to_pylist(), rows.column("x").to_pylist()
+        order = sorted(range(len(own)), key=lambda i: (str(ids[i]), own[i], places[i], x[i]))
+        mine, weights = range(key[0].as_py(), len(machines), TRAINERS), []
+        family = [family_of(z) for z in own]
+        for f, a, b in (machines[k] for k in mine):
+            name = family if f is None else own
+            use = [i for i in order if name[i] in (a, b)]
+            dense = np.zeros((len(use), WIDTH + 1), np.float32)
+            dense[:, WIDTH] = 1
+            for row, i in zip(dense, use, strict=True):
+                row[np.frombuffer(places[i], "<u2")] = np.frombuffer(x[i], np.float32)
+            weights.append(descended(dense, np.where([name[i] == a for i in use], 1.0, -1.0)).tobytes())
+        return pa.table({"machine": pa.array(mine, pa.int32()), "weights": pa.array(weights, pa.binary())})
+
+    weights: dict[tuple[str | None, str, str], np.ndarray] = {}
+    if machines:
+        spark = sample.sparkSession
+        dealt = spark.createDataFrame([(z, t) for z, to in trainers.items() for t in sorted(to)], "lang string, trainer int")
+        fitted = sample.join(F.broadcast(dealt), "lang").groupBy("trainer").applyInArrow(train, "machine int, weights binary")
+        weights = {machines[r["machine"]]: np.frombuffer(r["weights"], np.float32) for r in fitted.collect()}
+    return Model(Machines.of(list(of), lambda a, b: weights[None, a, b]), {f: Machines.of(of[f], lambda a, b, f=f: weights[f, a, b]) for f in sorted(of)})
 
 
 def labelled(docs: DataFrame, model: Model | None, text_col: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -4,7 +4,8 @@ import tracemalloc
 
 import corpus_pipeline
 import numpy as np
-from lanternway.llm import byte_tokens, simhash
+from lanternway.llm import byte_tokens, language_id, simhash
+from pyspark.sql import functions as F
 
 
 def test_stages_decide(spark):
@@ -61,3 +62,38 @@ def test_comparing_near_copies_stays_small():
     tracemalloc.stop()
     assert set(a.tolist()) | set(b.tolist()) == set(value.tolist()) and len(set(b.tolist())) == 1
     assert peak < 60e6
+
+
+def test_no_profile_reaches_the_driver(spark, monkeypatch):
+    """The language model is the same as one trained here on all rows, while only its weights are collected."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    frame, held = type(docs), []
+    for method in ("collect", "toArrow", "toPandas"):
+        monkeypatch.setattr(frame, method, lambda self, f=getattr(frame, method): held.append(f(self)) or held[-1])
+    model = language_id.learn(docs)
+    monkeypatch.undo()
+    assert all(isinstance(x, list) for x in held)
+    sizes = [sum(len(v) for v in r if isinstance(v, (bytes, bytearray))) for rows in held for r in rows]
+    assert 0 < sum(sizes) < 1 << 20
+    learned = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~language_id.held_out(F.col("doc_id"))).collect()
+    assert len(learned) * 4 * language_id.WIDTH > 10 << 20
+    learned.sort(key=lambda r: str(r["doc_id"]))
+    plain = language_id.Model.fit(language_id.profiles([r["text"] for r in learned]), [r["lang"] for r in learned])
+    assert model.families.names == plain.families.names and list(model.within) == list(plain.within)
+    for a, b in [(model.families, plain.families), *((model.within[f], plain.within[f]) for f in plain.within)]:
+        assert a.names == b.names and a.pairs == b.pairs and np.array_equal(a.weights, b.weights)
+
+
+def test_all_machines_are_dealt(spark):
+    """More machines than trainers, and languages that are families of their own."""
+    langs = ["en", "de", "nl", "sv", "fr", "es", "ja", "zh", "ko"]
+    rows = [(i, f"{z} text {z * (1 + i % 3)} {i % 7}", z) for i, z in enumerate(langs * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(docs)
+    learned = docs.where(~language_id.held_out(F.col("doc_id"))).collect()
+    learned.sort(key=lambda r: str(r["doc_id"]))
+    # a language with few rows may have its share cut; here all are far below it
+    plain = language_id.Model.fit(language_id.profiles([r["text"] for r in learned]), [r["lang"] for r in learned])
+    assert len(plain.families.pairs) + sum(len(m.pairs) for m in plain.within.values()) == 17 > language_id.TRAINERS
+    for a, b in [(model.families, plain.families), *((model.within[f], plain.within[f]) for f in plain.within)]:
+        assert a.names == b.names and a.pairs == b.pairs and np.array_equal(a.weights, b.weights)
