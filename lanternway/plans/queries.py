@@ -186,7 +186,7 @@ register("g00_origin_destination", lambda m: m.ends.select("agent_id", "o_node_i
 register("j05_point_link_candidates", lambda m: likelihood.candidates(m.kept, m.links).groupBy("agent_id", "link_seq").count(), sql("select agent_id, link_seq, count(*) as count from cand group by all", "cand"))
 register("l01_deviation_scores", lambda m: m.scored.select("agent_id", "link_seq", "cell_id", "trace_no", r6("nonhit", "nonhit"), r6("beside", "beside"), "hit"), sql("select agent_id, link_seq, cell_id, cast(trace_no as integer) as trace_no, round(nonhit,6) as nonhit, round(beside,6) as beside, hit from scored", "scored"))
 register("l02_static_costs", lambda m: m.costs_of().select("agent_id", "link_seq", r6("cost", "cost"), "trace_no", "hit_count"), sql("select agent_id, link_seq, round(cost,6) as cost, cast(trace_no as integer) as trace_no, hit_count from costs", "costs"))
-register("k06_link_likelihood", lambda m: outputs.link_likelihood(m.costs, m.links).select("agent_id", "link_id", "from_node_id", "to_node_id", "link_type_code", "length", r6("likelihood_distance", "likelihood_distance"), "likely_trace_no", "hit_count"), sql("select c.agent_id, cast(l.link_id as integer) as link_id, cast(l.from_node_id as integer) as from_node_id, cast(l.to_node_id as integer) as to_node_id, l.link_type_code, l.length, round(c.cost,6) as likelihood_distance, cast(c.trace_no as integer) as likely_trace_no, c.hit_count from costs c join lk l using (link_seq) where c.cost<998", "costs"))
+register("k06_link_likelihood", lambda m: outputs.link_likelihood(m.costs_of(), m.links).select("agent_id", "link_id", "from_node_id", "to_node_id", "link_type_code", "length", r6("likelihood_distance", "likelihood_distance"), "likely_trace_no", "hit_count"), sql("select c.agent_id, cast(l.link_id as integer) as link_id, cast(l.from_node_id as integer) as from_node_id, cast(l.to_node_id as integer) as to_node_id, l.link_type_code, l.length, round(c.cost,6) as likelihood_distance, cast(c.trace_no as integer) as likely_trace_no, c.hit_count from costs c join lk l using (link_seq) where c.cost<998", "costs"))
 register("k06_last_agent", lambda m: m.last_likelihood.select("agent_id", "link_id", "from_node_id", "to_node_id", "link_type_code", "length", r6("likelihood_distance", "likelihood_distance"), "likely_trace_no", "hit_count"), sql("select c.agent_id, cast(l.link_id as integer) as link_id, cast(l.from_node_id as integer) as from_node_id, cast(l.to_node_id as integer) as to_node_id, l.link_type_code, l.length, round(c.cost,6) as likelihood_distance, cast(c.trace_no as integer) as likely_trace_no, c.hit_count from costs c join lk l using (link_seq) where c.cost<998 and c.agent_id=(select arg_max(agent_id, seq) from kept where g=0)", "costs"))
 register("k08_arc_cost_log", lambda m: outputs.arc_cost_log(m.costs, m.links).select("agent_id", "from_node_id", "to_node_id", r6("cost", "cost"), "trace_no"), sql("select c.agent_id, cast(l.from_node_id as integer) as from_node_id, cast(l.to_node_id as integer) as to_node_id, round(c.cost,6) as cost, cast(c.trace_no as integer) as trace_no from costs c join lk l using (link_seq) where c.cost<998", "costs"))
 register("k08_point_cell_log", lambda m: outputs.point_cell_log(m.kept, m.box[0], m.box[2], m.r).select("agent_id", F.col("g").cast("long").alias("g"), "trace_no", "x_index", "y_index"), sql(f"select agent_id, g, cast(trace_no as integer) as trace_no, cast(floor(x/{R})-floor((select min(x) from nn)/{R}) as bigint) as x_index, cast(floor(y/{R})-floor((select min(y) from nn)/{R}) as bigint) as y_index from kept", "kept"))
