@@ -243,7 +243,7 @@ fold as (select q.agent_id, q.link_seq, l.low, list_reduce(list(struct_pack(a :=
   from ev q join lim l using (agent_id, link_seq) group by q.agent_id, q.link_seq, l.low),
 bc as materialized (select agent_id, link_seq, low+i-1 as bin, s.costs[i] as cost, s.who[i] as trace_no, s.hits[i] as hit from fold, lateral (select unnest(generate_series(1, len(s.costs))) as i) where s.who[i] >= 0)"""
 register("l03_bin_costs", lambda m: m.bin_rows().select("agent_id", "link_seq", "bin", r6("cost", "cost"), "trace_no", "hit"), sql("select agent_id, link_seq, bin, round(cost,6) as cost, cast(trace_no as integer) as trace_no, hit from bc", "arcs", _FOLD))
-register("k08_bin_cost_log", lambda m: outputs.bin_cost_log(m.bin_costs, m.links).select("agent_id", "from_node_id", "to_node_id", "time_index", "sec", r6("cost", "cost"), "hit", "trace_no"), sql(f"select b.agent_id, cast(l.from_node_id as integer) as from_node_id, cast(l.to_node_id as integer) as to_node_id, b.bin as time_index, cast(trunc(b.bin*{B}*60) as integer) as sec, round(b.cost,6) as cost, b.hit, cast(b.trace_no as integer) as trace_no from bc b join lk l using (link_seq) where b.cost < 998", "arcs", _FOLD))
+register("k08_bin_cost_log", lambda m: outputs.bin_cost_log(m.bin_rows(), m.links).select("agent_id", "from_node_id", "to_node_id", "time_index", "sec", r6("cost", "cost"), "hit", "trace_no"), sql(f"select b.agent_id, cast(l.from_node_id as integer) as from_node_id, cast(l.to_node_id as integer) as to_node_id, b.bin as time_index, cast(trunc(b.bin*{B}*60) as integer) as sec, round(b.cost,6) as cost, b.hit, cast(b.trace_no as integer) as trace_no from bc b join lk l using (link_seq) where b.cost < 998", "arcs", _FOLD))
 # The (node, bin) program: a tick a round per agent; its row (node -1) holds the bin whose labels move on.
 _BIN = lambda c: f"greatest(0, least(t.bins-1, cast(trunc(({c}-t.t0)/{B}+{d(0.5)}) as bigint)))"
 _TD = _FOLD + f""",
