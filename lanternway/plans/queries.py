@@ -273,7 +273,7 @@ tp as (select y.agent_id, cast(row_number() over (partition by y.agent_id order
 register("g02_td_paths", lambda m: m.td_paths.select(*[r6(c, c) if c == "label_cost" else F.col(c) for c in m.td_paths.columns]), sql("select * replace (round(label_cost,6) as label_cost) from tp", "arcs", _TD))
 register("g03_static_price_update", lambda m: tdpaths.updated_prices(m.bin_costs, m.costs, tdpaths.use_counts(m.paths)).select("agent_id", "link_seq", "bin", r6("cost", "cost")), sql("select b.agent_id, b.link_seq, b.bin, round(case when b.hit and h.hits is not null then b.cost-100*h.hits else b.cost end, 6) as cost from bc b left join (select agent_id, link_seq, hit_count as hits from costs where hit_count >= 1 and link_seq not in (select link_seq from uses)) h using (agent_id, link_seq)", "arcs", f"{_STEPS},\n{_STATIC_USES},\n{_FOLD}"))
 # the SQL of these two would walk the table of g02 again; over static paths they have some above
-register("g03_price_update", lambda m: tdpaths.updated_prices(m.bin_costs, m.costs, tdpaths.use_counts(m.td_paths)))
+register("g03_price_update", lambda m: m.updated_prices(tdpaths.use_counts(m.td_paths)))
 register("a21_use_counts", lambda m: tdpaths.use_counts(m.td_paths))
 # two searches of g02's size: held to a plain version in the tests
 register("g03_lr_rounds", lambda m: (lambda p: p.select("agent_id", "round", "road_sequence", "link_seq", "from_node_id", "to_node_id", "time_index", "time_index_t", r6("label_cost", "label_cost")))(m.price_rounds(2).paths))
