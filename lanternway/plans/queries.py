@@ -271,7 +271,7 @@ back(agent_id, n, k, since, bin, cost) as (
   select y.agent_id, y.n+1, z.k, z.since, z.bin, z.cost from back y join lk l on l.link_seq=y.k join td z on z.agent_id=y.agent_id and z.node=l.from_node_id and z.bin=y.since where z.k >= 0),
 tp as (select y.agent_id, cast(row_number() over (partition by y.agent_id order by y.n desc) as integer) as road_sequence, y.k as link_seq, cast(l.from_node_id as integer) as from_node_id, cast(l.to_node_id as integer) as to_node_id, cast(y.since as integer) as time_index, cast(y.bin as integer) as time_index_t, y.cost as label_cost from back y join lk l on l.link_seq=y.k)"""
 register("g02_td_paths", lambda m: m.td_paths.select(*[r6(c, c) if c == "label_cost" else F.col(c) for c in m.td_paths.columns]), sql("select * replace (round(label_cost,6) as label_cost) from tp", "arcs", _TD))
-register("g03_static_price_update", lambda m: tdpaths.updated_prices(m.bin_costs, m.costs, tdpaths.use_counts(m.paths)).select("agent_id", "link_seq", "bin", r6("cost", "cost")), sql("select b.agent_id, b.link_seq, b.bin, round(case when b.hit and h.hits is not null then b.cost-100*h.hits else b.cost end, 6) as cost from bc b left join (select agent_id, link_seq, hit_count as hits from costs where hit_count >= 1 and link_seq not in (select link_seq from uses)) h using (agent_id, link_seq)", "arcs", f"{_STEPS},\n{_STATIC_USES},\n{_FOLD}"))
+register("g03_static_price_update", lambda m: m.updated_prices(tdpaths.use_counts(m.paths)).select("agent_id", "link_seq", "bin", r6("cost", "cost")), sql("select b.agent_id, b.link_seq, b.bin, round(case when b.hit and h.hits is not null then b.cost-100*h.hits else b.cost end, 6) as cost from bc b left join (select agent_id, link_seq, hit_count as hits from costs where hit_count >= 1 and link_seq not in (select link_seq from uses)) h using (agent_id, link_seq)", "arcs", f"{_STEPS},\n{_STATIC_USES},\n{_FOLD}"))
 # the SQL of these two would walk the table of g02 again; over static paths they have some above
 register("g03_price_update", lambda m: m.updated_prices(tdpaths.use_counts(m.td_paths)))
 register("a21_use_counts", lambda m: tdpaths.use_counts(m.td_paths))
